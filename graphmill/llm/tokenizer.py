@@ -1,10 +1,10 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary, by Spark higher-order functions.
 
-Texts are cut into words by the vocabulary's pattern on the JVM. A word that is itself in the vocabulary takes its id from
-a literal map. Every other distinct word is encoded once: its bytes are folded by ranked merges against the literal rank
-map, and the result is joined back to the documents that hold the word.
+Texts are cut into words by the vocabulary's pattern on the JVM. Every distinct word is encoded once: its bytes are folded
+by ranked merges against a literal rank map. Frequent words come back to the texts by a broadcast of fixed size, the others
+by a join.
 
-The literal maps have two levels, an array of small maps that the CRC of the key selects from, because a lookup in a Spark
+The literal map has two levels, an array of small maps that the CRC of the key selects from, because a lookup in a Spark
 map scans it. Byte strings are written in hexadecimal, where concatenation of bytes is concatenation of strings.
 """
 
@@ -17,15 +17,27 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.session import checkpointed
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the pattern that cuts text into words before the merges of the public rank file.
+# ``\s`` is written out for Java below.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Fixed value: the white space of Unicode, as a Java character class without its brackets.
+_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_JAVA_PATTERN = (
+    PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
+)
+
 #: Small maps in a literal map; about 12 entries each for 50,000 tokens.
 BUCKETS = 4096
 #: Words up to so many bytes are folded by expressions, longer ones by a heap, as the fold's work is quadratic.
@@ -50,16 +62,9 @@ def _literal(entries: dict[str, int]) -> str:
 
 
 @lru_cache(maxsize=4)
-def _literals(path: str) -> tuple[str, str]:
-    """JSON of (words that are tokens -> id, hexadecimal bytes -> id)."""
-    words, pieces = {}, {}
-    for token, rank in read_ranks(path).items():
-        pieces[token.hex().upper()] = rank
-        try:
-            words[token.decode()] = rank
-        except UnicodeDecodeError:
-            pass
-    return _literal(words), _literal(pieces)
+def _literals(path: str) -> str:
+    """JSON of the rank map, keyed by the bytes in hexadecimal."""
+    return _literal({token.hex().upper(): rank for token, rank in read_ranks(path).items()})
 
 
 def _map(json_text: str) -> Column:
@@ -73,7 +78,7 @@ def _looked_up(maps: Column, key: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order; together they are the text. Null gives null."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_JAVA_PATTERN), F.lit(0))
 
 
 def _let(value: Column, body) -> Column:
@@ -157,49 +162,99 @@ def _long_words(path: str):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = read_ranks(path)
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "ids": [_heap_merges(w.encode(), ranks) for w in batch["word"]]})
+            yield batch.assign(ids=[_heap_merges(w.encode(), ranks) for w in batch["word"]])
 
     return encode
 
 
 def encode_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``(word, ids)`` of distinct non-null words."""
+    """``words`` with ``ids`` added; ``words`` has distinct non-null words in the column ``word`` and their number in ``n``."""
     short = words.filter(F.octet_length("word") <= FOLD_BYTES).select(
-        "word", fold_merges(F.col("word"), _map(_literals(path)[1])).alias("ids")
+        "word", "n", fold_merges(F.col("word"), _map(_literals(path))).alias("ids")
     )
-    long = words.filter(F.octet_length("word") > FOLD_BYTES).mapInPandas(_long_words(path), "word string, ids array<int>")
+    long = words.filter(F.octet_length("word") > FOLD_BYTES).mapInPandas(_long_words(path), "word string, n bigint, ids array<int>")
     return short.unionByName(long)
 
 
-def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY, salts: int = 8) -> DataFrame:
+def _assembled(dictionary):
+    """Replaces words by ids from a broadcast ``(words, ids)``; a text with other words comes out in ``parts``."""
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = dictionary.value
+        lengths, flat_ids = pc.list_value_length(ids).to_numpy(zero_copy_only=False), ids.flatten()
+        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        for batch in batches:
+            words = batch.column(1)
+            bounds = words.offsets.to_numpy().astype(np.int64)
+            bounds, flat = bounds - bounds[0], words.flatten()
+            at = pc.index_in(flat, value_set=known)
+            missing = at.is_null().to_numpy(zero_copy_only=False)
+            at = at.fill_null(0).to_numpy()
+            sizes = np.where(missing, 0, lengths[at]) if len(known) else np.zeros(len(at), np.int64)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            take = np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[at], sizes) if len(known) else np.zeros(0, np.int64)
+            values = flat_ids.take(pa.array(take))
+            lists = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), values)
+            broken = np.add.reduceat(np.append(missing, False).astype(np.int64), bounds[:-1]) * (np.diff(bounds) > 0) > 0
+            parts: list[list[dict] | None] = [None] * len(batch)
+            for row in np.flatnonzero(broken).tolist():
+                a, b, parts[row] = int(bounds[row]), int(bounds[row + 1]), []
+                for hole in [*(np.flatnonzero(missing[a:b]) + a).tolist(), b]:
+                    if hole > a:
+                        parts[row].append({"ids": values[int(ends[a]) : int(ends[hole])].to_pylist(), "word": None})
+                    if hole < b:
+                        parts[row].append({"ids": None, "word": flat[hole].as_py()})
+                    a = hole + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(parts, _PARTS)], ["_id", "ids", "parts"])
+
+    return assemble
+
+
+_PARTS = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("word", pa.string())]))
+
+
+def encode(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY,
+    frequent: int = 65536, salts: int = 16,
+) -> DataFrame:
     """``(id_column, ids)``: the token ids of each row's text, without special tokens.
 
-    Null and empty texts have the empty list. Strings of special tokens in a text are ordinary text. ``id_column`` must
-    be unique; rows with a null id are kept only if their text needs no joined word, so pass unique non-null ids. Other
-    columns are ignored, whatever their names. An empty table gives no rows.
-    """
+    Null and empty texts have the empty list. Strings of special tokens in a text are ordinary text. ``id_column`` must be
+    unique and not null. Other columns are ignored, whatever their names. An empty table gives no rows.
+
+    Each distinct word of the corpus is encoded once. The ``frequent`` most frequent words of at most FOLD_BYTES bytes are
+    broadcast, which bounds the broadcast whatever the corpus; texts with rarer words get those by a join, in which a word
+    is spread over salts.
+    """
     texts = documents.select(F.col(id_column).alias("_id"), words_of(F.coalesce(F.col(text_column), F.lit(""))).alias("_words"))
-    tokens = _map(_literals(path)[0])
-    rare = texts.select(
-        "_id",
-        F.explode(F.array_distinct(F.filter("_words", lambda w: _looked_up(tokens, w).isNull()))).alias("word"),
-    )
-    encoded = encode_words(rare.select("word").distinct(), path)
-    # A word may stand in most documents: its pairs are spread over salts, and the dictionary, one row a word, is repeated.
-    spread = rare.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-    repeated = encoded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    own = (
-        spread.join(repeated, ["word", "_salt"])
-        .groupBy("_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("_own"))
-    )
-    joined = texts.join(own, "_id", "left")
-    ids = F.flatten(
-        F.transform(
-            "_words", lambda w: F.coalesce(F.try_element_at(F.col("_own"), w), F.array(_looked_up(tokens, w)))
-        )
+    spark = documents.sparkSession
+    counts = checkpointed(texts.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    encoded = checkpointed(encode_words(counts, path))
+    top = encoded.filter(F.octet_length("word") <= FOLD_BYTES).orderBy(F.desc("n"), "word").limit(frequent).toArrow().combine_chunks()
+    words, ids = (top.column(c).combine_chunks() if top.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
+    dictionary = spark.sparkContext.broadcast((words.cast(pa.string()), ids.cast(pa.list_(pa.int32()))))
+    kind = texts.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, ids array<int>, parts array<struct<ids:array<int>,word:string>>"
+    whole = texts.mapInArrow(_assembled(dictionary), schema)
+    if encoded.count() == top.num_rows:
+        return whole.select(F.col("_id").alias(id_column), "ids")
+    whole = checkpointed(whole)
+    parts = whole.filter(F.col("parts").isNotNull()).select("_id", F.posexplode("parts").alias("_pos", "_part"))
+    holes = parts.filter("_part.word IS NOT NULL").select(
+        "_id", "_pos", F.col("_part.word").alias("word"), F.pmod(F.xxhash64("_id", "_pos"), F.lit(salts)).cast("int").alias("_salt")
     )
-    return joined.select(F.col("_id").alias(id_column), ids.alias("ids"))
+    repeated = encoded.select("word", "ids", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    filled = holes.join(repeated, ["word", "_salt"]).select("_id", "_pos", "ids")
+    rest = parts.filter("_part.word IS NULL").select("_id", "_pos", "_part.ids")
+    ordered = filled.unionByName(rest).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "ids"))).alias("_all"))
+    joined = ordered.select("_id", F.flatten(F.col("_all.ids")).alias("ids"))
+    done = whole.filter(F.col("parts").isNull()).select("_id", "ids").unionByName(joined)
+    return done.withColumnRenamed("_id", id_column)
+
+
+def token_counts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """``(id_column, tokens)``: how many tokens each row's text has; 0 for null and empty texts. As ``encode`` otherwise."""
+    return encode(documents, id_column, text_column, path).select(id_column, F.size("ids").cast("bigint").alias("tokens"))
 
 
 def decode(encoded: DataFrame, id_column: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
