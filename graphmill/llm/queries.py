@@ -2,14 +2,61 @@
 
 from __future__ import annotations
 
-from graphmill.llm import tokenizer
-from graphmill.llm.tables import table
+from graphmill.llm import credentials, mixing, spam_pages, split, tokenizer
+from graphmill.llm.tables import requests, table
+
+
+def p2_found(spark, sf_dir):
+    pieces = split.split_oversized(requests(spark, sf_dir), table(spark, sf_dir, "split_limits"), texts=False)
+    return pieces.filter("piece_no = 2").select("request_id").distinct()
+
+
+def p2_pieces(spark, sf_dir):
+    return split.split_oversized(requests(spark, sf_dir), table(spark, sf_dir, "split_limits"))
+
+
+def p5_findings(spark, sf_dir):
+    return credentials.find_credentials(requests(spark, sf_dir))
+
+
+def p5_found(spark, sf_dir):
+    return p5_findings(spark, sf_dir).select("request_id", "line_no").distinct()
+
+
+def p5_redacted(spark, sf_dir):
+    return credentials.redact_credentials(requests(spark, sf_dir)).dropDuplicates(["request_id"])
 
 
 def p7_ids(spark, sf_dir):
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p8_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark, sf_dir):
+    return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_scores(spark, sf_dir):
+    return spam_pages.score_pages(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark, sf_dir):
+    return p9_scores(spark, sf_dir).filter("spam").select("doc_id")
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p5_found": p5_found, "p5_findings": p5_findings, "p5_redacted": p5_redacted,
+    "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_scores": p9_scores,
+}
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p2_found": """
+        SELECT DISTINCT request_id FROM detail_requests d
+        JOIN split_limits s ON lower(trim(d.node_type)) = lower(trim(s.node_type))
+        WHERE length(d.code) > s.max_chars""",
+}
