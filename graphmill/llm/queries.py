@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from graphmill.llm import credentials, mixing, spam_pages, split, tokenizer
-from graphmill.llm.tables import requests, table
+from graphmill.llm import credentials, mixing, spam_pages, split, syntax_check, tokenizer
+from graphmill.llm.tables import requests, source_files, table
+
+
+def p1_invalid(spark, sf_dir):
+    return syntax_check.unparsable(source_files(spark, sf_dir))
+
+
+def p1_found(spark, sf_dir):
+    return p1_invalid(spark, sf_dir).select("request_id")
+
+
+def p1_rates(spark, sf_dir):
+    return syntax_check.unparsable_rates(source_files(spark, sf_dir))
 
 
 def p2_found(spark, sf_dir):
@@ -48,6 +60,7 @@ def p9_found(spark, sf_dir):
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_invalid": p1_invalid, "p1_rates": p1_rates,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p5_found": p5_found, "p5_findings": p5_findings, "p5_redacted": p5_redacted,
     "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,

@@ -233,32 +233,44 @@ _SCHEMA = "id bigint, ids binary, starts binary, chars binary, repeats binary, f
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(CLASSES**3, np.int64)
     for batch in batches:
+        held = [np.zeros(0, np.int64)]
         for a, b in zip(batch["ids"], batch["starts"], strict=True):
             ids, at = np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.int32).astype(np.int64)
             if len(at):
                 mask = np.repeat(_prose(ids, at), _lengths(ids, at))
                 mask = np.concatenate((np.zeros(len(ids) - len(mask), bool), mask))
-                counts[np.unique(_trigrams(ids)[mask])] += 1
-    seen = np.flatnonzero(counts)
-    yield pd.DataFrame({"trigram": seen, "n": counts[seen]})
+                held.append(np.unique(_trigrams(ids)[mask]))
+        seen, n = np.unique(np.concatenate(held), return_counts=True)
+        yield pd.DataFrame({"trigram": seen, "n": n})
 
 
-def bits_of(trigrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits that each trigram's last class costs, by interpolated counts (Witten and Bell), for all trigrams."""
-    c3 = np.zeros(CLASSES**3, np.float32)
-    c3[trigrams] = counts
-    c3 = c3.reshape(CLASSES, CLASSES, CLASSES)
-    c2 = c3.sum(0)
-    c1 = c2.sum(0)
-    p1 = (c1 + 0.5) / (c1.sum() + 0.5 * CLASSES)
+class ProseModel:
+    """Bits that a trigram's last class costs, by interpolated counts (Witten and Bell).
 
-    def smoothed(c: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        n, kinds = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
-        return np.where(n > 0, (c + kinds * lower) / np.maximum(n + kinds, 1), lower)
+    Only the trigrams seen are held; tables over pairs of classes serve the others.
+    """
 
-    return -np.log2(smoothed(c3, smoothed(c2, p1)[None])).ravel().astype(np.float32)
+    def __init__(self, trigrams: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(trigrams)
+        self.seen, counts = trigrams[order], counts[order].astype(float)
+        c2 = np.bincount(self.seen % CLASSES**2, counts, CLASSES**2)
+        c1 = np.bincount(self.seen % CLASSES, counts, CLASSES)
+        p1 = (c1 + 0.5) / (c1.sum() + 0.5 * CLASSES)
+        pairs = c2.reshape(CLASSES, CLASSES)
+        n, kinds = pairs.sum(1, keepdims=True), (pairs > 0).sum(1, keepdims=True)
+        self.p2 = np.where(n > 0, (pairs + kinds * p1) / np.maximum(n + kinds, 1), p1).ravel()
+        n = np.bincount(self.seen // CLASSES, counts, CLASSES**2)
+        kinds = np.bincount(self.seen // CLASSES, minlength=CLASSES**2)
+        self.rest = np.where(n > 0, kinds / np.maximum(n + kinds, 1), 1.0)
+        self.share = counts / np.maximum(n + kinds, 1)[self.seen // CLASSES]
+
+    def bits(self, trigrams: np.ndarray) -> np.ndarray:
+        p = self.rest[trigrams // CLASSES] * self.p2[trigrams % CLASSES**2]
+        if len(self.seen):
+            at = np.minimum(np.searchsorted(self.seen, trigrams), len(self.seen) - 1)
+            p = p + np.where(self.seen[at] == trigrams, self.share[at], 0.0)
+        return -np.log2(p)
 
 
 def _unpacked(batch: pd.DataFrame):
@@ -277,11 +289,11 @@ def _moments(model):
     """Number, sum and sum of squares of the sentences' bits a token."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, n, total, squares = bits_of(*model.value), 0, 0.0, 0.0
+        prose, n, total, squares = ProseModel(*model.value), 0, 0.0, 0.0
         for batch in batches:
             for _, ids, at, *_ in _unpacked(batch):
                 if len(at):
-                    mean = np.add.reduceat(bits[_trigrams(ids)], at) / _lengths(ids, at)
+                    mean = np.add.reduceat(prose.bits(_trigrams(ids)), at) / _lengths(ids, at)
                     mean = mean[_prose(ids, at)].astype(float)
                     n, total, squares = n + len(mean), total + float(mean.sum()), squares + float((mean**2).sum())
         yield pd.DataFrame({"n": [n], "total": [total], "squares": [squares]})
@@ -291,7 +303,7 @@ def _moments(model):
 
 def _scored(model, limit: float):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = bits_of(*model.value)
+        prose = ProseModel(*model.value)
         for batch in batches:
             rows = []
             for key, ids, at, chars, repeats, fenced in _unpacked(batch):
@@ -299,7 +311,8 @@ def _scored(model, limit: float):
                     rows.append((key, None, 0.0, False))
                     continue
                 n = _lengths(ids, at)
-                mean = np.add.reduceat(bits[_trigrams(ids)], at) / n
+                bits = prose.bits(_trigrams(ids))
+                mean = np.add.reduceat(bits, at) / n
                 words = np.add.reduceat(_WORDS[ids].astype(float), at)
                 code = np.add.reduceat(_CODE[ids].astype(float), at) >= CODE_SHARE * n
                 high = (mean > limit) & ~code & (words <= SENTENCE * n) & (n > (ids[at] == BREAK))
@@ -310,7 +323,7 @@ def _scored(model, limit: float):
                 share = float(chars[both].sum() / max(1, chars.sum() + fenced))
                 links = int((ids == URL).sum())
                 enough = int(n[both].sum()) >= LEAST_TOKENS or links >= 4
-                rows.append((key, float(2.0 ** (bits[_trigrams(ids)].mean())), share, share > MOST and enough))
+                rows.append((key, float(2.0 ** bits.mean()), share, share > MOST and enough))
             yield pd.DataFrame(rows, columns=["id", "perplexity", "share", "spam"])
 
     return score
@@ -322,8 +335,8 @@ def score_pages(documents: DataFrame, id_column: str = "doc_id", text_column: st
 
     Null, empty and blank texts have no perplexity, share 0 and are no spam. Rows stand for themselves, also if their text
     or id repeats. If the corpus holds no sentence, no segment is abnormal for its perplexity. Other columns are ignored.
-    What comes to the driver is the model: one number for each trigram of classes seen, of which there are at most
-    ``CLASSES ** 3`` whatever the corpus.
+    What comes to the driver is the model: one number for each trigram of classes seen, whose number the classes bound
+    whatever the corpus.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -331,7 +344,7 @@ def score_pages(documents: DataFrame, id_column: str = "doc_id", text_column: st
     counts = (
         pages.select("ids", "starts").mapInPandas(_counted, "trigram bigint, n bigint").groupBy("trigram").agg(F.sum("n").alias("n"))
     ).toPandas()
-    model = spark.sparkContext.broadcast((counts["trigram"].to_numpy(np.int64), counts["n"].to_numpy(np.float32)))
+    model = spark.sparkContext.broadcast((counts["trigram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)))
     n, total, squares = (
         pages.mapInPandas(_moments(model), "n bigint, total double, squares double")
         .agg(F.sum("n"), F.sum("total"), F.sum("squares"))
