@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import regex
 
@@ -53,15 +54,15 @@ class Grammar:
         self.sizes = {p: 1 << n for p, n in per.items()}
         self.kinds = {k.rstrip("*"): (rule, k.endswith("*")) for k, rule in kinds.items()} | {"TOP": (top, True)}
         self.text = {name: self._regex(rule) for name, rule in rules.items()}
-        self.items: dict[str, list[tuple[int, bool, regex.Pattern[str]]]] = {p: [] for p in _GROUPS}
+        self.items: dict[str, list[tuple[int, bool, regex.Pattern[str], re.Pattern[str]]]] = {p: [] for p in _GROUPS}
         for name, (rule, many) in self.kinds.items():
             pattern = self._pattern(rule)
             if name == "TOP":
                 self.whole = pattern
             else:
-                self.items[name[0]].append((self.bits[name], many, pattern))
+                self.items[name[0]].append((self.bits[name], many, pattern, self._alphabet(rule)))
         self.known: dict[tuple[str, str], str] = {}
-        self.statements: dict[tuple[int, str], bool] = {}
+        self.statements: dict[tuple[int, str], int] = {}
 
     def char(self, name: str) -> str:
         """The character of a token class."""
@@ -94,7 +95,8 @@ class Grammar:
             negate = False
         return "".join(out)
 
-    def _pattern(self, rule: str) -> regex.Pattern[str]:
+    def _used(self, rule: str) -> dict[str, None]:
+        """The rules that a rule leads to."""
         used: dict[str, None] = {}
         todo = [rule]
         while todo:
@@ -102,53 +104,117 @@ class Grammar:
                 if token in self.rules and token not in used:
                     used[token] = None
                     todo.append(self.rules[token])
+        return used
+
+    def _alphabet(self, rule: str) -> re.Pattern[str]:
+        """Texts of the symbols that a rule can have: what is cheap to test before the rule is."""
+        symbols = set()
+        for part in (rule, *(self.rules[name] for name in self._used(rule))):
+            for token in _RULE.findall(part):
+                if token in self.bits:
+                    base, bit = _GROUPS[token[0]], self.bits[token]
+                    symbols |= {chr(base + m) for m in range(self.sizes[token[0]]) if m & bit}
+                elif token not in self.rules and token not in "()|*+?!" and token != "EOT":
+                    symbols.add(self.char(token))
+        return re.compile(f"[{re.escape(''.join(sorted(symbols)))}]*" if symbols else "")
+
+    def _pattern(self, rule: str) -> regex.Pattern[str]:
+        used = self._used(rule)
         define = "".join(f"(?P<{name}>{self.text[name]})" for name in used)
         return regex.compile(f"(?(DEFINE){define})(?:{self._regex(rule)})" if define else f"(?:{self._regex(rule)})")
 
     def reduce(self, bracket: str, content: str) -> str:
-        """The symbol of a bracketed group, or UNKNOWN if its content fulfils no rule."""
+        """The symbol of a bracketed group, or UNKNOWN if its content fulfils no rule.
+
+        How often a list repeats an item does not matter to any rule, so long lists are shortened first.
+        """
+        if len(content) > _LONG:
+            content = self.repeats.sub(r"\1", content)
         found = self.known.get((bracket, content))
         if found is None:
             if len(self.known) > 100_000:
                 self.known.clear()
             mask, prefix = 0, BRACKETS[bracket]
-            for bit, many, pattern in self.items[prefix]:
-                if self._sequence(pattern, content) if many else pattern.fullmatch(content):
+            for bit, many, pattern, alphabet in self.items[prefix]:
+                if alphabet.fullmatch(content) and (self._sequence(pattern, content) if many else pattern.fullmatch(content)):
                     mask |= bit
             found = chr(_GROUPS[prefix] + mask) if mask else UNKNOWN
             self.known[bracket, content] = found
         return found
 
     def _sequence(self, item: regex.Pattern[str], content: str) -> bool:
-        """Whether ``content`` is a sequence of items. Windows up to a mark or a group are tried first, as they repeat."""
-        at, known = 0, self.statements
+        """Whether ``content`` is a sequence of items. Windows that end where an item may end are judged first, as they repeat."""
+        at = 0
         while at < len(content):
-            m = _WINDOW.match(content, at)
-            key = (id(item), m.group())
-            found = known.get(key)
-            if found is None:
-                if len(known) > 200_000:
-                    known.clear()
-                found = known[key] = bool(item.fullmatch(key[1]))
-            if not found or self._goes_on(content, m.end()):
+            end = done = at
+            for _ in range(_WINDOWS):
+                end = _WINDOW.match(content, end).end()
+                judged = self._judged(item, content[at:end])
+                if judged == _WHOLE:
+                    done = end
+                    if not self._goes_on(content, end):
+                        break
+                elif judged != _OPEN:
+                    done = done if done > at else at + judged
+                    break
+                if end == len(content):
+                    break
+            else:
                 m = item.match(content, at)
-                if not m or m.end() == at:
-                    return False
-            at = m.end()
+                done = max(done, m.end() if m else at)
+            if done == at:
+                return False
+            at = done
         return True
 
-    def _goes_on(self, content: str, at: int) -> bool:
-        """Whether the next symbol may belong to a statement that could also end here."""
-        return at < len(content) and content[at] in self.following
-
-    @property
-    def following(self) -> frozenset[str]:
-        found = self.__dict__.get("_following")
+    def _judged(self, item: regex.Pattern[str], window: str) -> int:
+        """_WHOLE if a window is an item, _OPEN if a longer one may be, else how long an item at its beginning is."""
+        key, known = (id(item), window), self.statements
+        found = known.get(key)
         if found is None:
-            words = ("else", "elif", "except", "catch", "finally", "pipe", "and", "amp", "redir", "if", "unless", "until", "rescue", "while", "dot", "qdot", "nl", "comma", "assign", "bin", "plus", "quest", "star")
-            found = self._following = frozenset(self.chars[w] for w in words if w in self.chars) | frozenset("Nn") | frozenset(chr(x) for x in (*range(0xE000, 0xE200), *range(0xE600, 0xE800)))
+            if item.fullmatch(window):
+                found = _WHOLE
+            elif item.fullmatch(window, partial=True):
+                found = _OPEN
+            else:
+                m = item.match(window)
+                found = m.end() if m else 0
+            if len(known) > 200_000:
+                known.clear()
+            known[key] = found
         return found
 
+    @cached_property
+    def repeats(self) -> re.Pattern[str]:
+        comma = re.escape(self.char("comma"))
+        return re.compile(f"([^{comma}]{{1,6}}{comma})\\1+")
+
+    def _goes_on(self, content: str, at: int) -> bool:
+        """Whether the next symbol may belong to a statement that could also end here."""
+        end, after_group = len(content), content[at - 1] not in ";N"
+        if at < end and ("\ue600" <= content[at] < "\ue800" or after_group and content[at] in self.direct):
+            return True
+        while at < end and content[at] == "N":
+            at += 1
+        return at < end and content[at] in self.clauses
+
+    def _chars_of(self, *words: str) -> frozenset[str]:
+        return frozenset(self.chars[w] for w in words if w in self.chars)
+
+    @cached_property
+    def clauses(self) -> frozenset[str]:
+        """Symbols that go on with a statement after its end, also on a later line."""
+        return self._chars_of("else", "elif", "except", "catch", "finally", "dot", "qdot")
+
+    @cached_property
+    def direct(self) -> frozenset[str]:
+        """Symbols that go on with a statement directly after a group."""
+        words = (
+            "comma", "assign", "bin", "plus", "quest", "star", "pipe", "and", "or", "amp", "redir", "if", "unless", "until", "rescue",
+            "colon", "lt", "gt", "arrow", "thin", "do", "while",
+        )
+        return self._chars_of(*words) | frozenset(map(chr, range(0xE000, 0xE400))) | {"s"}
+
     def accepts(self, tokens: str) -> bool:
         """Whether a text's token classes nest and fulfil the rules."""
         frames: list[list[str]] = [[]]
@@ -244,6 +310,11 @@ class Grammar:
 _ANY_BRACKET = re.compile("[()\\[\\]{}\u27e6\u27e7]")
 
 
+#: So many windows are tried as one item before the item's whole pattern is.
+_WINDOWS = 64
+_WHOLE, _OPEN = -1, -2
+#: Symbols of a group's content from which its lists are shortened.
+_LONG = 100
 #: A window: up to a mark that ends statements, a line end or a curly group, or what is left.
 _WINDOW = re.compile("[^;N\ue400-\ue5ff]*(?:[;N\ue400-\ue5ff]|\\Z)")
 
