@@ -211,7 +211,7 @@ _SH_KINDS = {
     "I_CASE": "case n nl * in nl * ( P_PATTERN nl * ( LIST | ANDOR ) ? nl * ( ANDOR ) ? ( dsemi nl * | ! n ) ) * esac",
     "I_GROUP": "open LIST ( ANDOR ) ? close",
 }
-_SH_OPAQUE = re.compile(
+SHELL_OPAQUE = re.compile(
     r"(?P<c>(?:^|(?<=[\s;&|(]))#[^\n]*)"
     r"|(?P<h><<-?[ \t]*(?P<q>['\"]?)(?P<d>\w+)(?P=q)(?P<rest>[^\n]*)\n(?:.*?\n)??[ \t]*(?P=d)[ \t\r]*(?=\n|\Z))"
     r"|(?P<w>\$'(?:[^'\\]|\\.)*'|'[^']*'|\$?\"(?:[^\"\\]|\\.)*\"|\$\(\((?:[^()]|\([^()]*\))*\)\)|`(?:[^`\\]|\\.)*`"
@@ -241,7 +241,7 @@ class ShellLexer:
         char, out = self.grammar.char, []
         start, nested, words = True, 0, []
         cases: list[int] = []
-        bare = _SH_OPAQUE.sub(self._opaque, text)
+        bare = SHELL_OPAQUE.sub(self._opaque, text)
         previous = ""
         while previous != bare:  # a command substitution is a word, and what is within must nest
             previous, bare = bare, re.sub(r"[$<>]\([^()`]*\)", "S", bare)

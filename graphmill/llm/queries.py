@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphmill.llm import credentials, mixing, spam_pages, split, syntax_check, tokenizer
+from graphmill.llm import credentials, functions, mixing, spam_pages, split, syntax_check, tokenizer
 from graphmill.llm.tables import requests, source_files, table
 
 
@@ -39,6 +39,14 @@ def p5_redacted(spark, sf_dir):
     return credentials.redact_credentials(requests(spark, sf_dir)).dropDuplicates(["request_id"])
 
 
+def p6_pairs(spark, sf_dir):
+    return functions.documented_functions(source_files(spark, sf_dir))
+
+
+def p6_found(spark, sf_dir):
+    return p6_pairs(spark, sf_dir).select("request_id", "func_name", "line_no")
+
+
 def p7_ids(spark, sf_dir):
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
@@ -63,6 +71,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_invalid": p1_invalid, "p1_rates": p1_rates,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p5_found": p5_found, "p5_findings": p5_findings, "p5_redacted": p5_redacted,
+    "p6_found": p6_found, "p6_pairs": p6_pairs,
     "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_scores": p9_scores,
 }
