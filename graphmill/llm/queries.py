@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphmill.llm import credentials, functions, mixing, spam_pages, split, syntax_check, tokenizer
+from graphmill.llm import credentials, functions, machine_files, mixing, spam_pages, split, syntax_check, tokenizer
 from graphmill.llm.tables import requests, source_files, table
 
 
@@ -27,6 +27,14 @@ def p2_pieces(spark, sf_dir):
     return split.split_oversized(requests(spark, sf_dir), table(spark, sf_dir, "split_limits"))
 
 
+def p3_labels(spark, sf_dir):
+    return machine_files.classify_files(source_files(spark, sf_dir), table(spark, sf_dir, "library_files"))
+
+
+def p3_found(spark, sf_dir):
+    return p3_labels(spark, sf_dir).filter("label <> 'hand-written'").select("request_id")
+
+
 def p5_findings(spark, sf_dir):
     return credentials.find_credentials(requests(spark, sf_dir))
 
@@ -70,6 +78,7 @@ def p9_found(spark, sf_dir):
 QUERIES = {
     "p1_found": p1_found, "p1_invalid": p1_invalid, "p1_rates": p1_rates,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p3_found": p3_found, "p3_labels": p3_labels,
     "p5_found": p5_found, "p5_findings": p5_findings, "p5_redacted": p5_redacted,
     "p6_found": p6_found, "p6_pairs": p6_pairs,
     "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,

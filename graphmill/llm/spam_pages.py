@@ -210,10 +210,9 @@ def _prose(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     last = at + n - 1
     last = np.where((ids[last] == BREAK) & (n > 1), last - 1, last)
     found = (n >= 6) & (ids[last] == END) & (np.add.reduceat(_WORDS[ids].astype(float), at) >= 0.2 * n)
-    for k in np.flatnonzero(found).tolist():
-        words = ids[at[k] : at[k] + n[k]]
-        found[k] = len(set(words[_WORDS[words]].tolist())) >= 3
-    return found
+    words = _WORDS[ids[at[0] :]]
+    held = np.unique((np.repeat(np.arange(len(at)), n) * CLASSES + ids[at[0] :])[words])
+    return found & (np.bincount(held // CLASSES, minlength=len(at)) >= 3)
 
 
 def _classified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,57 +272,60 @@ class ProseModel:
         return -np.log2(p)
 
 
-def _unpacked(batch: pd.DataFrame):
-    for row in batch.itertuples(index=False):
-        yield (
-            row.id,
-            np.frombuffer(row.ids, np.uint16).astype(np.int64),
-            np.frombuffer(row.starts, np.int32).astype(np.int64),
-            np.frombuffer(row.chars, np.int32).astype(np.int64),
-            np.frombuffer(row.repeats, np.uint8) > 0,
-            row.fenced,
-        )
+#: What a segment is: a sentence, one that may be a list by its words, one that the page repeats.
+_IS_PROSE, _MAY_BE_LIST, _IS_REPEATED = 1, 2, 4
+_MEASURED = (
+    "id bigint, perplexity double, means binary, kinds binary, chars binary, tokens binary, words binary, fenced bigint, links bigint,"
+    " n bigint, total double, squares double"
+)
 
 
-def _moments(model):
-    """Number, sum and sum of squares of the sentences' bits a token."""
+def _measured(model):
+    """Bits a token of each segment, and the moments of those of the page's sentences."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prose, n, total, squares = ProseModel(*model.value), 0, 0.0, 0.0
-        for batch in batches:
-            for _, ids, at, *_ in _unpacked(batch):
-                if len(at):
-                    mean = np.add.reduceat(prose.bits(_trigrams(ids)), at) / _lengths(ids, at)
-                    mean = mean[_prose(ids, at)].astype(float)
-                    n, total, squares = n + len(mean), total + float(mean.sum()), squares + float((mean**2).sum())
-        yield pd.DataFrame({"n": [n], "total": [total], "squares": [squares]})
-
-    return measure
-
-
-def _scored(model, limit: float):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prose = ProseModel(*model.value)
         for batch in batches:
             rows = []
-            for key, ids, at, chars, repeats, fenced in _unpacked(batch):
+            for row in batch.itertuples(index=False):
+                ids, at = np.frombuffer(row.ids, np.uint16).astype(np.int64), np.frombuffer(row.starts, np.int32).astype(np.int64)
                 if not len(at):
-                    rows.append((key, None, 0.0, False))
+                    rows.append((row.id, None, b"", b"", b"", b"", b"", row.fenced, 0, 0, 0.0, 0.0))
                     continue
-                n = _lengths(ids, at)
-                bits = prose.bits(_trigrams(ids))
+                n, bits = _lengths(ids, at), prose.bits(_trigrams(ids))
                 mean = np.add.reduceat(bits, at) / n
                 words = np.add.reduceat(_WORDS[ids].astype(float), at)
                 code = np.add.reduceat(_CODE[ids].astype(float), at) >= CODE_SHARE * n
-                high = (mean > limit) & ~code & (words <= SENTENCE * n) & (n > (ids[at] == BREAK))
-                low = repeats & ~code
-                if low.any() and words[low].sum() > OWN_SENTENCES * n[low].sum():
+                sentence = _prose(ids, at)
+                may = ~code & (words <= SENTENCE * n) & (n > (ids[at] == BREAK))
+                low = (np.frombuffer(row.repeats, np.uint8) > 0) & ~code
+                kinds = sentence * _IS_PROSE + may * _MAY_BE_LIST + low * _IS_REPEATED
+                own = mean[sentence]
+                rows.append(
+                    (row.id, float(2.0 ** bits.mean()), mean.astype(np.float32).tobytes(), kinds.astype(np.uint8).tobytes(), row.chars,
+                     n.astype(np.int32).tobytes(), words.astype(np.int32).tobytes(), row.fenced, int((ids == URL).sum()),
+                     len(own), float(own.sum()), float((own * own).sum()))
+                )
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _MEASURED.split(",")])
+
+    return measure
+
+
+def _scored(limit: float):
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                kinds = np.frombuffer(row.kinds, np.uint8)
+                n, chars = np.frombuffer(row.tokens, np.int32), np.frombuffer(row.chars, np.int32)
+                high = (np.frombuffer(row.means, np.float32) > limit) & (kinds & _MAY_BE_LIST > 0)
+                low = kinds & _IS_REPEATED > 0
+                if low.any() and np.frombuffer(row.words, np.int32)[low].sum() > OWN_SENTENCES * n[low].sum():
                     low[:] = False
                 both = high | low
-                share = float(chars[both].sum() / max(1, chars.sum() + fenced))
-                links = int((ids == URL).sum())
-                enough = int(n[both].sum()) >= LEAST_TOKENS or links >= 4
-                rows.append((key, float(2.0 ** bits.mean()), share, share > MOST and enough))
+                share = float(chars[both].sum() / max(1, chars.sum() + row.fenced)) if len(kinds) else 0.0
+                enough = int(n[both].sum()) >= LEAST_TOKENS or row.links >= 4
+                rows.append((row.id, row.perplexity, share, share > MOST and enough))
             yield pd.DataFrame(rows, columns=["id", "perplexity", "share", "spam"])
 
     return score
@@ -345,11 +347,9 @@ def score_pages(documents: DataFrame, id_column: str = "doc_id", text_column: st
         pages.select("ids", "starts").mapInPandas(_counted, "trigram bigint, n bigint").groupBy("trigram").agg(F.sum("n").alias("n"))
     ).toPandas()
     model = spark.sparkContext.broadcast((counts["trigram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)))
-    n, total, squares = (
-        pages.mapInPandas(_moments(model), "n bigint, total double, squares double")
-        .agg(F.sum("n"), F.sum("total"), F.sum("squares"))
-        .first()
-    )
+    measured = checkpointed(pages.mapInPandas(_measured(model), _MEASURED))
+    n, total, squares = measured.agg(F.sum("n"), F.sum("total"), F.sum("squares")).first()
     mean = total / n if n else 0.0
     limit = mean + DEVIATIONS * max(0.0, squares / n - mean * mean) ** 0.5 if n else float("inf")
-    return pages.mapInPandas(_scored(model, limit), "id bigint, perplexity double, share double, spam boolean").withColumnRenamed("id", id_column)
+    slim = measured.select("id", "perplexity", "means", "kinds", "chars", "tokens", "words", "fenced", "links")
+    return slim.mapInPandas(_scored(limit), "id bigint, perplexity double, share double, spam boolean").withColumnRenamed("id", id_column)
