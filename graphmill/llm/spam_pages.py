@@ -11,7 +11,7 @@ under the page's own pairs of content words is low). A page is spam if abnormal
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,13 +120,15 @@ def classify(token: str) -> int:
 
 
 class _Classes(dict):
-    """Classes of the tokens seen so far; emptied when large, so that it holds no vocabulary of the corpus."""
+    """Codes of the tokens seen so far: class, length and a hash of the token in lower case. Emptied when large, so that it
+    holds no vocabulary of the corpus."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        self[token] = found = classify(token)
-        return found
+        code = classify(token) | min(len(token), 0xFFFF) << 16 | (zlib.crc32(token.lower().encode()) & 0x7FFFFFFF) << 32
+        self[token] = code
+        return code
 
 
 def segments(text: str, classes: _Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -139,10 +141,10 @@ def segments(text: str, classes: _Classes) -> tuple[np.ndarray, np.ndarray, np.n
     if "</" in text:
         text = _MARKUP.sub("\n", _LINK.sub(r"\n \1 ", text))
     tokens = _TOKENS.findall(text)
-    ids = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
+    codes = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
+    ids, sizes = codes & 0xFFFF, codes >> 16 & 0xFFFF
     if not len(tokens):
         return ids, ids, ids, ids.astype(float), fenced
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     # Segment starts: after a break, or within a long line after a sentence or every SEGMENT tokens.
     breaks = np.flatnonzero(ids == BREAK)
     bounds = np.concatenate(([0], breaks + 1, [len(ids)]))
@@ -170,14 +172,13 @@ def segments(text: str, classes: _Classes) -> tuple[np.ndarray, np.ndarray, np.n
     chars = np.add.reduceat(sizes, at)
     # Content words in pairs that the page holds at least three times.
     content = np.flatnonzero((ids == LOWER) | (ids == CAPITAL) | (ids == CAPITALS) | (ids == TAG))
-    words = [tokens[i].lower() for i in content.tolist()]
-    pairs = list(zip(words, words[1:], strict=False))
-    near = np.diff(content) <= 2
-    counts = Counter(p for p, n in zip(pairs, near.tolist(), strict=True) if n)
-    least = max(OFTEN, OFTEN_SHARE * len(pairs))
-    often = np.fromiter((counts[p] >= least for p in pairs), bool, len(pairs)) & near
+    words = codes[content] >> 32
     repeated = np.zeros(len(words), bool)
     if len(words) > 1:
+        near = np.diff(content) <= 2
+        pairs = words[:-1] * 0x9E3779B1 ^ words[1:]
+        _, which, counts = np.unique(np.where(near, pairs, -1), return_inverse=True, return_counts=True)
+        often = near & (counts[which] >= max(OFTEN, OFTEN_SHARE * len(pairs)))
         repeated[:-1] |= often
         repeated[1:] |= often
     flags, present = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
@@ -194,25 +195,48 @@ _CODE = np.zeros(CLASSES, bool)
 _CODE[[IDENTIFIER, ARROW, CODE, SPAN]] = True
 
 
-def _trigrams(ids: np.ndarray) -> np.ndarray:
-    """Code of each token's trigram; a text begins after two breaks."""
-    padded = np.concatenate(([BREAK, BREAK], ids))
-    return (padded[:-2] * CLASSES + padded[1:-1]) * CLASSES + padded[2:]
-
-
-def _lengths(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.diff(np.append(at, len(ids)))
-
-
-def _prose(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether each segment is a sentence: ended as one, with enough function words, of which at least three differ."""
-    n = _lengths(ids, at)
-    last = at + n - 1
-    last = np.where((ids[last] == BREAK) & (n > 1), last - 1, last)
-    found = (n >= 6) & (ids[last] == END) & (np.add.reduceat(_WORDS[ids].astype(float), at) >= 0.2 * n)
-    words = _WORDS[ids[at[0] :]]
-    held = np.unique((np.repeat(np.arange(len(at)), n) * CLASSES + ids[at[0] :])[words])
-    return found & (np.bincount(held // CLASSES, minlength=len(at)) >= 3)
+class _Pages:
+    """The segments of many pages as flat arrays: ``ids`` of all tokens, and of each segment its page, begin and length."""
+
+    def __init__(self, batch: pd.DataFrame) -> None:
+        lengths = np.array([len(x) // 2 for x in batch["ids"]], np.int64)
+        counts = np.array([len(x) // 4 for x in batch["starts"]], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(lengths)))
+        self.ids = np.frombuffer(b"".join(batch["ids"]), np.uint16).astype(np.int64)
+        self.page = np.repeat(np.arange(len(batch)), counts)
+        self.at = np.frombuffer(b"".join(batch["starts"]), np.int32).astype(np.int64) + self.first[self.page]
+        ends = np.append(self.at[1:], len(self.ids))
+        self.n = np.minimum(ends, self.first[self.page + 1]) - self.at
+        self.bounds = np.concatenate(([0], np.cumsum(counts)))
+        before = np.cumsum(self.n) - self.n
+        #: Tokens that are in a segment, in order, and the segment of each.
+        self.tokens = np.repeat(self.at - before, self.n) + np.arange(int(self.n.sum()))
+        self.segment = np.repeat(np.arange(len(self.at)), self.n)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum over each segment's tokens."""
+        return np.bincount(self.segment, values[self.tokens], len(self.at))
+
+    def trigrams(self) -> np.ndarray:
+        """Code of each token's trigram; a page begins after two breaks."""
+        one = np.concatenate(([BREAK], self.ids[:-1]))[: len(self.ids)]
+        two = np.concatenate(([BREAK, BREAK], self.ids[:-2]))[: len(self.ids)]
+        starts = self.first[:-1][np.diff(self.first) > 0]
+        one[starts] = two[starts] = BREAK
+        second = starts + 1
+        two[second[second < len(self.ids)]] = BREAK
+        return (two * CLASSES + one) * CLASSES + self.ids
+
+    def prose(self) -> np.ndarray:
+        """Whether each segment is a sentence: ended as one, with enough function words, of which at least three differ."""
+        if not len(self.at):
+            return np.zeros(0, bool)
+        last = self.at + self.n - 1
+        last = np.where((self.ids[last] == BREAK) & (self.n > 1), last - 1, last)
+        found = (self.n >= 6) & (self.ids[last] == END) & (self.sums(_WORDS[self.ids].astype(float)) >= 0.2 * self.n)
+        own = self.ids[self.tokens]
+        held = np.unique((self.segment * CLASSES + own)[_WORDS[own]])
+        return found & (np.bincount(held // CLASSES, minlength=len(self.at)) >= 3)
 
 
 def _classified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,14 +257,11 @@ _SCHEMA = "id bigint, ids binary, starts binary, chars binary, repeats binary, f
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        held = [np.zeros(0, np.int64)]
-        for a, b in zip(batch["ids"], batch["starts"], strict=True):
-            ids, at = np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.int32).astype(np.int64)
-            if len(at):
-                mask = np.repeat(_prose(ids, at), _lengths(ids, at))
-                mask = np.concatenate((np.zeros(len(ids) - len(mask), bool), mask))
-                held.append(np.unique(_trigrams(ids)[mask]))
-        seen, n = np.unique(np.concatenate(held), return_counts=True)
+        pages = _Pages(batch)
+        kept = pages.prose()[pages.segment]
+        tokens, page = pages.tokens[kept], pages.page[pages.segment[kept]]
+        once = np.unique(page * CLASSES**3 + pages.trigrams()[tokens]) % CLASSES**3
+        seen, n = np.unique(once, return_counts=True)
         yield pd.DataFrame({"trigram": seen, "n": n})
 
 
@@ -286,25 +307,29 @@ def _measured(model):
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prose = ProseModel(*model.value)
         for batch in batches:
+            pages = _Pages(batch)
+            bits = prose.bits(pages.trigrams())
+            n = np.maximum(pages.n, 1)
+            mean = pages.sums(bits) / n
+            words, code = pages.sums(_WORDS[pages.ids].astype(float)), pages.sums(_CODE[pages.ids].astype(float)) >= CODE_SHARE * n
+            sentence = pages.prose()
+            may = ~code & (words <= SENTENCE * n) & (n > (pages.ids[pages.at] == BREAK))
+            low = (np.frombuffer(b"".join(batch["repeats"]), np.uint8) > 0) & ~code
+            kinds = (sentence * _IS_PROSE + may * _MAY_BE_LIST + low * _IS_REPEATED).astype(np.uint8)
+            whole = np.bincount(np.repeat(np.arange(len(batch)), np.diff(pages.first)), bits, len(batch))
+            links = np.bincount(np.repeat(np.arange(len(batch)), np.diff(pages.first)), pages.ids == URL, len(batch))
+            own = np.where(sentence, mean, 0.0)
+            total, squares = np.bincount(pages.page, own, len(batch)), np.bincount(pages.page, own * own, len(batch))
+            sentences = np.bincount(pages.page, sentence, len(batch))
+            lengths = np.diff(pages.first)
+            packed = [x.tobytes() for x in (mean.astype(np.float32), kinds, n.astype(np.int32), words.astype(np.int32))]
             rows = []
-            for row in batch.itertuples(index=False):
-                ids, at = np.frombuffer(row.ids, np.uint16).astype(np.int64), np.frombuffer(row.starts, np.int32).astype(np.int64)
-                if not len(at):
-                    rows.append((row.id, None, b"", b"", b"", b"", b"", row.fenced, 0, 0, 0.0, 0.0))
-                    continue
-                n, bits = _lengths(ids, at), prose.bits(_trigrams(ids))
-                mean = np.add.reduceat(bits, at) / n
-                words = np.add.reduceat(_WORDS[ids].astype(float), at)
-                code = np.add.reduceat(_CODE[ids].astype(float), at) >= CODE_SHARE * n
-                sentence = _prose(ids, at)
-                may = ~code & (words <= SENTENCE * n) & (n > (ids[at] == BREAK))
-                low = (np.frombuffer(row.repeats, np.uint8) > 0) & ~code
-                kinds = sentence * _IS_PROSE + may * _MAY_BE_LIST + low * _IS_REPEATED
-                own = mean[sentence]
+            bounds = pages.bounds.tolist()
+            for k, (key, chars, fenced) in enumerate(zip(batch["id"], batch["chars"], batch["fenced"], strict=True)):
+                a, b = bounds[k], bounds[k + 1]
                 rows.append(
-                    (row.id, float(2.0 ** bits.mean()), mean.astype(np.float32).tobytes(), kinds.astype(np.uint8).tobytes(), row.chars,
-                     n.astype(np.int32).tobytes(), words.astype(np.int32).tobytes(), row.fenced, int((ids == URL).sum()),
-                     len(own), float(own.sum()), float((own * own).sum()))
+                    (key, float(2.0 ** (whole[k] / lengths[k])) if b > a else None, packed[0][4 * a : 4 * b], packed[1][a:b], chars,
+                     packed[2][4 * a : 4 * b], packed[3][4 * a : 4 * b], fenced, int(links[k]), int(sentences[k]), float(total[k]), float(squares[k]))
                 )
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _MEASURED.split(",")])
 

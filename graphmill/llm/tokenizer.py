@@ -33,9 +33,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # Fixed value: the white space of Unicode, as a Java character class without its brackets.
-_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _JAVA_PATTERN = (
-    PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
+    PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
 )
 
 #: Small maps in a literal map; about 12 entries each for 50,000 tokens.
@@ -226,17 +226,11 @@ def encode(
     broadcast, which bounds the broadcast whatever the corpus; texts with rarer words get those by a join, in which a word
     is spread over salts.
     """
-    texts = documents.select(F.col(id_column).alias("_id"), words_of(F.coalesce(F.col(text_column), F.lit(""))).alias("_words"))
-    spark = documents.sparkSession
-    counts = checkpointed(texts.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    encoded = checkpointed(encode_words(counts, path))
-    top = encoded.filter(F.octet_length("word") <= FOLD_BYTES).orderBy(F.desc("n"), "word").limit(frequent).toArrow().combine_chunks()
-    words, ids = (top.column(c).combine_chunks() if top.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
-    dictionary = spark.sparkContext.broadcast((words.cast(pa.string()), ids.cast(pa.list_(pa.int32()))))
+    texts, encoded, dictionary, complete = _dictionary(documents, id_column, text_column, path, frequent)
     kind = texts.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, ids array<int>, parts array<struct<ids:array<int>,word:string>>"
     whole = texts.mapInArrow(_assembled(dictionary), schema)
-    if encoded.count() == top.num_rows:
+    if complete:
         return whole.select(F.col("_id").alias(id_column), "ids")
     whole = checkpointed(whole)
     parts = whole.filter(F.col("parts").isNotNull()).select("_id", F.posexplode("parts").alias("_pos", "_part"))
@@ -252,9 +246,51 @@ def encode(
     return done.withColumnRenamed("_id", id_column)
 
 
-def token_counts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY) -> DataFrame:
+def _dictionary(documents: DataFrame, id_column: str, text_column: str, path: str, frequent: int):
+    """Words of the texts, all distinct words encoded, the broadcast of the frequent ones, and whether those are all."""
+    texts = documents.select(F.col(id_column).alias("_id"), words_of(F.coalesce(F.col(text_column), F.lit(""))).alias("_words"))
+    counts = checkpointed(texts.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    encoded = checkpointed(encode_words(counts, path))
+    top = encoded.filter(F.octet_length("word") <= FOLD_BYTES).orderBy(F.desc("n"), "word").limit(frequent).toArrow().combine_chunks()
+    words, ids = (top.column(c).combine_chunks() if top.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
+    dictionary = documents.sparkSession.sparkContext.broadcast((words.cast(pa.string()), ids.cast(pa.list_(pa.int32()))))
+    return texts, encoded, dictionary, encoded.count() == top.num_rows
+
+
+def _summed(dictionary):
+    """The tokens of the known words of each text, and the words that are not known."""
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = dictionary.value
+        lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        for batch in batches:
+            words = batch.column(1)
+            bounds = words.offsets.to_numpy().astype(np.int64)
+            bounds, flat = bounds - bounds[0], words.flatten()
+            at = pc.index_in(flat, value_set=known)
+            missing = at.is_null().to_numpy(zero_copy_only=False)
+            sizes = np.where(missing, 0, lengths[at.fill_null(0).to_numpy()]) if len(known) else np.zeros(len(at), np.int64)
+            ends = np.concatenate(([0], np.cumsum(sizes)))[bounds]
+            rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(missing)))[bounds].astype(np.int32)), flat.filter(pa.array(missing)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), rest], ["_id", "tokens", "rest"])
+
+    return assemble
+
+
+def token_counts(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY, frequent: int = 65536, salts: int = 16
+) -> DataFrame:
     """``(id_column, tokens)``: how many tokens each row's text has; 0 for null and empty texts. As ``encode`` otherwise."""
-    return encode(documents, id_column, text_column, path).select(id_column, F.size("ids").cast("bigint").alias("tokens"))
+    texts, encoded, dictionary, complete = _dictionary(documents, id_column, text_column, path, frequent)
+    kind = texts.schema["_id"].dataType.simpleString()
+    summed = texts.mapInArrow(_summed(dictionary), f"_id {kind}, tokens bigint, rest array<string>")
+    if complete:
+        return summed.select(F.col("_id").alias(id_column), "tokens")
+    summed = checkpointed(summed)
+    holes = summed.select("_id", F.explode("rest").alias("word"), F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"))
+    repeated = encoded.select("word", F.size("ids").alias("_size"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    parts = holes.join(repeated, ["word", "_salt"]).select("_id", F.col("_size").cast("bigint").alias("tokens"))
+    return summed.select("_id", "tokens").unionByName(parts).groupBy("_id").agg(F.sum("tokens").alias("tokens")).withColumnRenamed("_id", id_column)
 
 
 def decode(encoded: DataFrame, id_column: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
