@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold ``QUERIES`` and ``SQL``.
-MODULES = ("keys",)
+MODULES = ("keys", "graph_queries", "text_queries")
 
 
 def _merged(attribute: str) -> dict:
