@@ -55,6 +55,11 @@ def evidence(text: str, lang: str) -> list[str]:
     return list(set(map("".join, zip(START + tokens, tokens + END, strict=True))))
 
 
+def parses(text: str, lang: str) -> bool:
+    """Whether a text nests and reduces; what ``evidence`` says without its pairs. Python's exact parser decides alone."""
+    return _parses_exactly(text) if lang == "py" else lexer_of(lang)[0].grammar.accepts(tokens_of(text, lang))
+
+
 def permissible_pairs(spark: SparkSession) -> DataFrame:
     """``(lang, pair)`` of all grammars: a table of settings, some 20,000 short rows."""
     rows = [(lang, pair) for lang in sorted(set(LANGUAGES.values())) for pair in sorted(lexer_of(lang)[0].grammar.pairs())]
