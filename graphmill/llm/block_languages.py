@@ -163,7 +163,7 @@ class RubyLexer(Lexer):
         always = {char(w) for w in ("def", "class", "module", "begin", "case")}
         leading = {char(w) for w in ("if", "unless", "while", "until", "for")}
         loops = {char(w) for w in ("while", "until", "for")}
-        before = {"", ";", "(", *map(char, ("assign", "set", "then", "do", "else", "shift", "return"))}
+        before = {"", ";", "(", *map(char, ("assign", "set", "then", "do", "else", "shift"))}
         out, previous, loop = [], "", False
         for c in line:
             if previous == char("dot") or c in always and previous == char("colon"):

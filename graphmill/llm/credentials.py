@@ -79,7 +79,7 @@ _NAME_BEFORE = re.compile(
 )
 _CALL_BEFORE = re.compile(r"([A-Za-z_]\w*)\(\s*$")
 _BARE = re.compile(
-    r"([A-Za-z_][\w.-]*)\s*(?::=|=>|=|:|\s(?:was|is)\s|\s)\s*([A-Za-z0-9+/_=!@#%^&*~.?-]{6,})(?=$|[\s\"'`,;)])"
+    r"(?<![\w.-])(?=([A-Za-z_][\w.-]*)\s*(?::=|=>|=|:|\s(?:was|is)\s|\s)\s*([A-Za-z0-9+/_=!@#%^&*~.?-]{6,})(?=$|[\s\"'`,;)]))"
 )
 _ENTRY = re.compile(r"[ \t]*(?:export[ \t]+|-[ \t]+)?[\"']?([\w.-]+)[\"']?[ \t]*[:=][ \t]*")
 _COMMENT = re.compile(r"(?:^|\s)(?:#|//|--|;|\*|/\*)")

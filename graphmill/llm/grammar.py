@@ -159,9 +159,9 @@ class Grammar:
                     break
                 if end == len(content):
                     break
-            else:
+            if done == at:  # a longer window was hoped for in vain
                 m = item.match(content, at)
-                done = max(done, m.end() if m else at)
+                done = m.end() if m else at
             if done == at:
                 return False
             at = done
@@ -338,10 +338,10 @@ class Lexer:
     def __post_init__(self) -> None:
         words = self.keywords.split()
         self.skip = re.compile(self.opaque, re.S | re.M)
-        self.names = re.compile(rf"(?<![\w$])(?!(?:{'|'.join(words)})(?![\w$])){self.name}")
+        self.names = re.compile(rf"(?<![\w$])(?!(?:{'|'.join(words)})(?![\w$]))(?:{self.name})")
         self.member = re.compile(rf"(\.\s*)(?:{'|'.join(words)})(?![\w$])")
         self.bad = re.compile(rf"(?<![\w.]){self.bad_number}")
-        self.numbers = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F_]+\w*|\d[\d_]*(?:\.(?!\.)[\d_]*)?(?:[eE][+-]?\d+)?\w*|\.\d\w*)")
+        self.numbers = re.compile(r"(?<!\w)(?:0[xX][0-9a-fA-F_]+\w*|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?\d+)?\w*)|(?<![\w.)\]])\.\d\w*")
         spelled = {o: self.grammar.char(name) for name, ops in self.operators.items() for o in ops.split()}
         self.classes = spelled | {w: self.grammar.char(w) for w in words} | {c: c for c in "()[]{}"}
         self.classes |= {"n": "n", "\x01": "s", "\x02": "H", "\x03": "0", "\x04": UNKNOWN}

@@ -36,12 +36,12 @@ def boundaries(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
     closers = np.fromiter((b[:1] in ("}", ")", "]") or b[:3] == "end" for b in bare[1:]), bool, len(lines) - 1)
     costs = costs + np.where(closers, LINE, 0.0) + np.where(blank[1:], 0.3, 0.0)
     places = ends[:-1]
-    if (np.diff(ends, prepend=0) > max(2, step // 2)).any():
+    if (np.diff(ends, prepend=0) > max(1, step // 2)).any():
         extra: dict[int, float] = {}
         start = 0
         for end in ends.tolist():
             end = min(end, len(text))
-            if end - start > max(2, step // 2):
+            if end - start > max(1, step // 2):
                 thin: dict[int, tuple[float, int]] = {}
                 cell = max(1, step // 64)
                 for m in _INNER.finditer(text, start, end):
