@@ -369,7 +369,10 @@ class Lexer:
 
     def masked(self, text: str) -> str:
         """The text without comments, with marks for strings and numbers and ``n`` for names."""
-        bare = self.skip.sub(self._opaque, text)
+        return self.without_names(self.skip.sub(self._opaque, text))
+
+    def without_names(self, bare: str) -> str:
+        """A text without comments and strings, with names and numbers masked."""
         bare = self.member.sub(r"\1n", bare)
         bare = self.names.sub("n", bare)
         return self.numbers.sub("\x03", self.bad.sub("\x04", bare))
