@@ -204,7 +204,7 @@ def test_blocks():
     assert brace_block("f() { if (x) { ", 0) == "f() "
     assert end_block("def f\n  if x\n  end\nend\nmore", 0) == "def f\n  if x\n  end\nend"
     assert len(end_block("def f\n" + "  x\n" * 300, 0).split("\n")) == 200
-    assert signature_of('def f():\n  """doc\n  more"""\n  x') == 'def f():\n  """doc'
+    assert signature_of('def f():\n  """doc\n  more"""\n  x') == 'def f():\n  """doc\n  more"""'
     assert docstring_of('def f():\n  "d"\n  # c\n', ".py") == "Docstring:\nd"
     assert docstring_of("/// one\npub fn f() {}", ".rs") == "Doc Comments:\none"
     assert docstring_of(None, ".py") == "" and notebook_source('{"cells": []}') == ""
