@@ -225,10 +225,16 @@ def depth_layout(spark, sf_dir):
     return placed.select("id", F.round("across", 6).alias("across"), F.round("along", 6).alias("along"))
 
 
+def _rounded(name: str):
+    """A coordinate to four digits, without negative zeros."""
+    r = F.round(name, 4)
+    return F.when(r == 0, 0.0).otherwise(r)
+
+
 def sphere_layout(spark, sf_dir):
     files = table(spark, sf_dir, "nodes").filter("type = 'file'").select("id").distinct()
     placed = layout.sphere(layout.global_index(files, "id"))
-    return placed.select("id", *[F.round(c, 4).alias(c) for c in ("x", "y", "z")])
+    return placed.select("id", *[_rounded(c).alias(c) for c in ("x", "y", "z")])
 
 
 def ring_layout(spark, sf_dir):
@@ -238,7 +244,7 @@ def ring_layout(spark, sf_dir):
     n = files.agg(F.count(F.lit(1)).alias("n_files")).withColumn("_one", F.lit(1))
     placed = ring.withColumn("_one", F.lit(1)).join(n, "_one")
     none = files.limit(0).select("id", *[F.lit(0.0).alias(c) for c in ("x", "y", "z")])
-    return layout.rings(placed, none, F.col("n_files")).select("id", *[F.round(c, 4).alias(c) for c in ("x", "z")])
+    return layout.rings(placed, none, F.col("n_files")).select("id", *[_rounded(c).alias(c) for c in ("x", "z")])
 
 
 def fingerprint(spark, sf_dir):
@@ -372,8 +378,9 @@ SQL = {
         SELECT caller, callee, coalesce(a.scc_id = b.scc_id, false) AS is_cycle FROM folded LEFT JOIN multi a ON caller = a.node_id LEFT JOIN multi b ON callee = b.node_id""",
     "sphere_layout": """
         WITH f AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM nodes WHERE type = 'file')),
-        g AS (SELECT id, 90 * greatest(1.0, sqrt(n / 50.0)) AS r, 1 - i / greatest(n - 1, 1) * 2 AS u, pi() * (3 - sqrt(5)) * i AS t FROM f)
-        SELECT id, round(cos(t) * sqrt(greatest(0, 1 - u * u)) * r, 4) AS x, round(u * r, 4) AS y, round(sin(t) * sqrt(greatest(0, 1 - u * u)) * r, 4) AS z FROM g""",
+        g AS (SELECT id, 90 * greatest(1.0, sqrt(n / 50.0)) AS r, 1 - i / greatest(n - 1, 1) * 2 AS u, pi() * (3 - sqrt(5)) * i AS t FROM f),
+        h AS (SELECT id, round(cos(t) * sqrt(greatest(0, 1 - u * u)) * r, 4) AS x, round(u * r, 4) AS y, round(sin(t) * sqrt(greatest(0, 1 - u * u)) * r, 4) AS z FROM g)
+        SELECT id, CASE WHEN x = 0 THEN 0.0 ELSE x END AS x, CASE WHEN y = 0 THEN 0.0 ELSE y END AS y, CASE WHEN z = 0 THEN 0.0 ELSE z END AS z FROM h""",
     "history_trim": """
         WITH t AS (SELECT DISTINCT repo, request_id, requested_at FROM detail_requests WHERE repo IS NOT NULL AND requested_at IS NOT NULL)
         SELECT repo, request_id FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY requested_at DESC, request_id DESC) AS k FROM t) WHERE k <= 12""",
