@@ -50,9 +50,9 @@ SHAPES = {
 }
 _SHAPES = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SHAPES.items()))
 _AUTHORIZATION = re.compile(r"\b(Basic|Bearer)\s+([A-Za-z0-9._~+/-]{8,}={0,2})")
-_URL_PASSWORD = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@'\"`]*:([^\s/'\"`]+)@(?=[\w\[])")
+_URL_PASSWORD = re.compile(r"(?<=[A-Za-z0-9+.-])://[^\s/:@'\"`]*:([^\s/'\"`]+)@(?=[\w\[])")
 _URL_KEY = re.compile(r"[?&](?:api_?key|key|access_?token|token|auth|sig|signature|secret|password|pwd)=([\w.~+/%-]{12,})", re.I)
-_PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?=(?:\s|\\[nr]|[\"'`+.,\s\\])*[A-Za-z0-9+/=:-]{16})")
+_PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?=(?:\\[nr]|[\"'`+.,\s\\])*[A-Za-z0-9+/=:-]{16})")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 
 _PLACEHOLDER = re.compile(
@@ -63,21 +63,22 @@ _PLACEHOLDER = re.compile(
     re.I,
 )
 
-_TRIGGER_TEXT = (
-    r"akia[0-9a-z]|asia[0-9a-z]|gh[pousr]_|glpat-|[sr]k_(?:live|test)_|xox[abeprs]-|eyj[a-z0-9]|\bsg\.[\w-]|aiza|\bbasic\s"
+# Lines with a shape outside literals have one of these; lines that may name a secret have a stem of the names above.
+_SHAPE_TEXT = (
+    r"akia[0-9a-z]|asia[0-9a-z]|gh[pousr]_|glpat-|[sr]k_(?:live|test)_|xox[abeprs]-|eyj[\w-]|sg\.[\w-]|aiza|\bbasic\s"
     r"|\bbearer\s|://[^\s/:@'\"`]*:[^\s/'\"`]+@|[?&](?:api_?key|key|access_?token|token|auth|sig|signature|secret|password|pwd)="
-    r"|-----begin"
-    r"|(?:pass\w*|pwd|secret\w*|kennwort|contrase\w*|token|auth\w*|session|key\w*|signing\w*|credential\w*|hook|bot|dsn|conn)"
-    r"(?:_[0-9a-z]{1,2})?[\"'`\]]*\s*(?:(?::\s*&?[\w:.<>\[\]*]+\s*)?(?::=|=>|=)|:|,|\s(?:was|is))\s*(?:\(\s*)?[&*]?[\"'`]?[^\s\"'`(){}\[\]]{5}"
-    r"|(?:connect|log_?in|auth|sign_?in)\w*\(\s*[\"'`]\w+[\"'`]\s*,\s*[\"'`]"
 )
-_TRIGGER, _TRIGGER_ANY = re.compile(_TRIGGER_TEXT), re.compile(_TRIGGER_TEXT, re.I)
+_SHAPE, _SHAPE_ANY = re.compile(_SHAPE_TEXT), re.compile(_SHAPE_TEXT, re.I)
+_STEM = re.compile(re.sub(r"[$^]", "", f"{PASSWORDS}|{SECRETS}"))
+#: Characters of the shortest value with a shape: a URL with a password.
+LEAST_SHAPE = 7
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _JOIN = re.compile(r"\s*(?:\+|\.\.|\.|\\)?\s*(?:\\?\r?\n\s*(?:\+|\.\.|\.)?\s*)?")
 _NAME_BEFORE = re.compile(
-    r"([A-Za-z_$][\w$.-]*)[\"'`\]]*\s*(?:(?::(?!:)\s*&?[\w:.<>\[\]*' ]+?)?\s*(?::=|=>|=)|:)\s*(?:\(\s*)?(?:[urbfURBF]|String\.raw|new\s+\w+\()?$"
+    r"([A-Za-z_$][\w$.-]*)[\"'`\]]*\s*(?:(?::(?!:)\s*&?[\w:.<>\[\]*' ]+?)?\s*(?::=|=>|=)|:)\s*(?:\(\s*)?(?:[urbfURBF]{1,2}|String\.raw|new\s+\w+\(\s*)?$"
 )
 _CALL_BEFORE = re.compile(r"([A-Za-z_]\w*)\(\s*$")
+_COMMA_BEFORE = re.compile(r",\s*$")
 _BARE = re.compile(
     r"(?<![\w.-])(?=([A-Za-z_][\w.-]*)\s*(?::=|=>|=|:|\s(?:was|is)\s|\s)\s*([A-Za-z0-9+/_=!@#%^&*~.?-]{6,})(?=$|[\s\"'`,;)]))"
 )
@@ -161,14 +162,14 @@ def shaped(value: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _joined(text: str, start: int, end: int) -> list[tuple[int, int, int, str]]:
-    """Literals that begin in ``text[start:end]`` with those that the code joins to them: ``(group, start, end, value)``."""
-    out, group, at = [], 0, start
-    while (m := _LITERAL.search(text, at)) and m.start() < end:
-        group += 1
+def _joined(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """The literals of a text, each with those that the code joins to it: ``(start, end, value)``."""
+    at = 0
+    while m := _LITERAL.search(text, at):
+        parts = []
         while True:
             which = m.lastindex or 1
-            out.append((group, m.start(which), m.end(which), m[which]))
+            parts.append((m.start(which), m.end(which), m[which]))
             glue = _JOIN.match(text, m.end())
             at = m.end()
             n = _LITERAL.match(text, glue.end())
@@ -176,41 +177,45 @@ def _joined(text: str, start: int, end: int) -> list[tuple[int, int, int, str]]:
             if not n or not glue.group().strip() and "\n" not in glue.group():
                 break
             m = n
-    return out
-
-
-def _in_literals(text: str, start: int, end: int, add) -> None:
-    pieces = _joined(text, start, end)
-    previous: tuple[int, str] | None = None
-    for group in dict.fromkeys(p[0] for p in pieces):
-        parts = [p for p in pieces if p[0] == group]
-        value = "".join(p[3] for p in parts)
+        yield parts
+
+
+def _in_literals(text: str, add) -> None:
+    previous: tuple[int, int, str] | None = None
+    for parts in _joined(text):
+        value = "".join(p[2] for p in parts)
+        first = parts[0][0]
+        last, previous = previous, (first, parts[-1][1], value)
+        found = shaped(value) if len(value) >= LEAST_SHAPE else []
+        # The names cost more than the value: they are looked up for values that can be a secret.
+        if not found and not (_password_like(value) or _opaque(value)):
+            continue
         spans, at = [], 0
-        for _, a, b, v in parts:
+        for a, b, v in parts:
             spans.append((at, a, b))
             at += len(v)
 
         def place(s: int, e: int, spans=spans) -> list[tuple[int, int]]:
             return [(max(a, a + s - o), min(b, a + e - o)) for o, a, b in spans if o < e and o + b - a > s]
 
-        first = parts[0][1]
-        before = text[max(start, first - 160) : first - 1]
+        before = text[max(0, first - 160) : first - 1]
         name = m[1] if (m := _NAME_BEFORE.search(before)) else ""
-        found = shaped(value)
         for s, e, kind in found:
             add(first, place(s, e), name, kind)
-        if not found and (
-            (name and (kind := named_credential(name, value)))
-            or (previous and re.search(r",\s*$", before) and (kind := named_credential(previous[1], value)))
-        ):
-            add(first, place(0, len(value)), name or previous[1], kind)
-        elif not found and previous and re.search(r",\s*$", before):
-            opened = text[max(start, previous[0] - 80) : previous[0] - 1]
+        if found:
+            continue
+        opened = text[max(0, last[0] - 80) : last[0] - 1] if last else ""
+        # A pair of arguments may stand on several lines; in lists and the like it stands on one.
+        pair = last and _COMMA_BEFORE.search(before) and (
+            "\n" not in text[last[1] : first] or _CALL_BEFORE.search(opened) and not text[last[1] + 1 : first - 1].strip(" \t\r\n,")
+        )
+        if (name and (kind := named_credential(name, value))) or (pair and (kind := named_credential(last[2], value))):
+            add(first, place(0, len(value)), name or last[2], kind)
+        elif pair:
             call = _CALL_BEFORE.search(opened)
-            if call and re.match(r"(?i)(connect|log_?in|auth|sign_?in)", call[1]) and re.fullmatch(r"[A-Za-z][\w.@-]{1,31}", previous[1]) \
-                    and len(value) >= 8 and _password_like(value) and not _HARMLESS.search(_plain(previous[1])):
-                add(first, place(0, len(value)), previous[1], "password")
-        previous = (first, value)
+            if call and re.match(r"(?i)(connect|log_?in|auth|sign_?in)", call[1]) and re.fullmatch(r"[A-Za-z][\w.@-]{1,31}", last[2]) \
+                    and len(value) >= 8 and _password_like(value) and not _HARMLESS.search(_plain(last[2])):
+                add(first, place(0, len(value)), last[2], "password")
 
 
 def _in_configuration(text: str, start: int, end: int, path: str, add) -> None:
@@ -249,12 +254,14 @@ def key_paths(text: str, ext: str) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
 
 
+def _commented(text: str, start: int, end: int) -> bool:
+    """Whether a line of a configuration is a comment."""
+    return bool((c := _COMMENT.search(text, start, end)) and c.start() <= start + 2)
+
+
 def find(text: str, ext: str) -> list[Finding]:
     """The credentials of a text, whose format ``ext`` (an extension in lower case) names, by place."""
-    lower = text.lower()
-    trigger, where = (_TRIGGER, lower) if len(lower) == len(text) else (_TRIGGER_ANY, text)
     config = ext in CONFIGURATION
-    paths: dict[int, str] | None = None
     spans: dict[tuple[int, int], tuple[int, str, str]] = {}
 
     def add(first: int, places: list[tuple[int, int]], path: str, kind: str) -> None:
@@ -262,35 +269,39 @@ def find(text: str, ext: str) -> list[Finding]:
             if b > a and not any(x < b and a < y for x, y in spans):
                 spans[a, b] = (first, path, kind)
 
+    def line_end(at: int) -> int:
+        end = text.find("\n", at)
+        return len(text) if end < 0 else end
+
+    for p in _PRIVATE.finditer(text):
+        stop = _PRIVATE_END.search(text, p.end())
+        add(p.start(), [(p.end(), stop.start() if stop else line_end(p.end()))], "", "private_key")
+    if config:
+        for start, path in key_paths(text, ext):
+            _in_configuration(text, start, line_end(start), path, add)
+    _in_literals(text, add)
+    # What stands outside literals: comments, shell words, headers in commands.
+    lower = text.lower()
+    trigger, where = (_SHAPE, lower) if len(lower) == len(text) else (_SHAPE_ANY, text)
     done = -1
     for m in trigger.finditer(where):
         if m.start() < done:
             continue
-        start = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.start())
-        end = len(text) if end < 0 else end
-        done = end
-        at = start
-        while (p := _PRIVATE.search(text, at, min(len(text), end + 200))) and p.start() < end:
-            at = p.end()
-            stop = _PRIVATE_END.search(text, p.end())
-            close = stop.start() if stop else end
-            add(p.start(), [(p.end(), close)], "", "private_key")
-            done = max(done, close)
-        if config:
-            if paths is None:
-                paths = dict(key_paths(text, ext))
-            _in_configuration(text, start, end, paths.get(start, ""), add)
-        _in_literals(text, start, end, add)
-        # What stands outside literals: comments, shell words, headers in commands.
-        if not config or (c := _COMMENT.search(text, start, end)) and c.start() <= start + 2:
-            line = text[start:end]
-            for s, e, kind in shaped(line):
+        start, done = text.rfind("\n", 0, m.start()) + 1, line_end(m.start())
+        if not config or _commented(text, start, done):
+            for s, e, kind in shaped(text[start:done]):
                 add(start + s, [(start + s, start + e)], "", kind)
+    # Names without separators, line by line: lines keep their number in it.
+    plain = lower.replace("_", "").replace("-", "")
+    if _STEM.search(plain):
+        start = 0
+        for line, names in zip(text.split("\n"), plain.split("\n"), strict=True):
             comment = _COMMENT.search(line)
-            for b in _BARE.finditer(line, comment.end() if comment else 0):
-                if (comment or ext in ("sh", "bash")) and (kind := named_credential(b[1], b[2])):
-                    add(start + b.start(2), [(start + b.start(2), start + b.end(2))], b[1], kind)
+            if (comment or ext in ("sh", "bash")) and _STEM.search(names) and (not config or comment.start() <= 2):
+                for b in _BARE.finditer(line, comment.end() if comment else 0):
+                    if kind := named_credential(b[1], b[2]):
+                        add(start + b.start(2), [(start + b.start(2), start + b.end(2))], b[1], kind)
+            start += len(line) + 1
     return [
         Finding(text.count("\n", 0, first) + 1, a, b, path, kind) for (a, b), (first, path, kind) in sorted(spans.items())
     ]

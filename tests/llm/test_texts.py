@@ -110,6 +110,24 @@ def test_credentials(ext, code, lines):
     assert not credentials.find(clean, ext)
 
 
+VALUE = "q8Zr2Lk5Xw9Tn4Vb7Yc3"
+NAMED = [
+    ("py", f'API_TOKEN_STAGING = "{VALUE}"\n', [1]), ("js", f'const tokenProd = "{VALUE}";\n', [1]), ("py", 'db_pwd_main = "velvet-harbor42"\n', [1]),
+    ("py", f'sessionCookie = "{VALUE}"\nsenha = "harbor42velvet"\ncookie = "{VALUE}"\nbearer = "{VALUE}"\n', [1, 2, 3, 4]),
+    ("py", f'SECRET_KEY = b"{VALUE}"\nSECRET_KEY = r"{VALUE}"\nSECRET_KEY = rb"{VALUE}"\n', [1, 2, 3]), ("js", f'const secretKey = new Foo("{VALUE}");\n', [1]),
+    ("py", f'API_TOKEN = (\n    "{VALUE[:9]}"\n    "{VALUE[9:]}"\n)\n', [2]), ("js", 'connectEdge(\n  "svc",\n  "velvettimber522",\n);\n', [3]),
+    ("sh", f"export API_TOKEN_STAGING={VALUE}\n", [1]), ("js", f"// the old API_KEY {VALUE}\n", [1]), ("yaml", "my-senha: harbor42velvet\n", [1]),
+    ("py", 'FIELDS = [\n    "password",\n    "oauth2_state",\n]\ntokens_seen = "none at all"\n', []),
+]
+
+
+@pytest.mark.parametrize(("ext", "code", "lines"), NAMED)
+def test_credentials_under_any_sensitive_name(ext, code, lines):
+    found = credentials.find(code, ext)
+    assert sorted({f.line_no for f in found}) == lines
+    assert not credentials.find(credentials.redact(code, found), ext)
+
+
 def test_credential_operator(spark):
     rows = [(1, f'é = "{TOKEN}"\r\n', "py", 0), (1, f'é = "{TOKEN}"\r\n', "py", 0), (2, None, "py", 0), (3, "", None, 0), (4, "x" * 300_000, "js", 0)]
     df = spark.createDataFrame(rows, "request_id bigint, code string, ext string, line_no int")
