@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,49 +15,58 @@ from graphmill.session import checkpointed
 
 #: Rank buckets of a group of texts of one source and length: such a group is ranked in so many parts.
 RANK_BUCKETS = 64
-#: Lengths that the knapsack may use for what is left after the proportional choice.
-KNAPSACK_LENGTHS = 256
+#: Sums that the knapsack looks at: at least, at most, and times the number of lengths.
+LEAST_ROOM, MOST_ROOM, ROOM_LENGTHS = 1 << 16, 1 << 22, 1 << 31
 
 
 def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of ``counts[i]`` texts of ``lengths[i]`` tokens to take for a total as near below ``budget`` as found.
 
-    A proportional part of every length first, then single texts while much is left, then a bounded knapsack over the
-    rest, solved exactly over sets of reachable sums.
+    A proportional part of every length first, then the longest texts that fit while much is left (one of each length,
+    then more), then a bounded knapsack over all texts that fit the rest, solved exactly. What is missing is less than the
+    shortest text left out.
     """
     whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if whole <= budget:
         return list(counts)
     taken = [c * budget // whole for c in counts]
     left = budget - sum(n * c for n, c in zip(lengths, taken, strict=True))
-    room = 4 * max(lengths)
+    room = min(4 * max(lengths), MOST_ROOM, max(LEAST_ROOM, ROOM_LENGTHS // len(lengths)))
+    for most in (1, left):
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            if left <= room:
+                break
+            more = min(most, counts[i] - taken[i], left // lengths[i], -((room - left) // lengths[i]))
+            taken[i] += more
+            left -= lengths[i] * more
+    if left > room:  # no other text fits
+        return taken
     order = sorted(range(len(lengths)), key=lambda i: -((counts[i] * budget) % whole))
-    for i in order:
-        if left <= room:
-            break
-        if taken[i] < counts[i] and lengths[i] <= left:
-            taken[i] += 1
-            left -= lengths[i]
-    free = [i for i in order if taken[i] < counts[i] and lengths[i] <= left]
-    step = max(1, len(free) // KNAPSACK_LENGTHS)
     parts: list[tuple[int, int]] = []  # (index, how many at once): powers of two bound the number of copies
-    for i in free[::step][:KNAPSACK_LENGTHS]:
+    for i in order:
         most, size = min(counts[i] - taken[i], left // lengths[i]), 1
         while most > 0:
             parts.append((i, min(size, most)))
-            most -= size
+            most -= parts[-1][1]
             size *= 2
-    mask, reach = (1 << (left + 1)) - 1, [1]
-    for i, copies in parts:
-        reach.append((reach[-1] | reach[-1] << (lengths[i] * copies)) & mask)
-        if reach[-1] >> left & 1:
+    # The part by which each sum was reached first: before it, the sum without that part was reached.
+    reached = np.zeros(left + 1, bool)
+    reached[0] = True
+    by = np.full(left + 1, -1, np.int32)
+    top = 0
+    for k, (i, copies) in enumerate(parts):
+        step = lengths[i] * copies
+        if step <= left:
+            new = np.flatnonzero(reached[: min(top, left - step) + 1] & ~reached[step : min(top, left - step) + step + 1]) + step
+            reached[new] = True
+            by[new] = k
+            top = max(top, int(new[-1])) if len(new) else top
+        if reached[left]:
             break
-    at = reach[-1].bit_length() - 1
-    for k in range(len(reach) - 1, 0, -1):
-        i, copies = parts[k - 1]
-        if not reach[k - 1] >> at & 1:
-            taken[i] += copies
-            at -= lengths[i] * copies
+    while top:
+        i, copies = parts[by[top]]
+        taken[i] += copies
+        top -= lengths[i] * copies
     return taken
 
 

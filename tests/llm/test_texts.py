@@ -72,6 +72,31 @@ def test_knapsack_stays_within_budget(items, budget):
     assert sum(a * b for a, b in zip(lengths, taken, strict=True)) <= budget
 
 
+def _short(lengths, counts, budget):
+    taken = mixing.fill(lengths, counts, budget)
+    assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
+    return budget - sum(a * b for a, b in zip(lengths, taken, strict=True)), [a for a, b, c in zip(lengths, taken, counts, strict=True) if b < c]
+
+
+def test_knapsack_reaches_the_budget_beside_a_huge_text():
+    lengths = [*range(1, 2001), 1_000_000]
+    for counts in ([1] * 2001, [3] * 2000 + [1]):
+        for budget in (300_000, 999_999, 1_500_000, 2_400_000):
+            assert _short(lengths, counts, budget)[0] == 0
+    assert _short([*range(1, 1096), 1_000_000], [1] * 1096, 1_500_000)[0] == 0
+    assert _short([750_000, 900_000], [2, 1], 1_500_000)[0] == 0
+    assert _short([*range(3, 900, 3), 5_000_000], [9] * 299 + [1], 1_000_000)[0] == 1
+    # No text but those that are too long is left.
+    assert _short([1000, 9_000_000], [5, 1], 8_000_000) == (7_995_000, [9_000_000])
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 200_000), st.integers(1, 6)), min_size=1, max_size=12, unique_by=lambda t: t[0]), st.integers(0, 900_000))
+def test_knapsack_misses_less_than_the_shortest_text_left_out(items, budget):
+    short, out = _short([a for a, _ in items], [b for _, b in items], budget)
+    assert not out or 0 <= short < min(out)
+
+
 def test_mixture(spark):
     rng = random.Random(5)
     words = "alpha beta gamma delta quota ledger parcel frame".split()
