@@ -48,11 +48,11 @@ def p5_redacted(spark, sf_dir):
 
 
 def p6_pairs(spark, sf_dir):
-    return functions.documented_functions(source_files(spark, sf_dir))
+    return functions.mark_templates(functions.documented_functions(source_files(spark, sf_dir)))
 
 
 def p6_found(spark, sf_dir):
-    return p6_pairs(spark, sf_dir).select("request_id", "func_name", "line_no")
+    return functions.documented_functions(source_files(spark, sf_dir)).select("request_id", "func_name", "line_no")
 
 
 def p7_ids(spark, sf_dir):

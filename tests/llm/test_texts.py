@@ -198,6 +198,15 @@ def test_function_operator_and_templates(spark):
     assert functions.documented_functions(df.limit(0)).count() == 0
 
 
+def test_repeated_descriptions_are_kept_and_marked(spark):
+    code = "".join(f'def f{i}():\n    """The same words stand here again."""\n' for i in range(250))
+    code += "".join(f'def g{i}():\n    """Returns the state of register number {i}."""\n' for i in range(3))
+    df = spark.createDataFrame([(1, "py", code)], "request_id bigint, lang string, code string")
+    found = functions.documented_functions(df)
+    assert found.count() == 253
+    assert {r["func_name"]: r["doc_names"] for r in functions.mark_templates(found).collect()} == {**{f"f{i}": 250 for i in range(250)}, "g0": 1, "g1": 1, "g2": 1}
+
+
 def test_machine_files(spark):
     rng = random.Random(1)
 
