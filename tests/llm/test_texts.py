@@ -228,6 +228,22 @@ def test_machine_files(spark):
     assert machine_files.classify_files(files.limit(0), libs).count() == 0
 
 
+def test_copies_are_found_beside_a_foreign_lead(spark):
+    """The library of the least id has the same masked text but other lines: it leads all bands of the copies."""
+    rng = random.Random(9)
+    kinds = ["alpha{0} = beta{1}(gamma{2}, {3})", "if delta{0} > {3}:\n    gamma{1}(delta{2})", "for kappa{0} in zeta{1}:\n    eta{2}[{3}] += 1", "class Theta{0}:\n    kind = {{'a': {3}}}", "result{0} = lambda q: q * {3}"]
+    lib = "\n".join(rng.choice(kinds).format(*(rng.randrange(100, 999) for _ in range(4))) for _ in range(40)) + "\n"
+
+    def other(n: int) -> str:
+        return "".join(str((int(c) + n) % 9 + 1) if c.isdigit() else c for c in lib)
+
+    rows = [(i, f"r{i}", f"src/m{i}.py", code, "py") for i, code in ((1, "# a note\n" + lib), (2, other(3)), (3, other(4) + "last = 1\n"), (4, "# one more\n" + other(4)), (5, other(4)))]
+    files = spark.createDataFrame(rows, "request_id bigint, repo string, file_path string, code string, lang string")
+    libs = spark.createDataFrame([(1, "lib.py", lib), (2, "twin.py", other(5))], "lib_id bigint, file_name string, code string")
+    got = {r["request_id"]: r["label"] for r in machine_files.classify_files(files, libs).collect()}
+    assert got == {1: "vendored", 2: "hand-written", 3: "vendored", 4: "vendored", 5: "vendored"}
+
+
 def test_spam_pages(spark):
     sentences = ["The importer keeps the ledger in a folder so that reviews stay small.", "You can call the parser with a depth of {0}, but anything deeper is hard to read.", "We saw {0} callers of this function last week and most of them were in the old code.", "It is not clear to me whether the cache may return an empty frame."]
     rng = random.Random(2)
