@@ -1,11 +1,12 @@
-"""Keyword-stuffed pages and lists of links or tags, by perplexity of word classes.
-
-Every text becomes a sequence of classes: each frequent function word is its own class, other words fall into a class by
-their form (capitals, identifier, number, link, tag, price, marks). A trigram model of these classes is trained on the
-prose of the corpus: counts of documents that hold a trigram in a sentence. The model has a fixed number of classes, so
-its size does not depend on the corpus. Segments of a page (lines, or parts of long lines) are abnormal if prose does not
-predict them (their perplexity under the model is high) or if the page itself predicts them too well (their perplexity
-under the page's own pairs of content words is low). A page is spam if abnormal segments hold most of its characters.
+"""Keyword-stuffed pages and lists of links or tags, by perplexity of function words and word classes.
+
+Every text becomes a sequence of stretches: what stands between two function words, described by its length and by the most
+marked class of its words (plain, capital, number, identifier, tag, link and so on). A trigram model of stretches is trained
+on the prose of the corpus. Its number of symbols is fixed, so its size does not depend on the corpus. Segments of a page
+(lines, or sentences of long lines) are abnormal if prose does not predict them (their perplexity under the prose model is
+high) or if the page itself predicts them too well (the perplexity of their content words under the page's own word pairs,
+each left out of its own prediction, is low). Both limits are set by the perplexities of the corpus's prose. A page is spam
+if abnormal segments hold most of its characters.
 """
 
 from __future__ import annotations
@@ -59,17 +60,17 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _LINK = re.compile(r"""<a\s[^<>]*?href\s*=\s*["']?([^"'\s<>]+)[^<>]*>""", re.I)
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>")
 
-#: Segments are lines; longer lines are cut after a sentence or at this many tokens.
+#: Lines of more tokens are cut after sentences; sentences of more than twice as many tokens are cut into parts of so many.
 SEGMENT = 24
-#: A segment's mean bits a token under the prose model above this many standard deviations over prose's mean is abnormal.
-DEVIATIONS = 3.0
-#: Function words of a segment, as a share of its tokens, from which it is no list whatever its perplexity.
-SENTENCE = 0.15
-#: Pairs of content words that a page holds so often, and so large a share of its pairs, are predicted by the page itself.
-OFTEN, OFTEN_SHARE = 3, 0.03
-#: Share of a segment's content words within such pairs from which the page predicts it too well, unless the segments so
-#: predicted have more function words than OWN_SENTENCES.
-REPEATED, OWN_SENTENCES = 0.6, 0.25
+#: Characters of texts whose tokens are held at once.
+CHUNK = 4_000_000
+#: A segment whose mean bits a stretch are so many standard deviations above prose's mean is abnormal, and one whose mean
+#: bits a content word, under the page's own pairs, are so many below that of prose.
+HIGH, LOW = 6.0, 2.9
+#: Bits of one stretch at most: a single odd mark in a sentence makes no list.
+MOST_BITS = 10.0
+#: The page's own model: weight of single words beside pairs, of unseen words beside seen ones, and how many unseen words it supposes.
+PAIR_WEIGHT, NEW_WEIGHT, NEW_WORDS = 4.0, 0.05, 20.0
 #: Share of a page's characters in abnormal segments from which it is spam, and the tokens they must have at least.
 MOST, LEAST_TOKENS = 0.5, 10
 #: Share of identifiers, arrows and code marks from which a segment is code or a call listing, which is never abnormal.
@@ -120,238 +121,262 @@ def classify(token: str) -> int:
 
 
 class _Classes(dict):
-    """Codes of the tokens seen so far: class, length and a hash of the token in lower case. Emptied when large, so that it
-    holds no vocabulary of the corpus."""
+    """Codes of the tokens seen so far: class, and a hash of the token in lower case. Emptied when large, so that it holds no
+    vocabulary of the corpus."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        code = classify(token) | min(len(token), 0xFFFF) << 16 | (zlib.crc32(token.lower().encode()) & 0x7FFFFFFF) << 32
+        code = classify(token) | zlib.crc32(token.lower().encode()) << 16
         self[token] = code
         return code
 
 
-def segments(text: str, classes: _Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """``(class per token, segment starts, characters per segment, share of repeated content per segment, characters in
-    fenced code)``."""
+_CODE = np.zeros(CLASSES, bool)
+_CODE[[IDENTIFIER, ARROW, CODE, SPAN]] = True
+_CONTENT = np.zeros(CLASSES, bool)
+_CONTENT[[LOWER, CAPITAL, CAPITALS, TAG]] = True
+#: How marked a class is within a stretch; function words and breaks are 0.
+_MARKED = np.zeros(CLASSES, np.int64)
+for _rank, _forms in enumerate(((LOWER, END), (CAPITAL, CAPITALS), (COMMA,), (NUMBER, QUOTE), (OTHER, BULLET, BLOCK), (BAR,), (IDENTIFIER, SPAN, ARROW, CODE), (PRICE, TAG), (URL,)), 1):
+    _MARKED[list(_forms)] = _rank
+RANKS = 9
+#: Least lengths of stretches of one bucket: 1, 2, 3, 4, 5, 6, 8, 11, 20 words.
+_LENGTHS = np.array([1, 2, 3, 4, 5, 6, 8, 11, 20])
+#: Symbols of stretches: none between two function words, or a length and a mark; another set for those that end a segment.
+STRETCHES = 1 + len(_LENGTHS) * RANKS
+SYMBOLS = 2 * STRETCHES + 1
+_EDGE = SYMBOLS - 1
+#: What a segment is: a sentence, code, the first of its page.
+_IS_PROSE, _IS_CODE = 1, 2
+
+
+def _plain_text(text: str) -> tuple[str, int]:
+    """A text without fenced code and with the links of its markup, and the characters of the code."""
     fenced = 0
     if "```" in text:
         bare = _FENCE.sub("\n", text)
         fenced, text = len(text) - len(bare), bare
     if "</" in text:
         text = _MARKUP.sub("\n", _LINK.sub(r"\n \1 ", text))
-    tokens = _TOKENS.findall(text)
-    codes = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
-    ids, sizes = codes & 0xFFFF, codes >> 16 & 0xFFFF
-    if not len(tokens):
-        return ids, ids, ids, ids.astype(float), fenced
-    # Segment starts: after a break, or within a long line after a sentence or every SEGMENT tokens.
-    breaks = np.flatnonzero(ids == BREAK)
-    bounds = np.concatenate(([0], breaks + 1, [len(ids)]))
-    starts: list[int] = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a <= 1 and b != len(ids):
-            continue
-        if b > a:
-            starts.append(a)
-        if b - a > SEGMENT:
-            last = a
-            for e in (np.flatnonzero(ids[a:b] == END) + a + 1).tolist():
-                while e - last > 2 * SEGMENT:
-                    last += SEGMENT
-                    starts.append(last)
-                if e - last >= 6 and b - e >= 4:
-                    starts.append(e)
-                    last = e
-            while b - last > 2 * SEGMENT:
-                last += SEGMENT
-                starts.append(last)
-    if not starts:
-        return ids[:0], ids[:0], ids[:0], ids[:0].astype(float), fenced
-    at = np.array(sorted(set(starts)), np.int64)
-    chars = np.add.reduceat(sizes, at)
-    # Content words in pairs that the page holds at least three times.
-    content = np.flatnonzero((ids == LOWER) | (ids == CAPITAL) | (ids == CAPITALS) | (ids == TAG))
-    words = codes[content] >> 32
-    repeated = np.zeros(len(words), bool)
-    if len(words) > 1:
-        near = np.diff(content) <= 2
-        pairs = words[:-1] * 0x9E3779B1 ^ words[1:]
-        _, which, counts = np.unique(np.where(near, pairs, -1), return_inverse=True, return_counts=True)
-        often = near & (counts[which] >= max(OFTEN, OFTEN_SHARE * len(pairs)))
-        repeated[:-1] |= often
-        repeated[1:] |= often
-    flags, present = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
-    flags[content] = repeated
-    present[content] = 1
-    have = np.add.reduceat(present[:-1], at)
-    share = np.add.reduceat(flags[:-1], at) / np.maximum(have, 1)
-    return ids, at, chars, np.where(have >= 2, share, 0.0), fenced
-
-
-_WORDS = np.zeros(CLASSES, bool)
-_WORDS[len(FORMS) :] = True
-_CODE = np.zeros(CLASSES, bool)
-_CODE[[IDENTIFIER, ARROW, CODE, SPAN]] = True
-
-
-class _Pages:
-    """The segments of many pages as flat arrays: ``ids`` of all tokens, and of each segment its page, begin and length."""
-
-    def __init__(self, batch: pd.DataFrame) -> None:
-        lengths = np.array([len(x) // 2 for x in batch["ids"]], np.int64)
-        counts = np.array([len(x) // 4 for x in batch["starts"]], np.int64)
-        self.first = np.concatenate(([0], np.cumsum(lengths)))
-        self.ids = np.frombuffer(b"".join(batch["ids"]), np.uint16).astype(np.int64)
-        self.page = np.repeat(np.arange(len(batch)), counts)
-        self.at = np.frombuffer(b"".join(batch["starts"]), np.int32).astype(np.int64) + self.first[self.page]
-        ends = np.append(self.at[1:], len(self.ids))
-        self.n = np.minimum(ends, self.first[self.page + 1]) - self.at
-        self.bounds = np.concatenate(([0], np.cumsum(counts)))
-        before = np.cumsum(self.n) - self.n
-        #: Tokens that are in a segment, in order, and the segment of each.
-        self.tokens = np.repeat(self.at - before, self.n) + np.arange(int(self.n.sum()))
-        self.segment = np.repeat(np.arange(len(self.at)), self.n)
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """The sum over each segment's tokens."""
-        return np.bincount(self.segment, values[self.tokens], len(self.at))
-
-    def trigrams(self) -> np.ndarray:
-        """Code of each token's trigram; a page begins after two breaks."""
-        one = np.concatenate(([BREAK], self.ids[:-1]))[: len(self.ids)]
-        two = np.concatenate(([BREAK, BREAK], self.ids[:-2]))[: len(self.ids)]
-        starts = self.first[:-1][np.diff(self.first) > 0]
-        one[starts] = two[starts] = BREAK
-        second = starts + 1
-        two[second[second < len(self.ids)]] = BREAK
-        return (two * CLASSES + one) * CLASSES + self.ids
-
-    def prose(self) -> np.ndarray:
-        """Whether each segment is a sentence: ended as one, with enough function words, of which at least three differ."""
-        if not len(self.at):
-            return np.zeros(0, bool)
-        last = self.at + self.n - 1
-        last = np.where((self.ids[last] == BREAK) & (self.n > 1), last - 1, last)
-        found = (self.n >= 6) & (self.ids[last] == END) & (self.sums(_WORDS[self.ids].astype(float)) >= 0.2 * self.n)
-        own = self.ids[self.tokens]
-        held = np.unique((self.segment * CLASSES + own)[_WORDS[own]])
-        return found & (np.bincount(held // CLASSES, minlength=len(self.at)) >= 3)
+    return text, fenced
+
+
+def _times(keys: np.ndarray) -> np.ndarray:
+    """How often each value of ``keys`` stands in it."""
+    which, _ = pd.factorize(keys)
+    return np.bincount(which)[which] if len(keys) else which
+
+
+def _cut(lines: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Segment begins: of lines, of the sentences of long lines, of the parts of long sentences."""
+    n = len(ids)
+    starts = np.flatnonzero(lines)
+    lengths = np.diff(np.append(starts, n))
+    begins = lines.copy()
+    begins[1:] |= np.repeat(lengths > SEGMENT, lengths)[1:] & (ids[:-1] == END) & (ids[1:] != BREAK)
+    starts = np.flatnonzero(begins)
+    lengths = np.diff(np.append(starts, n))
+    whole = np.repeat(lengths, lengths)
+    since = np.arange(n) - np.repeat(starts, lengths)
+    return begins | (whole > 2 * SEGMENT) & (since % SEGMENT == 0) & (whole - since >= SEGMENT // 2)
+
+
+def _own_bits(content: np.ndarray, words: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """Bits of each content word under the other words and pairs of its page."""
+    keys = page.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    near = np.zeros(len(keys), bool)
+    near[1:] = (page[1:] == page[:-1]) & (np.diff(content) <= 3)
+    pairs = keys.copy()
+    pairs[1:] = np.where(near[1:], keys[:-1] * np.uint64(0xD6E8FEB86659FD93) ^ keys[1:], keys[1:] * np.uint64(7) + np.uint64(13))
+    single, double = _times(keys), _times(pairs)
+    before = np.ones(len(keys))
+    before[1:] = single[:-1]
+    alone = (single - 1 + NEW_WEIGHT) / (_times(page) + NEW_WORDS)
+    p = np.where(near, (double - 1 + PAIR_WEIGHT * alone) / (before - 1 + PAIR_WEIGHT), alone)
+    return -np.log2(np.minimum(p, 1.0))
+
+
+def _pages(texts: list[str], classes: _Classes) -> list[tuple]:
+    """Of each text: the symbols of its stretches; of each of its segments the number of stretches, characters, tokens, bits
+    a content word under the page's own model (NaN with fewer than two), kind; characters of code, number of links."""
+    tokens: list[str] = []
+    counts, fenced = np.zeros(len(texts), np.int64), []
+    for k, text in enumerate(texts):
+        bare, code = _plain_text(text)
+        found = _TOKENS.findall(bare)
+        tokens += found
+        counts[k] = len(found)
+        fenced.append(code)
+    n = len(tokens)
+    if not n:
+        return [(b"", b"", b"", b"", b"", b"", code, 0) for code in fenced]
+    codes = np.fromiter(map(classes.__getitem__, tokens), np.int64, n)
+    sizes = np.fromiter(map(len, tokens), np.int64, n)
+    ids, page = codes & 0xFFFF, np.repeat(np.arange(len(texts)), counts)
+    lines = np.ones(n, bool)
+    lines[1:] = (page[1:] != page[:-1]) | (ids[:-1] == BREAK)
+    starts = np.flatnonzero(_cut(lines, ids))
+    lengths = np.diff(np.append(starts, n))
+    segment = np.repeat(np.arange(len(starts)), lengths)
+
+    def total(values: np.ndarray) -> np.ndarray:
+        return np.bincount(segment, values, len(starts))
+
+    word, body = ids >= len(FORMS), ids != BREAK
+    size, words = total(body), total(word)
+    last = np.append(starts[1:], n) - 1
+    last = np.where((ids[last] == BREAK) & (lengths > 1), last - 1, last)
+    held = np.bincount(np.unique((segment * CLASSES + ids)[word]) // CLASSES, minlength=len(starts))
+    prose = (size >= 6) & (ids[last] == END) & (words >= 0.2 * size) & (held >= 3)
+    kinds = prose * _IS_PROSE + (total(_CODE[ids]) >= CODE_SHARE * np.maximum(size, 1)) * _IS_CODE
+    # Stretches end with a function word or with their segment.
+    ends = word.copy()
+    ends[np.append(starts[1:], n) - 1] = True
+    at = np.flatnonzero(ends)
+    first = np.concatenate(([0], at[:-1] + 1))
+    final = ~word[at]
+    length = at - first + final
+    mark = np.maximum(np.maximum.reduceat(_MARKED[ids], first), 1)
+    symbol = np.where(length > 0, 1 + (np.searchsorted(_LENGTHS, length, "right") - 1) * RANKS + mark - 1, 0) + STRETCHES * final
+    content = np.flatnonzero(_CONTENT[ids])
+    own = _own_bits(content, codes[content] >> 16, page[content])
+    have = np.bincount(segment[content], minlength=len(starts))
+    bits = np.where(have >= 2, np.bincount(segment[content], own, len(starts)) / np.maximum(have, 1), np.nan)
+    stretches = np.bincount(segment[at], minlength=len(starts))
+    links = np.bincount(page, ids == URL, len(texts)).astype(int).tolist()
+    chars = total(sizes * body)
+    of_page = np.searchsorted(page[starts], np.arange(len(texts) + 1)).tolist()
+    of_symbol = np.searchsorted(page[at], np.arange(len(texts) + 1)).tolist()
+    columns = [(symbol.astype(np.uint8 if SYMBOLS < 256 else np.uint16).tobytes(), of_symbol, 1)]
+    columns += [(x.tobytes(), of_page, x.itemsize) for x in (stretches.astype(np.int32), chars.astype(np.int64), size.astype(np.int32), bits.astype(np.float32), kinds.astype(np.uint8))]
+    return [
+        (*(raw[w * bounds[k] : w * bounds[k + 1]] for raw, bounds, w in columns), fenced[k], links[k]) for k in range(len(texts))
+    ]
+
+
+_COLUMNS = ("symbols", "stretches", "chars", "tokens", "own", "kinds", "fenced", "links")
+_SCHEMA = "id bigint, symbols binary, stretches binary, chars binary, tokens binary, own binary, kinds binary, fenced bigint, links bigint"
 
 
 def _classified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     classes = _Classes()
     for batch in batches:
-        rows = []
-        for key, text in batch.itertuples(index=False, name=None):
-            ids, at, chars, repeated, fenced = segments(text, classes)
-            rows.append(
-                (key, ids.astype(np.uint16).tobytes(), at.astype(np.int32).tobytes(), chars.astype(np.int32).tobytes(),
-                 (repeated >= REPEATED).astype(np.uint8).tobytes(), fenced)
-            )
-        yield pd.DataFrame(rows, columns=["id", "ids", "starts", "chars", "repeats", "fenced"])
+        texts, begin = batch["text"].tolist(), 0
+        while begin < len(texts):
+            end, room = begin + 1, CHUNK - len(texts[begin])
+            while end < len(texts) and len(texts[end]) <= room:
+                room -= len(texts[end])
+                end += 1
+            frame = pd.DataFrame(_pages(texts[begin:end], classes), columns=list(_COLUMNS))
+            frame.insert(0, "id", batch["id"].iloc[begin:end].to_numpy())
+            yield frame
+            begin = end
 
 
-_SCHEMA = "id bigint, ids binary, starts binary, chars binary, repeats binary, fenced bigint"
+class _Segments:
+    """The segments of many pages as flat arrays, and the trigram that each of their stretches ends."""
+
+    def __init__(self, batch: pd.DataFrame) -> None:
+        def flat(name: str, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(batch[name]), kind)
+
+        self.stretches = flat("stretches", np.int32).astype(np.int64)
+        self.kinds, self.own = flat("kinds", np.uint8), flat("own", np.float32)
+        self.page = np.repeat(np.arange(len(batch)), [len(x) for x in batch["kinds"]])
+        self.of = np.repeat(np.arange(len(self.stretches)), self.stretches)
+        symbols = flat("symbols", np.uint8).astype(np.int64)
+        starts = np.cumsum(self.stretches) - self.stretches
+        one, two = np.roll(symbols, 1), np.roll(symbols, 2)
+        one[starts] = two[starts] = _EDGE
+        second = starts[self.stretches > 1] + 1
+        two[second] = _EDGE
+        self.trigrams = (two * SYMBOLS + one) * SYMBOLS + symbols
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        pages = _Pages(batch)
-        kept = pages.prose()[pages.segment]
-        tokens, page = pages.tokens[kept], pages.page[pages.segment[kept]]
-        once = np.unique(page * CLASSES**3 + pages.trigrams()[tokens]) % CLASSES**3
-        seen, n = np.unique(once, return_counts=True)
-        yield pd.DataFrame({"trigram": seen, "n": n})
+        pages = _Segments(batch)
+        counts = pd.Series(pages.trigrams[(pages.kinds & _IS_PROSE > 0)[pages.of]]).value_counts()
+        yield pd.DataFrame({"trigram": counts.index.to_numpy(np.int64), "n": counts.to_numpy(np.int64)})
 
 
 class ProseModel:
-    """Bits that a trigram's last class costs, by interpolated counts (Witten and Bell).
+    """Bits that a trigram's last symbol costs, by interpolated counts (Witten and Bell).
 
-    Only the trigrams seen are held; tables over pairs of classes serve the others.
+    Only the trigrams seen are held; tables over pairs of symbols serve the others.
     """
 
     def __init__(self, trigrams: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(trigrams)
         self.seen, counts = trigrams[order], counts[order].astype(float)
-        c2 = np.bincount(self.seen % CLASSES**2, counts, CLASSES**2)
-        c1 = np.bincount(self.seen % CLASSES, counts, CLASSES)
-        p1 = (c1 + 0.5) / (c1.sum() + 0.5 * CLASSES)
-        pairs = c2.reshape(CLASSES, CLASSES)
+        c2 = np.bincount(self.seen % SYMBOLS**2, counts, SYMBOLS**2)
+        c1 = np.bincount(self.seen % SYMBOLS, counts, SYMBOLS)
+        p1 = (c1 + 0.5) / (c1.sum() + 0.5 * SYMBOLS)
+        pairs = c2.reshape(SYMBOLS, SYMBOLS)
         n, kinds = pairs.sum(1, keepdims=True), (pairs > 0).sum(1, keepdims=True)
         self.p2 = np.where(n > 0, (pairs + kinds * p1) / np.maximum(n + kinds, 1), p1).ravel()
-        n = np.bincount(self.seen // CLASSES, counts, CLASSES**2)
-        kinds = np.bincount(self.seen // CLASSES, minlength=CLASSES**2)
+        n = np.bincount(self.seen // SYMBOLS, counts, SYMBOLS**2)
+        kinds = np.bincount(self.seen // SYMBOLS, minlength=SYMBOLS**2)
         self.rest = np.where(n > 0, kinds / np.maximum(n + kinds, 1), 1.0)
-        self.share = counts / np.maximum(n + kinds, 1)[self.seen // CLASSES]
+        self.share = counts / np.maximum(n + kinds, 1)[self.seen // SYMBOLS]
 
     def bits(self, trigrams: np.ndarray) -> np.ndarray:
-        p = self.rest[trigrams // CLASSES] * self.p2[trigrams % CLASSES**2]
+        p = self.rest[trigrams // SYMBOLS] * self.p2[trigrams % SYMBOLS**2]
         if len(self.seen):
             at = np.minimum(np.searchsorted(self.seen, trigrams), len(self.seen) - 1)
             p = p + np.where(self.seen[at] == trigrams, self.share[at], 0.0)
-        return -np.log2(p)
+        return np.minimum(-np.log2(p), MOST_BITS)
 
+    def means(self, pages: _Segments) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of all stretches, and their mean in each segment."""
+        bits = self.bits(pages.trigrams)
+        return bits, np.bincount(pages.of, bits, len(pages.stretches)) / np.maximum(pages.stretches, 1)
 
-#: What a segment is: a sentence, one that may be a list by its words, one that the page repeats.
-_IS_PROSE, _MAY_BE_LIST, _IS_REPEATED = 1, 2, 4
-_MEASURED = (
-    "id bigint, perplexity double, means binary, kinds binary, chars binary, tokens binary, words binary, fenced bigint, links bigint,"
-    " n bigint, total double, squares double"
-)
+
+_MOMENTS = ("n", "total", "squares", "own_n", "own_total", "own_squares")
 
 
-def _measured(model):
-    """Bits a token of each segment, and the moments of those of the page's sentences."""
+def _moments(model):
+    """Numbers, sums and squares of prose's bits, under the prose model and under the pages' own."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prose = ProseModel(*model.value)
         for batch in batches:
-            pages = _Pages(batch)
-            bits = prose.bits(pages.trigrams())
-            n = np.maximum(pages.n, 1)
-            mean = pages.sums(bits) / n
-            words, code = pages.sums(_WORDS[pages.ids].astype(float)), pages.sums(_CODE[pages.ids].astype(float)) >= CODE_SHARE * n
-            sentence = pages.prose()
-            may = ~code & (words <= SENTENCE * n) & (n > (pages.ids[pages.at] == BREAK))
-            low = (np.frombuffer(b"".join(batch["repeats"]), np.uint8) > 0) & ~code
-            kinds = (sentence * _IS_PROSE + may * _MAY_BE_LIST + low * _IS_REPEATED).astype(np.uint8)
-            whole = np.bincount(np.repeat(np.arange(len(batch)), np.diff(pages.first)), bits, len(batch))
-            links = np.bincount(np.repeat(np.arange(len(batch)), np.diff(pages.first)), pages.ids == URL, len(batch))
-            own = np.where(sentence, mean, 0.0)
-            total, squares = np.bincount(pages.page, own, len(batch)), np.bincount(pages.page, own * own, len(batch))
-            sentences = np.bincount(pages.page, sentence, len(batch))
-            lengths = np.diff(pages.first)
-            packed = [x.tobytes() for x in (mean.astype(np.float32), kinds, n.astype(np.int32), words.astype(np.int32))]
-            rows = []
-            bounds = pages.bounds.tolist()
-            for k, (key, chars, fenced) in enumerate(zip(batch["id"], batch["chars"], batch["fenced"], strict=True)):
-                a, b = bounds[k], bounds[k + 1]
-                rows.append(
-                    (key, float(2.0 ** (whole[k] / lengths[k])) if b > a else None, packed[0][4 * a : 4 * b], packed[1][a:b], chars,
-                     packed[2][4 * a : 4 * b], packed[3][4 * a : 4 * b], fenced, int(links[k]), int(sentences[k]), float(total[k]), float(squares[k]))
-                )
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _MEASURED.split(",")])
+            pages = _Segments(batch)
+            sentence = pages.kinds & _IS_PROSE > 0
+            mean, own = prose.means(pages)[1][sentence], pages.own[sentence & ~np.isnan(pages.own)].astype(float)
+            row = (len(mean), mean.sum(), (mean * mean).sum(), len(own), own.sum(), (own * own).sum())
+            yield pd.DataFrame([tuple(map(float, row))], columns=list(_MOMENTS))
 
     return measure
 
 
-def _scored(limit: float):
+def _limit(n: float, total: float, squares: float, deviations: float) -> float:
+    """So many standard deviations off the mean; beyond everything if nothing was seen."""
+    if not n:
+        return float("inf") if deviations > 0 else float("-inf")
+    mean = total / n
+    return mean + deviations * max(0.0, squares / n - mean * mean) ** 0.5
+
+
+def _scored(model, high: float, low: float):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prose = ProseModel(*model.value)
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                kinds = np.frombuffer(row.kinds, np.uint8)
-                n, chars = np.frombuffer(row.tokens, np.int32), np.frombuffer(row.chars, np.int32)
-                high = (np.frombuffer(row.means, np.float32) > limit) & (kinds & _MAY_BE_LIST > 0)
-                low = kinds & _IS_REPEATED > 0
-                if low.any() and np.frombuffer(row.words, np.int32)[low].sum() > OWN_SENTENCES * n[low].sum():
-                    low[:] = False
-                both = high | low
-                share = float(chars[both].sum() / max(1, chars.sum() + row.fenced)) if len(kinds) else 0.0
-                enough = int(n[both].sum()) >= LEAST_TOKENS or row.links >= 4
-                rows.append((row.id, row.perplexity, share, share > MOST and enough))
-            yield pd.DataFrame(rows, columns=["id", "perplexity", "share", "spam"])
+            pages, n = _Segments(batch), len(batch)
+            bits, mean = prose.means(pages)
+            with np.errstate(invalid="ignore"):
+                abnormal = ((mean > high) | (pages.own < low)) & (pages.kinds & _IS_CODE == 0)
+            chars = np.frombuffer(b"".join(batch["chars"]), np.int64)
+            tokens = np.frombuffer(b"".join(batch["tokens"]), np.int32)
+            whole = np.bincount(pages.page, chars, n) + batch["fenced"].to_numpy(float)
+            share = np.bincount(pages.page, chars * abnormal, n) / np.maximum(whole, 1)
+            enough = (np.bincount(pages.page, tokens * abnormal, n) >= LEAST_TOKENS) | (batch["links"].to_numpy() >= 4)
+            count = np.bincount(pages.page[pages.of], minlength=n)
+            mean_bits = np.bincount(pages.page[pages.of], bits, n) / np.maximum(count, 1)
+            perplexity = pd.Series(np.where(count > 0, 2.0**mean_bits, np.nan)).astype(object).where(count > 0, None)
+            yield pd.DataFrame({"id": batch["id"].to_numpy(), "perplexity": perplexity, "share": share, "spam": (share > MOST) & enough})
 
     return score
 
@@ -361,20 +386,15 @@ def score_pages(documents: DataFrame, id_column: str = "doc_id", text_column: st
     characters in abnormal segments, and whether it is spam.
 
     Null, empty and blank texts have no perplexity, share 0 and are no spam. Rows stand for themselves, also if their text
-    or id repeats. If the corpus holds no sentence, no segment is abnormal for its perplexity. Other columns are ignored.
-    What comes to the driver is the model: one number for each trigram of classes seen, whose number the classes bound
-    whatever the corpus.
+    or id repeats. If the corpus holds no sentence, nothing is abnormal. Other columns are ignored. What comes to the driver
+    is the model: one number for each trigram of symbols seen, at most SYMBOLS ** 3 (4.5 million, 72 MB) whatever the corpus.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     pages = checkpointed(texts.mapInPandas(_classified, _SCHEMA))
-    counts = (
-        pages.select("ids", "starts").mapInPandas(_counted, "trigram bigint, n bigint").groupBy("trigram").agg(F.sum("n").alias("n"))
-    ).toPandas()
+    slim = pages.select("symbols", "stretches", "own", "kinds")
+    counts = slim.mapInPandas(_counted, "trigram bigint, n bigint").groupBy("trigram").agg(F.sum("n").alias("n")).toPandas()
     model = spark.sparkContext.broadcast((counts["trigram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)))
-    measured = checkpointed(pages.mapInPandas(_measured(model), _MEASURED))
-    n, total, squares = measured.agg(F.sum("n"), F.sum("total"), F.sum("squares")).first()
-    mean = total / n if n else 0.0
-    limit = mean + DEVIATIONS * max(0.0, squares / n - mean * mean) ** 0.5 if n else float("inf")
-    slim = measured.select("id", "perplexity", "means", "kinds", "chars", "tokens", "words", "fenced", "links")
-    return slim.mapInPandas(_scored(limit), "id bigint, perplexity double, share double, spam boolean").withColumnRenamed("id", id_column)
+    moments = slim.mapInPandas(_moments(model), ", ".join(f"{m} double" for m in _MOMENTS)).agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in _MOMENTS]).first()
+    high, low = _limit(*moments[:3], HIGH), _limit(*moments[3:], -LOW)
+    return pages.mapInPandas(_scored(model, high, low), "id bigint, perplexity double, share double, spam boolean").withColumnRenamed("id", id_column)

@@ -1,7 +1,9 @@
 """Splitting, tokens, mixing, credentials, functions, machine-made files and spam pages."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -256,3 +258,29 @@ def test_spam_pages(spark):
     assert got[103]["perplexity"] is None and got[103]["share"] == 0
     assert spam_pages.score_pages(docs.limit(0)).count() == 0
     assert spam_pages.score_pages(docs.filter("doc_id = 100")).filter("spam").count() <= 1
+
+
+def test_perplexity_alone_decides_spam(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    sentences = ["The {} keeps the {} in a {} so that every {} stays small.", "You can call the {} with a {}, but anything deeper is hard to {}.", "We saw the {} of this {} last week and most of them were in the old {}.", "It is not clear to me whether the {} may return an empty {}."]
+    rows = [(i, " ".join(re.sub(r"\{\}", lambda _: rng.choice(words), rng.choice(sentences)) for _ in range(8))) for i in range(80)]
+    # Forty phrases with function words, cycled evenly: no pair holds a large share of the page.
+    phrases = [f"the best {rng.choice(words)} and {rng.choice(words)} for your {rng.choice(words)}" for _ in range(40)]
+    rows += [(100, "\n".join(phrases * 30)), (101, "\n".join(f"https://a{i}.test/x/{i}" for i in range(30))), (102, "word " * 70_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spam = lambda: {r["doc_id"] for r in spam_pages.score_pages(docs).filter("spam").collect()}
+    assert spam() == {100, 101, 102}
+    with monkeypatch.context() as m:
+        m.setattr(spam_pages, "HIGH", 1e9)
+        assert 100 in spam() and 101 not in spam()
+    with monkeypatch.context() as m:
+        m.setattr(spam_pages, "LOW", 1e9)
+        assert 101 in spam()
+        m.setattr(spam_pages, "HIGH", 1e9)
+        assert spam() == set()
+
+
+def test_very_long_tokens_count_whole():
+    rows = spam_pages._pages(["x" * 100_000 + " y", "", "a\nb"], spam_pages._Classes())
+    assert np.frombuffer(rows[0][2], np.int64).sum() == 100_001 and rows[1][0] == b"" and len(rows[2][5]) == 2
