@@ -71,8 +71,8 @@ class PythonLexer(Lexer):
             text = re.sub(r"\\\r?\n", " ", text)
         out: list[str] = []
         stack, depth = [0], 0
-        for line in self.masked(text.expandtabs(8) if "\t" in text else text).split("\n"):
-            cut = self.line(line)
+        bare = self.bare(text.expandtabs(8) if "\t" in text else text)
+        for line, cut in zip(bare.split("\n"), self.classes(bare).split("N"), strict=True):
             if not cut:
                 continue
             if depth == 0:
@@ -97,8 +97,8 @@ class PythonLexer(Lexer):
 
 
 def python_lexer() -> Lexer:
-    bad = r"0[0-9_]*[1-9][0-9_]*\b(?![.eEjJ])"
-    return PythonLexer(Grammar(_PY_RULES, _PY_KINDS, "STMT"), _PY_OPAQUE, _PY_WORDS, _PY_OPERATORS, bad_number=bad)
+    bad = r"0[0-9_]*[1-9][0-9_]*"
+    return PythonLexer(Grammar(_PY_RULES, _PY_KINDS, "STMT"), _PY_OPAQUE, _PY_WORDS, _PY_OPERATORS, bad_number=bad, members=False)
 
 
 # --- Ruby --------------------------------------------------------------------------------------------------------------
@@ -156,7 +156,7 @@ class RubyLexer(Lexer):
         marked: dict[str, str] = self.__dict__.setdefault("marked", {})
         if len(marked) > 200_000:
             marked.clear()
-        return "N".join([marked[line] if line in marked else marked.setdefault(line, self._blocks(line)) for line in self.cut(text)])
+        return "N".join([marked[line] if line in marked else marked.setdefault(line, self._blocks(line)) for line in self.classes(self.bare(text)).split("N")])
 
     def _blocks(self, line: str) -> str:
         char = self.grammar.char
@@ -183,8 +183,8 @@ class RubyLexer(Lexer):
 
 
 def ruby_lexer() -> tuple[Lexer, re.Pattern[str]]:
-    name = r"(?:@{1,2}|\$)?[^\W\d]\w*[?!]?(?![=\w])|(?:@{1,2}|\$)?[^\W\d]\w*|\$\W"
-    lexer = RubyLexer(Grammar(_RB_RULES, _RB_KINDS, "STMT"), _RB_OPAQUE, _RB_WORDS, _RB_OPERATORS, name=name, bad_number=r"0\d*[89]\d*\b")
+    name = r"(?:@{1,2}|\$)?[^\W\d]\w*[?!]?(?![=\w])|(?:@{1,2}|\$)?[^\W\d]\w*|\$\d+|\$-\w|\$\W"
+    lexer = RubyLexer(Grammar(_RB_RULES, _RB_KINDS, "STMT"), _RB_OPAQUE, _RB_WORDS, _RB_OPERATORS, name=name, bad_number=r"0\d*[89]\d*")
     join = re.escape("".join(map(lexer.grammar.char, ("bin", "assign", "set", "comma", "arrow", "dot", "and", "or"))))
     return lexer, re.compile(rf"(?<=[{join}])N+|N+(?=[{re.escape(lexer.grammar.char('dot'))}])|(?<=N)N+")
 

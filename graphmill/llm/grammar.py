@@ -319,12 +319,32 @@ _LONG = 100
 _WINDOW = re.compile("[^;N\ue400-\ue5ff]*(?:[;N\ue400-\ue5ff]|\\Z)")
 
 
+class _ClassOf(dict):
+    """Class of each token seen so far. Emptied when large, so that it holds no vocabulary of the corpus."""
+
+    def __init__(self, base: dict[str, str], bad: str) -> None:
+        super().__init__(base)
+        self.base, self.bad = base, re.compile(bad)
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+            self.update(self.base)
+        first = token[0]
+        if first.isdigit() or first == "." and len(token) > 1:
+            found = UNKNOWN if self.bad.fullmatch(token) else "0"
+        else:
+            found = "n" if first.isalpha() or first in "_$@" or not first.isascii() and token.isidentifier() else UNKNOWN
+        self[token] = found
+        return found
+
+
 @dataclass
 class Lexer:
     """Cuts a language's text into token classes.
 
-    ``opaque`` matches comments (group ``c``), strings (``s``) and whole lines such as directives (``l``). What is left is
-    masked line by line: names become ``n`` and numbers ``0``, and each masked line, of which there are few, is cut once.
+    ``opaque`` matches comments (group ``c``), strings (``s``) and whole lines such as directives (``l``). What is left is cut
+    into names, numbers and operators, whose class is looked up; a keyword behind a dot is a name.
     """
 
     grammar: Grammar
@@ -334,30 +354,20 @@ class Lexer:
     newlines: bool = False
     bad_number: str = r"(?!)"
     name: str = r"[^\W\d]\w*"
+    members: bool = True
 
     def __post_init__(self) -> None:
         words = self.keywords.split()
         self.skip = re.compile(self.opaque, re.S | re.M)
-        self.names = re.compile(rf"(?<![\w$])(?!(?:{'|'.join(words)})(?![\w$]))(?:{self.name})")
-        self.member = re.compile(rf"(\.\s*)(?:{'|'.join(words)})(?![\w$])")
-        self.bad = re.compile(rf"(?<![\w.]){self.bad_number}")
-        self.numbers = re.compile(r"(?<!\w)(?:0[xX][0-9a-fA-F_]+\w*|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?\d+)?\w*)|(?<![\w.)\]])\.\d\w*")
         spelled = {o: self.grammar.char(name) for name, ops in self.operators.items() for o in ops.split()}
-        self.classes = spelled | {w: self.grammar.char(w) for w in words} | {c: c for c in "()[]{}"}
-        self.classes |= {"n": "n", "\x01": "s", "\x02": "H", "\x03": "0", "\x04": UNKNOWN}
-        ops = sorted((o for o in spelled if not o.isalnum()), key=len, reverse=True)
-        self.tokens = re.compile(rf"{'|'.join(map(re.escape, ops))}|\w+|[\x01-\x04]|\S")
-        self.lines: dict[str, str] = {}
-
-    def line(self, masked: str) -> str:
-        found = self.lines.get(masked)
-        if found is None:
-            if len(self.lines) > 200_000:
-                self.lines.clear()
-            get = self.classes.get
-            found = "".join(get(t, UNKNOWN) for t in self.tokens.findall(masked))
-            self.lines[masked] = found
-        return found
+        classes = spelled | {w: self.grammar.char(w) for w in words} | {c: c for c in "()[]{}"}
+        self.known = _ClassOf(classes | {"\x01": "s", "\x02": "H", "\x04": UNKNOWN, "\n": "N"}, self.bad_number)
+        number = r"0[xX][0-9a-fA-F_]+\w*|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?\d+)?\w*|(?<![\w.)\]])\.\d\w*"
+        ops = sorted((o for o in spelled if not o.isalnum() and len(o) > 1), key=len, reverse=True)
+        self.tokens = re.compile(rf"{self.name}|[\n\x01(){{}}\[\],;]|{number}|{'|'.join(map(re.escape, ops))}|\S")
+        dots = "".join(self.grammar.char(d) for d in ("dot", "qdot") if d in self.operators)
+        keys = "".join(map(self.grammar.char, words))
+        self.member = re.compile(f"(?<=[{re.escape(dots)}])[{re.escape(keys)}]" if dots and self.members else "(?!)")
 
     @staticmethod
     def _opaque(m: re.Match[str]) -> str:
@@ -367,20 +377,19 @@ class Lexer:
             return "\x02\n"
         return "\x01"
 
-    def masked(self, text: str) -> str:
-        """The text without comments, with marks for strings and numbers and ``n`` for names."""
-        return self.without_names(self.skip.sub(self._opaque, text))
+    def bare(self, text: str) -> str:
+        """The text without comments, with marks for strings."""
+        return self.skip.sub(self._opaque, text)
 
-    def without_names(self, bare: str) -> str:
-        """A text without comments and strings, with names and numbers masked."""
-        bare = self.member.sub(r"\1n", bare)
-        bare = self.names.sub("n", bare)
-        return self.numbers.sub("\x03", self.bad.sub("\x04", bare))
+    def classes(self, bare: str) -> str:
+        """Token classes of a text without comments and strings, all line ends as ``N``."""
+        return self.member.sub("n", "".join(map(self.known.__getitem__, self.tokens.findall(bare))))
 
-    def cut(self, text: str) -> list[str]:
-        """Token classes of each line that is left of a text without its comments and strings."""
-        return list(map(self.line, self.masked(text).split("\n")))
+    def lex_bare(self, bare: str) -> str:
+        """As ``lex``, of a text without comments and strings."""
+        found = self.classes(bare)
+        return found if self.newlines else found.replace("N", "")
 
     def lex(self, text: str) -> str:
         """Token classes of a text; line ends are ``N`` where they matter."""
-        return ("N" if self.newlines else "").join(self.cut(text))
+        return self.lex_bare(self.bare(text))

@@ -418,7 +418,7 @@ def lexer_of(lang: str) -> tuple[Lexer | ShellLexer, re.Pattern[str] | None]:
         return _plain(*args, opaque), None
     if lang == "go":
         opaque = rf"{_C_COMMENT}|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{{1,9}}?)')"
-        lexer = _plain(_GO_RULES, _GO_KINDS, "TOP", _GO_WORDS, opaque, _OPERATORS | {"define": ":="}, newlines=True, bad_number=r"0\d*[89]\d*\b")
+        lexer = _plain(_GO_RULES, _GO_KINDS, "TOP", _GO_WORDS, opaque, _OPERATORS | {"define": ":="}, newlines=True, bad_number=r"0\d*[89]\d*")
         ends = "".join(lexer.grammar.char(w) for w in ("break", "continue", "fallthrough", "return", "inc")) + "n0s)]}"
         return lexer, re.compile(rf"(?<![{re.escape(ends)}])N+|(?<=N)N+|N+(?=[)\]}}])")
     if lang == "rs":
