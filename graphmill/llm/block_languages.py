@@ -115,22 +115,23 @@ _RB_OPERATORS = {
 _RB_RULES = {
     "END": "( semi | nl ) + | EOT",
     "PRIM": "n | num | str + | P_ARGS | K_LIST | B_HASH | I_ANY | thin P_PARAMS ? ( B_BODY | I_ANY ) | colon n | colon str | scope n | yield | return | next | break | redo | retry",
-    "POST": "dot ( n | class | end | begin | then | next | P_ARGS | in ) | scope n | P_ARGS | K_LIST | B_BODY | I_ANY",
+    "POST": "dot ( n | P_ARGS ) | scope n | P_ARGS | K_LIST | B_BODY | I_ANY",
     "PRE": "plus | not | star | amp | range",
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) *",
     "OP": "bin | plus | star | lt | gt | shift | amp | pipe | assign | set | range | and | or | arrow | in",
     "ARG": "( n | str ) colon EXPR ? | EXPR",
     "COMMAND": "( n | yield | return | next | break ) ( dot n | scope n ) * | ( UNARY ) dot n",
     "CALL": "( COMMAND ) ARG ( comma nl * ARG ) * ( I_ANY ) ?",
-    "EXPR": "( not ) * ( CALL | UNARY ( ( OP ) nl ? ( not ) * UNARY ) * ( quest EXPR colon EXPR ) * ( ( OP ) nl ? CALL ) ? )",
+    "EXPR": "( not ) * ( CALL | UNARY ( ( OP ) nl ? ( not ) * UNARY ) * ( quest EXPR colon EXPR ) * ( ( OP ) nl ? CALL ) ? ) ( range ) ?",
     "EXPRS": "ARG ( comma nl * ARG ) *",
     "MODS": "( ( if | unless | while | until | rescue ) EXPR ) *",
-    "STMT": "nl | semi | EXPRS ( assign EXPRS ) * MODS END | alias ( n | colon n ) ( n | colon n ) END | undef n END",
+    "STMT": "nl | semi | EXPRS ( assign EXPRS ) * MODS END | ENDLESS END | alias ( n | colon n ) ( n | colon n ) END | undef n END",
+    "ENDLESS": "( n ) * def NAME P_PARAMS ? assign nl ? EXPRS MODS",
     "FORMAL": "( star | amp ) ? n ( assign EXPR | colon EXPR ? ) ? | star | P_ARGS",
     "FORMALS": "FORMAL ( comma FORMAL ) *",
     "NAME": "n ( ( dot | scope ) ( n | class ) ) * ( assign ) ? | bin | plus | star | K_LIST | lt | gt | shift | class | end | in",
-    "CLAUSE": "else | ensure | elsif EXPR ( then | END ) | when EXPRS ( then | END ) | rescue ( n ( scope n ) * ( comma n ( scope n ) * ) * ) ? ( arrow n ) ? ( then | END )",
-    "OPEN": "def NAME ( P_PARAMS | FORMALS ) ? END | class ( shift n | n ( scope n ) * ( lt EXPR ) ? ) END | module n ( scope n ) * END | begin | case EXPR ? END"
+    "CLAUSE": "else | ensure | elsif EXPR ( then | END ) | when EXPRS ( then | END ) | rescue ( n ( scope n ) * ( comma n ( scope n ) * ) * ) ? ( arrow n ) ? ( then | END ) | in EXPRS MODS ( then | END )",
+    "OPEN": "def NAME ( P_PARAMS END ? | ( FORMALS ) ? END ) | class ( shift n | n ( scope n ) * ( lt EXPR ) ? ) END | module n ( scope n ) * END | begin | case EXPR ? END"
     " | ( if | unless ) EXPR ( then | END ) | ( while | until ) EXPR ( do | END ) | for n ( comma n ) * in EXPR ( do | END ) | do ( pipe ( FORMALS ) ? ( semi n ) ? pipe ) ?",
 }
 _RB_KINDS = {
@@ -139,18 +140,25 @@ _RB_KINDS = {
     "K_LIST": "nl * ( ARG ( comma nl * ARG ) * comma ? nl * ) ?",
     "B_HASH": "nl * ( ARG ( comma nl * ARG ) * comma ? nl * ) ?",
     "B_BODY*": "pipe ( FORMALS ) ? pipe | STMT",
-    "I_ANY*": "OPEN | CLAUSE | STMT",
+    "I_ANY*": "OPEN | CLAUSE | STMT | EXPRS ( assign EXPRS ) * MODS CLAUSE",
 }
 _RB_OPAQUE = (
     r"(?P<c>\#[^\n]*|^=begin\b.*?^=end[^\n]*)"
     r"|(?P<h><<[~-]?(?P<q>['\"]?)(?P<d>[A-Z]\w*)(?P=q)[^\n]*\n(?:.*?\n)??[ \t]*(?P=d)[ \t\r]*$)"
-    r"|(?P<s>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`\n]*`|%[wiqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\}))"
+    r"|(?P<s>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`\n]*`|%[wWiIqQrsx]?(?:\[[^\]]*\]|\((?:[^()]|\([^()]*\))*\)|\{(?:[^{}]|\{[^{}]*\})*\}))"
     r"|(?P<x>(?:(?<=[=(,:\[!&|?{};~])|(?<=[=(,:\[!&|?{};~] )|(?<=return )|(?<=when )|(?<=if )|(?<=^))/(?![*/\n])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)"
 )
 
 
+# A string within a string's expression needs recursion.
+_RB_DEEP = (
+    r"\#\{[^}\"]*\"",
+    _RB_OPAQUE.replace(r"(?P<s>\"(?:[^\"\\]|\\.)*\"", r"(?P<s>(?P<t>\"(?:[^\"\\#]|\\.|\#(?!\{)|\#(?P<b>\{(?:[^{}\"']|'(?:[^'\\]|\\.)*'|(?&b)|(?&t))*\}))*\")"),
+)
+
+
 class RubyLexer(Lexer):
-    """Adds marks around the blocks that words open and ``end`` closes."""
+    """Adds marks around the blocks that words open and ``end`` closes; a definition by ``=`` opens none."""
 
     def lex(self, text: str) -> str:
         marked: dict[str, str] = self.__dict__.setdefault("marked", {})
@@ -165,8 +173,9 @@ class RubyLexer(Lexer):
         loops = {char(w) for w in ("while", "until", "for")}
         before = {"", ";", "(", *map(char, ("assign", "set", "then", "do", "else", "shift"))}
         out, previous, loop = [], "", False
-        for c in line:
-            if previous == char("dot") or c in always and previous == char("colon"):
+        endless = re.search(rf"{char('def')}(?:n{char('dot')})?n(?:\((?:[^()]|\([^()]*\))*\){char('assign')}|{char('assign')}(?!\())", line)
+        for at, c in enumerate(line):
+            if previous == char("dot") or c in always and previous == char("colon") or endless and at == endless.start():
                 out.append(c)
             elif c in always or c in leading and previous in before:
                 out += [OPEN, c]
@@ -184,7 +193,7 @@ class RubyLexer(Lexer):
 
 def ruby_lexer() -> tuple[Lexer, re.Pattern[str]]:
     name = r"(?:@{1,2}|\$)?[^\W\d]\w*[?!]?(?![=\w])|(?:@{1,2}|\$)?[^\W\d]\w*|\$\d+|\$-\w|\$\W"
-    lexer = RubyLexer(Grammar(_RB_RULES, _RB_KINDS, "STMT"), _RB_OPAQUE, _RB_WORDS, _RB_OPERATORS, name=name, bad_number=r"0\d*[89]\d*")
+    lexer = RubyLexer(Grammar(_RB_RULES, _RB_KINDS, "STMT"), _RB_OPAQUE, _RB_WORDS, _RB_OPERATORS, name=name, bad_number=r"0\d*[89]\d*", deep=_RB_DEEP)
     join = re.escape("".join(map(lexer.grammar.char, ("bin", "assign", "set", "comma", "arrow", "dot", "and", "or"))))
     return lexer, re.compile(rf"(?<=[{join}])N+|N+(?=[{re.escape(lexer.grammar.char('dot'))}])|(?<=N)N+")
 
@@ -220,6 +229,8 @@ SHELL_OPAQUE = re.compile(
     re.S | re.M,
 )
 _SH_TOKENS = re.compile(r";;&?|;&|&&|\|\||\|&|<<<|<<-?|\d?>>|\d?[<>]&\d?-?|&>>?|<>|>\||\d?[<>]|[;&|()\n'\"`]|\$\(|[^\s;&|<>()'\"`]+")
+#: A case within a command substitution, whose patterns close brackets that none opens.
+_CASE_WITHIN = re.compile(r"(\$\([^()`]*?)\bcase\s(?:(?!\bcase\b|\besac\b)[^`])*?\besac\b")
 _SH_RESERVED = {"if", "then", "elif", "else", "fi", "for", "while", "until", "select", "do", "done", "case", "esac", "function"}
 
 
@@ -244,7 +255,7 @@ class ShellLexer:
         bare = SHELL_OPAQUE.sub(self._opaque, text)
         previous = ""
         while previous != bare:  # a command substitution is a word, and what is within must nest
-            previous, bare = bare, re.sub(r"[$<>]\([^()`]*\)", "S", bare)
+            previous, bare = bare, re.sub(r"[$<>]\([^()`]*\)", "S", _CASE_WITHIN.sub(r"\1 S", bare))
         for t in _SH_TOKENS.findall(bare):
             if t in ("\n", ";", "&", "|", "|&", "&&", "||", ";;", ";&", ";;&"):
                 out.append("N" if t == "\n" else char({";": "semi", "&": "amp", "|": "pipe", "|&": "pipe", "&&": "and", "||": "and"}.get(t, "dsemi")))

@@ -27,6 +27,10 @@ _MARKS = {"semi": ";", "n": "n", "num": "0", "str": "s", "nl": "N", "line": "H",
 _RULE = re.compile(r"\w+|[()|*+?!]")
 
 
+#: Rules that nest in themselves: what they matched once is not parsed anew when what follows fails, only left out.
+ATOMIC = ("TARGS", "GEN")
+
+
 @dataclass(frozen=True)
 class Ends:
     """Whether an expression can be empty, and its first and last symbols."""
@@ -86,7 +90,7 @@ class Grammar:
                 base, bit = _GROUPS[token[0]], self.bits[token]
                 piece = "[" + "".join(chr(base + m) for m in range(self.sizes[token[0]]) if m & bit) + "]"
             elif token in self.rules:
-                piece = f"(?&{token})"
+                piece = f"(?>(?&{token}))" if token in ATOMIC else f"(?&{token})"
             elif token == "EOT":
                 piece = r"\Z"
             else:
@@ -211,9 +215,9 @@ class Grammar:
         """Symbols that go on with a statement directly after a group."""
         words = (
             "comma", "assign", "bin", "plus", "quest", "star", "pipe", "and", "or", "amp", "redir", "if", "unless", "until", "rescue",
-            "colon", "lt", "gt", "arrow", "thin", "do", "while",
+            "colon", "lt", "gt", "arrow", "thin", "do", "while", "as", "satisfies", "instanceof", "in", "set", "range",
         )
-        return self._chars_of(*words) | frozenset(map(chr, range(0xE000, 0xE400))) | {"s"}
+        return self._chars_of(*words) | frozenset(map(chr, range(0xE000, 0xE600))) | {"s"}
 
     def accepts(self, tokens: str) -> bool:
         """Whether a text's token classes nest and fulfil the rules."""
@@ -343,7 +347,8 @@ class _ClassOf(dict):
 class Lexer:
     """Cuts a language's text into token classes.
 
-    ``opaque`` matches comments (group ``c``), strings (``s``) and whole lines such as directives (``l``). What is left is cut
+    ``opaque`` matches comments (group ``c``), strings (``s``), numbers with marks (``k``) and whole lines such as directives
+    (``l``); where the first pattern of ``deep`` is found, the second, which may be recursive, stands for it. What is left is cut
     into names, numbers and operators, whose class is looked up; a keyword behind a dot is a name.
     """
 
@@ -355,10 +360,12 @@ class Lexer:
     bad_number: str = r"(?!)"
     name: str = r"[^\W\d]\w*"
     members: bool = True
+    deep: tuple[str, str] | None = None
 
     def __post_init__(self) -> None:
         words = self.keywords.split()
         self.skip = re.compile(self.opaque, re.S | re.M)
+        self.nested = (re.compile(self.deep[0]), regex.compile(self.deep[1], re.S | re.M)) if self.deep else None
         spelled = {o: self.grammar.char(name) for name, ops in self.operators.items() for o in ops.split()}
         classes = spelled | {w: self.grammar.char(w) for w in words} | {c: c for c in "()[]{}"}
         self.known = _ClassOf(classes | {"\x01": "s", "\x02": "H", "\x04": UNKNOWN, "\n": "N"}, self.bad_number)
@@ -375,11 +382,17 @@ class Lexer:
             return "\n" if "\n" in m.group() else " "
         if m.lastgroup == "l":
             return "\x02\n"
+        if m.lastgroup == "k":
+            return "0"
         return "\x01"
 
     def bare(self, text: str) -> str:
         """The text without comments, with marks for strings."""
-        return self.skip.sub(self._opaque, text)
+        return self.skipping(text).sub(self._opaque, text)
+
+    def skipping(self, text: str) -> re.Pattern[str] | regex.Pattern[str]:
+        """The pattern of what is no token: the recursive one where a string may hold expressions with strings."""
+        return self.nested[1] if self.nested and self.nested[0].search(text) else self.skip
 
     def classes(self, bare: str) -> str:
         """Token classes of a text without comments and strings, all line ends as ``N``."""

@@ -20,6 +20,8 @@ _OPERATORS = {
     "spread": "...", "at": "@", "hash": "#",
     "bin": "/ % ^ ** == != === !== <= >= && || ?? <<", "set": "+= -= *= /= %= &= |= ^= <<= >>= **= &&= ||= ??=",
 }
+#: Those of the languages without powers and the like, where two stars are two tokens.
+_C_OPERATORS = _OPERATORS | {"bin": "/ % ^ == != <= >= && || <<", "set": "+= -= *= /= %= &= |= ^= <<= >>="}
 
 # --- JavaScript and TypeScript -----------------------------------------------------------------------------------------
 
@@ -30,44 +32,51 @@ _JS_WORDS = (
 _JS_RULES = {
     "ID": "n | from | of | as | get | set | async | static {more}",
     "END": "( semi | nl ) + | EOT",
+    "TITEM": "spread ? ( ID quest ? colon ) ? TYPE quest ?",
+    "TPARAM": "const ? in ? ID ( extends TYPE ) ? ( assign TYPE ) ?",
     "KEY": "ID | str | num | K_LIST | await | break | case | catch | class | const | continue | default | delete | do | else"
     " | export | extends | finally | for | function | if | import | in | let | new | return | switch | throw | try | typeof"
     " | var | void | while | with | yield",
-    "TNAME": "n ( dot n ) *",
-    "TSIMPLE": "( {readonly} ) * ( TNAME | str | num | B_SHAPE | K_TYPES | P_TYPES | P_PARAMS arrow TNAME | void | typeof TNAME ) ( K_TYPES ) *",
-    "TONE": "TSIMPLE ( lt TSIMPLE ( comma TSIMPLE ) * gt ) ? ( K_TYPES ) *",
-    "TTWO": "TONE | TSIMPLE lt TONE ( ( comma | pipe ) TONE ) * gt ( K_TYPES ) *",
-    "TYPE": "pipe ? ( TTWO | TSIMPLE lt TTWO ( ( comma | pipe ) TTWO ) * gt ( K_TYPES ) * ) ( ( pipe | amp ) TTWO ) *",
+    "TNAME": "( ID | import P_ARGS ) ( dot ID ) *",
+    "TARGS": "lt TYPE ( comma TYPE ) * comma ? gt",
+    "TONE": "( {readonly} | typeof ) * ( TNAME | str | num | plus num | B_SHAPE | K_TYPES | P_TYPES | void ) ( TARGS ) ? ( K_TYPES ) *",
+    "TALL": "( pipe | amp ) ? ( TFUNC | TONE ( ( pipe | amp ) TONE ) * ( ( pipe | amp ) TFUNC ) ? )",
+    "TFUNC": "abstract ? new ? GEN P_PARAMS arrow ( asserts ? ID is ) ? TYPE",
+    "TYPE": "TALL ( extends TALL quest TYPE colon TYPE ) ?",
+    "DECO": "at TNAME P_ARGS ? nl *",
+    "HERIT": "( ID | P_ARGS ) ( dot ID | P_ARGS | K_LIST ) * {targs}",
+    "FSIG": "async ? function star ? ID GEN P_PARAMS RET END",
     "ANN": "{ann}",
     "RET": "{ann}",
     "GEN": "{gen}",
     "FUNC": "async ? function star ? ID ? GEN P_PARAMS RET B_BLOCK",
-    "HEAD": "async ? ( ID | P_PARAMS RET ) arrow",
-    "CLASS": "( at TNAME P_ARGS ? nl * ) * {abstract} class ID ? GEN ( extends TNAME ( P_ARGS ) ? GEN ) ? {implements} B_CLASS",
-    "PRIM": "FUNC | CLASS | HEAD B_BLOCK | ID | num | str | P_ARGS | K_LIST | B_OBJ",
-    "POST": "( dot | qdot ) ID | qdot ? P_ARGS | qdot ? K_LIST | str | inc {bang} | dot hash n",
-    "PRE": "plus | not | inc | typeof | void | delete | await | yield star ? | new | spread | HEAD",
+    "NAMED": "async ? function star ? ID GEN P_PARAMS RET B_BLOCK | ( DECO ) * {abstract} class ID GEN ( extends HERIT ) ? {implements} B_CLASS",
+    "HEAD": "async ? ( ID | GEN P_PARAMS RET ) arrow",
+    "CLASS": "( DECO ) * {abstract} class ID ? GEN ( extends HERIT ) ? {implements} B_CLASS",
+    "PRIM": "FUNC | CLASS | HEAD B_BLOCK | ID | num | str | P_ARGS | K_LIST | B_OBJ | import ( P_ARGS | dot n ) | new dot n | yield",
+    "POST": "( dot | qdot ) ID | qdot ? P_ARGS | qdot ? K_LIST | str | inc {bang} | ( dot | qdot ) hash n",
+    "PRE": "plus | not | inc | typeof | void | delete | await | yield star ? | new | spread | HEAD {cast} | hash n in",
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) * {asserts}",
-    "OP": "bin | plus | star | lt | gt | gt gt | gt gt gt | amp | pipe | assign | set | in | instanceof",
+    "OP": "bin | plus | star | lt | gt | gt gt | gt gt gt | gt set | amp | pipe | assign | set | in | instanceof",
     "CHAIN": "UNARY ( ( OP ) UNARY ) *",
     "EXPR": "CHAIN ( quest CHAIN colon CHAIN ) *",
     "EXPRS": "EXPR ( comma EXPR ) *",
     "BIND": "ID | B_OBJ | K_LIST",
-    "PARAM": "( at TNAME P_ARGS ? ) * {access} spread ? ( BIND ) {opt} ANN ( assign EXPR ) ?",
+    "PARAM": "( DECO ) * {access} spread ? ( BIND ) {opt} ANN ( assign EXPR ) ?",
     "DECL": "( BIND ) ANN ( assign EXPR ) ?",
     "DECLS": "( const | let | var ) DECL ( comma DECL ) *",
     "LOOP": "if P_ARGS nl * | for await ? P_FOR nl * | while P_ARGS nl * | ID colon nl *",
     "TRY": "try B_BLOCK ( nl * catch P_PARAMS ? B_BLOCK ) ? ( nl * finally B_BLOCK ) ?",
-    "IMPORT": "import str END | import {type} ( ID comma ) ? ( ID | star as ID | B_NAMES ) from str END",
-    "EXPORT": "export ( star ( as ID ) ? from str END | {type} B_NAMES ( from str ) ? END | default ( FUNC | CLASS ) END ? | default EXPR END"
-    " | DECLS END | FUNC END ? | CLASS END ? {exports} )",
-    "PLAIN": "B_BLOCK | semi | nl | DECLS END | FUNC END ? | CLASS END ? | return EXPRS ? END | throw EXPRS END | ( break | continue ) ID ? END"
-    " | TRY | switch P_ARGS B_SWITCH | debugger END | ! B_OBJ EXPRS END {types}",
+    "IMPORT": "import str END | import {type} ( ID comma ) ? ( ID | star as ID | B_NAMES ) from str END {requires}",
+    "EXPORT": "( DECO ) * export ( star ( as ID ) ? from str END | {type} B_NAMES ( from str ) ? END | default ( FUNC | CLASS {iface} ) END ? | default EXPR END"
+    " | DECLS END | NAMED END ? {exports} )",
+    "PLAIN": "B_BLOCK | semi | nl | DECLS END | NAMED END ? | return EXPRS ? END | throw EXPRS END | ( break | continue ) ID ? END"
+    " | TRY | switch P_ARGS B_SWITCH | debugger END | ! B_OBJ ! class ! function EXPRS END {types}",
     "CORE": "( LOOP ) * ( PLAIN | do ( LOOP ) * ( PLAIN ) nl * while P_ARGS END )",
     "STMT": "( LOOP ) * if P_ARGS nl * CORE ( nl * else nl * CORE ) + | CORE",
     "MOD": "static | async | get | set | star {mods}",
     "METHOD": "( MOD ) * ( hash ? KEY ) {opt} GEN P_PARAMS RET B_BLOCK",
-    "MEMBER": "( at TNAME P_ARGS ? nl * ) * ( METHOD {sig} | ( MOD ) * hash ? KEY {opt} ANN ( assign EXPR ) ? END | static B_BLOCK )",
+    "MEMBER": "( DECO ) * ( METHOD {sig} | ( MOD ) * hash ? KEY {opt} ANN ( assign EXPR ) ? END | static B_BLOCK )",
 }
 _JS_KINDS = {
     "P_ARGS": "( EXPR ( comma EXPR ) * comma ? ) ?",
@@ -75,30 +84,34 @@ _JS_KINDS = {
     "P_TYPES": "TYPE",
     "P_FOR": "( DECLS | EXPRS ) ? semi EXPRS ? semi EXPRS ? | ( const | let | var ) ? ( BIND ) ( of | in ) EXPR",
     "K_LIST": "comma * ( EXPR ( comma + EXPR ) * comma * ) ?",
-    "K_TYPES": "( TYPE ( comma TYPE ) * comma ? ) ?",
+    "K_TYPES": "( TITEM ( comma TITEM ) * comma ? ) ?",
     "B_BLOCK*": "STMT",
     "B_OBJ": "( ( KEY colon EXPR | ID ( assign EXPR ) ? | spread CHAIN | METHOD ) ( comma ( KEY colon EXPR | ID ( assign EXPR ) ? | spread CHAIN | METHOD ) ) * comma ? ) ?",
     "B_CLASS*": "MEMBER | semi | nl",
     "B_NAMES": "( {type} ( ID | default | str ) ( as ( ID | default ) ) ? ( comma ( ID | default ) ( as ( ID | default ) ) ? ) * comma ? ) ?",
     "B_SWITCH*": "case EXPRS colon | default colon | STMT",
-    "B_SHAPE*": "( ( readonly ) ? ( KEY | K_TYPES | K_PARAM ) quest ? GEN P_PARAMS ? colon TYPE | GEN P_PARAMS ANN ) ( ( semi | comma | nl ) + | EOT ) | nl | semi",
-    "K_PARAM": "n colon TYPE | n in TYPE",
+    "B_SHAPE*": "( ( plus ? readonly ) ? ( get | set ) ? ( KEY | K_TYPES | K_PARAM ) ( plus ? quest ) ? GEN P_PARAMS ? ( colon ( asserts ? ID is ) ? TYPE ) ? | new ? GEN P_PARAMS ANN ) ( ( semi | comma | nl ) + | EOT ) | nl | semi",
+    "K_PARAM": "n colon TYPE | n in TYPE ( as TYPE ) ?",
+    "B_MOD*": "IMPORT | EXPORT | STMT",
 }
 _JS_FILL = dict(
-    more="", readonly="readonly", ann="( nl nl nl nl nl ) ?", gen="( nl nl nl nl nl ) ?", abstract="", implements="", bang="", asserts="",
+    more="", readonly="readonly", ann="( nl nl nl nl nl ) ?", gen="( nl nl nl nl nl ) ?", targs="", cast="", requires="", iface="", abstract="", implements="", bang="", asserts="",
     access="", opt="", type="", exports="", types="", mods="", sig="",
 )
+_INTERFACE = "declare ? interface n GEN ( extends TYPE ( comma TYPE ) * ) ? B_SHAPE"
+_TS_DECLARED = (
+    f" | {_INTERFACE} END ? | declare ? type n GEN assign nl * TYPE END | declare ? const ? enum n B_OBJ END ? | declare DECLS END | declare ? FSIG"
+    " | declare ? ( namespace | module ) ( TNAME | str ) B_MOD | declare ? n B_MOD"
+)
 _TS_FILL = dict(
-    more="| type | interface | namespace | declare | abstract | readonly | module", readonly="readonly | keyof | unique | infer | asserts",
-    ann="( colon ( n is ) ? TYPE ) ?", gen="( lt TYPE ( ( extends | assign | comma ) TYPE ) * gt ) ?", abstract="declare ? abstract ?",
-    implements="( implements TYPE ( comma TYPE ) * ) ?", bang="| not", asserts="( ( as | satisfies ) ( TYPE | const ) ( POST ) * ) *",
-    access="( public | private | protected | readonly ) *", opt="( quest | not ) ?", type="type ?",
-    exports="| declare ? interface n GEN ( extends TYPE ( comma TYPE ) * ) ? B_SHAPE END ? | declare ? type n GEN assign nl * TYPE END | declare ? const ? enum n B_OBJ END ?"
-    " | declare DECLS END | declare FUNC END | ( namespace | module ) ( TNAME | str ) B_BLOCK | assign EXPR END",
-    types="| declare ? interface n GEN ( extends TYPE ( comma TYPE ) * ) ? B_SHAPE END ? | declare ? type n GEN assign nl * TYPE END"
-    " | declare ? const ? enum n B_OBJ END ? | declare DECLS END | declare async ? function ID GEN P_PARAMS RET END | ( declare ) ? ( namespace | module ) ( TNAME | str ) B_BLOCK",
+    more="| type | interface | namespace | declare | abstract | readonly | module | is | asserts | infer | keyof | unique | override | satisfies",
+    readonly="readonly | keyof | unique | infer | asserts", targs="( TARGS ) ?", cast="| lt TYPE gt", requires="| import type ? ID assign EXPR END",
+    iface=f"| {_INTERFACE}", ann="( colon ( asserts ? ID is ) ? TYPE | colon asserts ID ) ?", gen="( lt TPARAM ( comma TPARAM ) * comma ? gt ) ?", abstract="declare ? abstract ?",
+    implements="( implements TYPE ( comma TYPE ) * ) ?", bang="| not | TARGS ( P_ARGS | str )", asserts="( ( as | satisfies ) ( TYPE | const ) ( POST ) * ) *",
+    access="( public | private | protected | readonly | override ) *", opt="( quest | not ) ?", type="type ?",
+    exports=_TS_DECLARED + " | assign EXPR END | import ID assign EXPR END | as namespace ID END", types=_TS_DECLARED,
     mods="| public | private | protected | readonly | abstract | override | declare",
-    sig="| ( MOD ) * KEY quest ? GEN P_PARAMS RET END | K_PARAM ANN END",
+    sig="| ( MOD ) * KEY quest ? GEN P_PARAMS RET END | ( MOD ) * K_PARAM ANN END",
 )
 
 
@@ -113,21 +126,24 @@ def _script(typed: bool) -> tuple[Lexer, str]:
     rules = {k: filled(v) for k, v in _JS_RULES.items()}
     kinds = {k: filled(v) for k, v in _JS_KINDS.items()}
     if not typed:
-        for name in ("P_TYPES", "K_TYPES", "K_PARAM", "B_SHAPE*"):
-            kinds[name] = "nl nl nl nl nl"
-        rules = {k: v for k, v in rules.items() if k not in ("TSIMPLE", "TONE", "TTWO", "TYPE")}
+        for name in ("P_TYPES", "K_TYPES", "K_PARAM", "B_SHAPE*", "B_MOD*"):
+            kinds.pop(name)
+        rules = {k: v for k, v in rules.items() if k not in ("TARGS", "TONE", "TALL", "TFUNC", "TYPE", "FSIG", "TITEM", "TPARAM")}
     words = _JS_WORDS + (
         " abstract asserts declare enum implements infer interface is keyof module namespace override private protected public"
         " readonly satisfies type unique" if typed else " enum"
     )
     grammar = Grammar(rules, kinds, "IMPORT | EXPORT | STMT | line")
-    opaque = rf"(?P<l>\A\#![^\n]*\n)|{_C_COMMENT}|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|{_REGEX}"
-    lexer = Lexer(grammar, opaque, words, _OPERATORS, newlines=True, name=r"[^\W\d][\w$]*|\$[\w$]*")
+    strings = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+    opaque = rf"(?P<l>\A\#![^\n]*\n)|{_C_COMMENT}|(?P<s>{strings}|`(?:[^`\\]|\\.)*`)|{_REGEX}"
+    # A template within a template's expression needs recursion.
+    braces = rf"(?P<b>\{{(?:[^{{}}`\"']|{strings}|(?&b)|(?&t))*\}})"
+    deep = rf"(?P<l>\A\#![^\n]*\n)|{_C_COMMENT}|(?P<s>{strings}|(?P<t>`(?:[^`\\$]|\\.|\$(?!\{{)|\${braces})*`))|{_REGEX}"
+    lexer = Lexer(grammar, opaque, words, _OPERATORS, newlines=True, name=r"[^\W\d][\w$]*|\$[\w$]*", deep=(r"\$\{[^}`]*`", deep))
     join = "bin plus star lt gt amp pipe assign set in instanceof arrow comma dot qdot quest colon spread not".split()
     before = "".join(grammar.char(c) for c in join) + "(["
     after = "".join(grammar.char(c) for c in "bin star lt gt amp pipe assign set instanceof arrow comma dot qdot quest colon".split()) + ")]"
-    typed_colon = "" if not typed else ""
-    return lexer, rf"N+(?=[{re.escape(after)}])|(?<=[{re.escape(before)}{{{typed_colon}])N+|(?<=N)N+"
+    return lexer, rf"N+(?=[{re.escape(after)}])|(?<=[{re.escape(before)}{{])N+|(?<=N)N+"
 
 
 # --- Java --------------------------------------------------------------------------------------------------------------
@@ -135,24 +151,27 @@ def _script(typed: bool) -> tuple[Lexer, str]:
 _JAVA_WORDS = (
     "abstract assert break case catch class continue default do else enum extends final finally for if implements import"
     " instanceof interface native new package private protected public record return static strictfp switch synchronized"
-    " throw throws transient try volatile while permits sealed yield"
+    " super throw throws transient try volatile while permits sealed yield"
 )
 _JAVA_RULES = {
-    "ID": "n | record | permits | sealed | yield",
+    "ID": "n | record | permits | sealed | yield | super",
     "NAME": "ID ( dot ID ) *",
-    "ARG": "NAME | quest ( extends NAME ) ? | NAME K_DIM +",
-    "TONE": "NAME ( lt ( ARG ( comma ARG ) * ) ? gt ) ? ( K_DIM ) *",
-    "TTWO": "TONE | NAME lt TONE ( comma TONE ) * gt ( K_DIM ) *",
-    "TYPE": "TTWO | NAME lt TTWO ( comma TTWO ) * gt ( dot ID ) ? ( K_DIM ) *",
+    "TARGS": "lt ( TARG ( comma TARG ) * ) ? gt",
+    "TARG": "( ANN ) * ( TYPE | quest ( ( extends | super ) TYPE ) ? )",
+    "TYPE": "( ANN ) * NAME ( TARGS ( dot ID ( dot ID ) * ( TARGS ) ? ) * ) ? ( K_DIM ) *",
+    "PATTERN": "( final | ANN ) * TYPE ( ID | P_PATS ID ? )",
+    "LABEL": "PATTERN ( n EXPR ) ? | EXPR | default",
+    "VALUE": "EXPR | B_INIT | ANN",
     "ANN": "at NAME P_ANN ?",
-    "MOD": "public | private | protected | static | final | abstract | synchronized | native | default | transient | volatile | strictfp | sealed | ANN",
-    "GEN": "lt ID ( extends TYPE ( amp TYPE ) * ) ? ( comma ID ( extends TYPE ) ? ) * gt",
-    "PRIM": "ID | num | str | P_ARGS | new TYPE ( P_ARGS B_CLASS ? | K_LIST + ( K_DIM ) * B_INIT ? | B_INIT ) | switch P_ARGS B_SWITCH | ( ID | P_LAMBDA ) thin B_BLOCK | TYPE scope ( ID | new )",
-    "POST": "dot ( ID | class | new TYPE P_ARGS ) | P_ARGS | K_LIST | inc | scope ( ID | new )",
+    "MOD": "public | private | protected | static | final | abstract | synchronized | native | default | transient | volatile | strictfp | sealed | n plus sealed | ANN",
+    "GPARAM": "( ANN ) * ID ( extends TYPE ( amp TYPE ) * ) ?",
+    "GEN": "lt GPARAM ( comma GPARAM ) * gt",
+    "PRIM": "ID | num | str | P_ARGS | new TYPE ( P_ARGS B_CLASS ? | K_LIST + ( K_DIM ) * B_INIT ? | B_INIT ) | switch P_ARGS B_SWITCH | ( ID | P_LAMBDA ) thin B_BLOCK | TYPE scope ( ID | new ) | NAME K_DIM + dot class",
+    "POST": "dot ( ( TARGS ) ? ID | class | new TYPE P_ARGS B_CLASS ? ) | P_ARGS | K_LIST | inc | scope ( ID | new )",
     "PRE": "plus | not | inc | P_TYPE | ( ID | P_LAMBDA ) thin",
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) *",
-    "OP": "bin | plus | star | lt | gt | gt gt | gt gt gt | amp | pipe | assign | set",
-    "CHAIN": "UNARY ( ( OP ) UNARY | instanceof final ? TYPE ID ? ) *",
+    "OP": "bin | plus | star | lt | gt | gt gt | gt gt gt | gt set | amp | pipe | assign | set",
+    "CHAIN": "UNARY ( ( OP ) UNARY | instanceof ( PATTERN | TYPE ) ) *",
     "EXPR": "CHAIN ( quest CHAIN colon CHAIN ) *",
     "VAR": "ID ( K_DIM ) * ( assign ( EXPR | B_INIT ) ) ?",
     "LOCAL": "( final | ANN ) * TYPE VAR ( comma VAR ) *",
@@ -164,13 +183,14 @@ _JAVA_RULES = {
     "CORE": "( LOOP ) * ( PLAIN | do ( LOOP ) * ( PLAIN ) while P_ARGS semi )",
     "KIND": "( MOD ) * ( class | interface | enum | record | at interface ) ID GEN ? P_PARAMS ? ( extends TYPE ( comma TYPE ) * ) ? ( implements TYPE ( comma TYPE ) * ) ? ( permits TYPE ( comma TYPE ) * ) ? B_CLASS",
     "STMT": "( LOOP ) * if P_ARGS CORE ( else CORE ) + | KIND | CORE",
-    "THROWS": "throws NAME ( comma NAME ) *",
-    "MEMBER": "( MOD ) * GEN ? TYPE ID P_PARAMS ( K_DIM ) * THROWS ? ( B_BLOCK | ( default EXPR ) ? semi ) | ( MOD ) * GEN ? ID P_PARAMS ? THROWS ? B_BLOCK"
+    "THROWS": "throws TYPE ( comma TYPE ) *",
+    "MEMBER": "( MOD ) * GEN ? TYPE ID P_PARAMS ( K_DIM ) * THROWS ? ( B_BLOCK | ( default ( VALUE ) ) ? semi ) | ( MOD ) * GEN ? ID P_PARAMS ? THROWS ? B_BLOCK"
     " | ( MOD ) * TYPE VAR ( comma VAR ) * semi | KIND | static ? B_BLOCK | semi | ID P_ARGS ? B_CLASS ? ( comma ID P_ARGS ? B_CLASS ? ) * comma ? ( semi | EOT )",
 }
 _JAVA_KINDS = {
     "P_ARGS": "( EXPR ( comma EXPR ) * ) ?",
-    "P_ANN": "( ID assign ) ? ( EXPR | B_INIT | ANN ) ( comma ID assign ( EXPR | B_INIT ) ) * | ANN",
+    "P_ANN": "( ( ID assign ) ? ( VALUE ) ( comma ID assign ( VALUE ) ) * ) ?",
+    "P_PATS": "( PATTERN ( comma PATTERN ) * ) ?",
     "P_PARAMS": "( PARAM ( comma PARAM ) * ) ?",
     "P_LAMBDA": "( ID ( comma ID ) * | PARAM ( comma PARAM ) * ) ?",
     "P_TYPE": "TYPE ( amp TYPE ) *",
@@ -181,8 +201,8 @@ _JAVA_KINDS = {
     "K_LIST": "EXPR",
     "B_BLOCK*": "STMT",
     "B_CLASS*": "MEMBER",
-    "B_INIT": "( ( EXPR | B_INIT ) ( comma ( EXPR | B_INIT ) ) * comma ? ) ?",
-    "B_SWITCH*": "case EXPR ( comma EXPR ) * ( colon | thin ) | default ( colon | thin ) | STMT",
+    "B_INIT": "( ( VALUE ) ( comma ( VALUE ) ) * comma ? ) ?",
+    "B_SWITCH*": "case LABEL ( comma LABEL ) * ( colon | thin ) | default ( colon | thin ) | STMT",
 }
 
 # --- C and C++ ---------------------------------------------------------------------------------------------------------
@@ -203,83 +223,94 @@ _C_RULES = {
     "OP": "bin | plus | star | lt | gt | gt gt | amp | pipe | assign | set",
     "CHAIN": "UNARY ( ( OP ) UNARY ) *",
     "EXPR": "CHAIN ( quest CHAIN colon CHAIN ) *",
-    "VAR": "PTR ( n | P_PTR P_PARAMS ) ( K_DIM | K_LIST | P_PARAMS ) * ( assign ( EXPR | B_INIT ) ) ?",
+    "DIMS": "( K_DIM | K_LIST | P_PARAMS ) *",
+    "DECLR": "PTR ( n | P_DECL ) DIMS",
+    "VAR": "DECLR ( n P_ARGS ) * ( assign ( EXPR | B_INIT ) ) ?",
+    "FIELD": "VAR ( colon EXPR ) ? | colon EXPR",
     "LOCAL": "( SPEC ) * ( n ( SPEC ) * | ( struct | union | enum ) n ( SPEC ) * | ( unsigned | signed ) ( SPEC ) * n ? n ? | n n ) VAR ( comma VAR ) *",
-    "PARAM": "TYPE PTR n ? ( K_DIM | K_LIST ) * | TYPE P_PTR P_PARAMS | spread",
+    "PARAM": "TYPE PTR ( n | P_DECL ) ? DIMS | spread",
     "LOOP": "if P_ARGS | for P_FOR | while P_ARGS | n colon | case EXPR colon | default colon",
     "PLAIN": "B_BLOCK | semi | LOCAL semi | ( struct | union ) n ? B_FIELDS PTR n semi | return EXPR ? semi | goto n semi | ( break | continue ) semi | switch P_ARGS B_BLOCK | EXPR ( comma EXPR ) * semi | line",
     "CORE": "( LOOP ) * ( PLAIN | do ( LOOP ) * ( PLAIN ) while P_ARGS semi )",
     "STMT": "( LOOP ) * if P_ARGS CORE ( else CORE ) + | CORE",
-    "TOP": "line | semi | BASE ( VAR ( comma VAR ) * ) ? semi | ( BASE ) PTR n P_PARAMS ( B_BLOCK | semi ) | n P_ARGS semi ?",
+    "TOP": "line | semi | BASE ( VAR ( comma VAR ) * ) ? semi | BASE PTR ( n P_PARAMS | P_DECL DIMS ) ( n P_ARGS ) * B_BLOCK | n P_ARGS semi ?",
 }
 _C_KINDS = {
     "P_ARGS": "( ( EXPR | TYPE ) ( comma ( EXPR | TYPE ) ) * ) ?",
     "P_PARAMS": "( PARAM ( comma PARAM ) * ) ?",
     "P_TYPE": "TYPE",
-    "P_PTR": "star + n ?",
+    "P_DECL": "DECLR | PTR DIMS",
     "P_FOR": "( LOCAL | EXPR ( comma EXPR ) * ) ? semi EXPR ? semi ( EXPR ( comma EXPR ) * ) ?",
-    "K_DIM": "( num | n ) ?",
+    "K_DIM": "( SPEC ) * ( num | n | star ) ?",
     "K_LIST": "EXPR",
     "B_BLOCK*": "STMT",
-    "B_FIELDS*": "BASE ( VAR ( colon num ) ? ( comma VAR ) * ) ? semi | line",
+    "B_FIELDS*": "BASE ( FIELD ( comma FIELD ) * ) ? semi | line",
     "B_ENUM": "n ( assign EXPR ) ? ( comma n ( assign EXPR ) ? ) * comma ?",
     "B_INIT": "( ( ( dot n | K_LIST ) + assign ) ? ( EXPR | B_INIT ) ( comma ( ( dot n | K_LIST ) + assign ) ? ( EXPR | B_INIT ) ) * comma ? ) ?",
 }
 _CPP_WORDS = _C_WORDS + (
     " class namespace template typename using public private protected virtual override final noexcept explicit friend new"
     " delete throw try catch constexpr consteval mutable operator static_cast dynamic_cast reinterpret_cast const_cast decltype"
-    " co_await co_return co_yield static_assert"
+    " co_await co_return co_yield static_assert thread_local concept requires"
 )
 _CPP_RULES = {
-    "SPEC": "const | static | extern | inline | register | volatile | typedef | virtual | explicit | friend | constexpr | consteval | mutable",
-    "Q": "scope ? n ( scope n ) *",
-    "ARG": "const ? ( unsigned | signed ) ? ( Q ) const ? ( star | amp ) * | num | unsigned",
-    "QONE": "Q ( lt ( ARG ( comma ARG ) * ) ? gt ( scope n ) * ) ?",
-    "ARGTWO": "const ? ( QONE ) const ? ( star | amp ) * | ARG",
-    "QTWO": "QONE | Q lt ARGTWO ( comma ARGTWO ) * gt ( scope n ) *",
-    "BASE": "( SPEC ) * ( typename ? ( QTWO ) | ( struct | class | union | enum ) Q | ( unsigned | signed ) n ? n ? | n n | decltype P_ARGS ) ( SPEC ) *",
-    "TYPE": "( BASE ) ( star const ? ) * ( amp | bin ) ? ( K_DIM ) *",
-    "PRIM": "QTWO | num | str + | P_ARGS | QTWO B_INIT | sizeof ( P_ARGS | P_TYPE ) | new TYPE ( P_ARGS | B_INIT | K_LIST ) ? | LAMBDA"
-    " | ( static_cast | dynamic_cast | reinterpret_cast | const_cast ) lt TYPE gt P_ARGS | Q lt TYPE ( comma TYPE ) * gt P_ARGS",
-    "LAMBDA": "( K_CAPTURE | K_DIM ) P_PARAMS ? ( mutable ) ? ( thin TYPE ) ? B_BLOCK",
-    "POST": "( dot | thin ) n | P_ARGS | K_LIST | inc",
+    "SPEC": "const | static | extern | inline | register | volatile | typedef | virtual | explicit P_ARGS ? | friend | constexpr | consteval | mutable | thread_local | K_ATTR",
+    "PART": "n ( TARGS ) ?",
+    "Q": "scope ? PART ( scope ( template ) ? PART ) *",
+    "TARGS": "lt ( TARG ( comma TARG ) * ) ? gt",
+    "TARG": "( TYPE PTR ( P_DECL | P_PARAMS | P_ARGS | B_INIT ) * | TFIRST ) ( ( plus | star | bin | not ) TVAL ) * spread ?",
+    "TFIRST": "( plus | not | sizeof spread ? | amp ) + TVAL | ( num | str | P_ARGS ) ( P_ARGS | B_INIT ) *",
+    "TVAL": "( plus | not | sizeof spread ? | amp ) * ( num | str | Q | P_ARGS ) ( P_ARGS | B_INIT ) *",
+    "BASE": "( SPEC ) * ( typename ? Q | ( struct | class | union | enum ) Q | ( unsigned | signed ) n ? n ? | n n n ? | decltype P_ARGS ) ( SPEC ) *",
+    "TYPE": "( BASE ) ( star ( const | volatile ) ? ) * ( amp | bin ) ? ( K_DIM ) *",
+    "PRIM": "Q | num | str + | P_ARGS | ( typename ? Q | decltype P_ARGS ) B_INIT | typename Q P_ARGS | sizeof spread ? ( P_ARGS | P_TYPE ) | new P_ARGS ? TYPE ( P_ARGS | B_INIT | K_LIST ) * | LAMBDA"
+    " | ( static_cast | dynamic_cast | reinterpret_cast | const_cast ) lt TARG gt P_ARGS",
+    "LAMBDA": "( K_CAPTURE | K_DIM ) ( lt TPARAMS gt ) ? P_PARAMS ? ( mutable | constexpr | noexcept P_ARGS ? ) * ( thin TYPE ) ? B_BLOCK",
+    "POST": "( dot | thin ) ( ( template ) ? Q | not Q | star Q | OPER ) | P_ARGS | K_LIST | inc | spread",
     "PRE": "plus | not | inc | star | amp | P_TYPE | sizeof | delete K_DIM ? | co_await | throw",
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) *",
     "OP": "bin | plus | star | lt | gt | gt gt | amp | pipe | assign | set",
     "CHAIN": "UNARY ( ( OP ) UNARY ) *",
     "EXPR": "CHAIN ( quest CHAIN colon CHAIN ) *",
-    "PTR": "( star const ? ) * ( amp | bin ) ?",
-    "VAR": "PTR ( n | K_CAPTURE | P_PTR P_PARAMS ) ( K_DIM | K_LIST ) * ( assign ( EXPR | B_INIT ) | B_INIT | P_ARGS ) ?",
+    "PTR": "( star ( const | volatile ) ? | Q scope star ) * ( amp | bin ) ? spread ?",
+    "CAPT": "( amp | assign | star | amp ? spread ? n ( assign ( EXPR | B_INIT ) | B_INIT | spread | P_ARGS ) ? )",
+    "DIMS": "( K_DIM | K_LIST | P_PARAMS ) *",
+    "DECLR": "PTR ( n | K_CAPTURE | P_DECL ) DIMS",
+    "TEMPL": "( template lt ( TPARAMS ) ? gt ( requires EXPR ) ? ) *",
+    "VAR": "PTR ( Q | K_CAPTURE | K_LIST | P_DECL ) DIMS ( assign ( EXPR | B_INIT ) | B_INIT | P_ARGS ) ?",
     "LOCAL": "( BASE ) VAR ( comma VAR ) *",
-    "PARAM": "TYPE PTR n ? ( K_DIM | K_LIST ) * ( assign ( EXPR | B_INIT ) ) ? | TYPE P_PTR P_PARAMS | spread",
-    "LOOP": "if constexpr ? P_ARGS | if P_FOR | for P_FOR | while P_ARGS | n colon | case EXPR colon | default colon",
+    "PARAM": "TYPE PTR ( n | P_DECL ) ? DIMS ( assign ( EXPR | B_INIT ) ) ? | spread",
+    "LOOP": "K_ATTR | if constexpr ? P_ARGS | if P_FOR | for P_FOR | while P_ARGS | n colon | case EXPR colon | default colon",
     "TRY": "try B_BLOCK ( catch P_PARAMS B_BLOCK ) +",
-    "USING": "using ( namespace Q | Q | n assign TYPE ) semi",
+    "USING": "TEMPL using ( namespace Q | typename ? Q | n assign TYPE PTR ( P_DECL | P_PARAMS ) * ) semi",
     "PLAIN": "B_BLOCK | semi | LOCAL semi | USING | return ( EXPR | B_INIT ) ? semi | throw EXPR ? semi | goto n semi | ( break | continue ) semi | switch P_ARGS B_BLOCK | TRY"
     " | ( co_return | co_yield ) EXPR ? semi | KIND | EXPR ( comma EXPR ) * semi | line",
     "CORE": "( LOOP ) * ( PLAIN | do ( LOOP ) * ( PLAIN ) while P_ARGS semi )",
-    "STMT": "( LOOP ) * if P_ARGS CORE ( else CORE ) + | CORE",
-    "BASES": "colon ( public | private | protected | virtual ) * QTWO ( comma ( public | private | protected | virtual ) * QTWO ) *",
-    "KIND": "( template lt TPARAMS gt ) ? ( SPEC ) * ( class | struct | union ) n final ? ( BASES ) ? B_CLASS n ? semi | ( SPEC ) * enum ( class | struct ) ? n ? ( colon TYPE ) ? B_ENUM n ? semi"
-    " | ( class | struct | enum class ) n semi",
-    "TPARAMS": "( ( typename | class ) spread ? n ? ( assign TYPE ) ? | TYPE n ) ( comma ( ( typename | class ) spread ? n ? ( assign TYPE ) ? | TYPE n ) ) *",
-    "OPER": "operator ( P_ARGS | K_DIM | bin | plus | star | lt | gt | amp | pipe | assign | set | not | inc | thin | TYPE )",
-    "QUAL": "( const | noexcept P_ARGS ? | override | final | amp | thin TYPE ) *",
-    "INITS": "colon QTWO ( P_ARGS | B_INIT ) ( comma QTWO ( P_ARGS | B_INIT ) ) *",
-    "FUNC": "( template lt TPARAMS gt ) ? ( SPEC ) * ( TYPE ) ? ( Q ( lt TYPE gt scope n ) ? | not n | Q scope not n | OPER | Q scope OPER ) P_PARAMS QUAL ( ( INITS ) ? B_BLOCK | assign ( default | delete | num ) semi | semi )",
-    "TOP": "line | semi | USING | KIND | FUNC | ( template lt TPARAMS gt ) ? LOCAL semi | inline ? namespace Q ? B_TOP | extern str ( B_TOP ) | static_assert P_ARGS semi | n P_ARGS semi ?",
+    "STMT": "( LOOP ) * if constexpr ? ( P_ARGS | P_FOR ) CORE ( else CORE ) + | CORE",
+    "BASES": "colon ( public | private | protected | virtual ) * Q spread ? ( comma ( public | private | protected | virtual ) * Q spread ? ) *",
+    "KIND": "TEMPL ( SPEC ) * ( class | struct | union ) ( K_ATTR | n P_ARGS ) * Q ? final ? ( BASES ) ? B_CLASS ( VAR ( comma VAR ) * ) ? semi | ( SPEC ) * enum ( class | struct ) ? n ? ( colon TYPE ) ? B_ENUM ( VAR ) ? semi"
+    " | TEMPL ( class | struct | union | enum ( class | struct ) ? ) ( K_ATTR ) * Q ( colon TYPE ) ? semi | template lt TPARAMS gt concept n assign EXPR semi",
+    "TPARAMS": "TPARAM ( comma TPARAM ) *",
+    "TPARAM": "( template lt ( TPARAMS ) ? gt ) ? ( typename | class ) spread ? n ? ( assign TYPE ) ? | TYPE spread ? n ? ( assign TVAL ) ?",
+    "OPER": "operator ( P_ARGS | K_DIM | new K_DIM ? | delete K_DIM ? | bin gt | gt gt | gt set | str n | bin | plus | star | lt | gt | amp | pipe | assign | set | not | inc | thin | comma | TYPE )",
+    "QUAL": "( const | volatile | noexcept P_ARGS ? | override | final | amp | bin | thin TYPE | requires EXPR | K_ATTR ) *",
+    "INITS": "colon Q ( P_ARGS | B_INIT ) spread ? ( comma Q ( P_ARGS | B_INIT ) spread ? ) *",
+    "FUNC": "TEMPL ( SPEC ) * ( TYPE ) ? ( Q | not n | Q scope not n | OPER | Q scope OPER ) P_PARAMS QUAL ( ( INITS ) ? ( B_BLOCK | TRY ) | assign ( default | delete | num ) semi | semi )",
+    "TOP": "line | semi | USING | KIND | FUNC | TEMPL LOCAL semi | BASE DECLR QUAL B_BLOCK | inline ? namespace Q ? B_TOP | namespace n assign Q semi | extern str ( B_TOP | TOP ) | static_assert P_ARGS semi | n P_ARGS semi ?"
+    " | template ( class | struct ) ? Q semi",
 }
 _CPP_KINDS = {
-    "P_ARGS": "( ( EXPR | TYPE | B_INIT ) ( comma ( EXPR | TYPE | B_INIT ) ) * ) ?",
+    "P_ARGS": "( ( EXPR | TYPE | B_INIT ) ( comma ( EXPR | TYPE | B_INIT ) ) * ) ? | ( EXPR ( OP ) | EXPR comma ) ? spread ( ( OP ) EXPR ) ?",
     "P_PARAMS": "( PARAM ( comma PARAM ) * ) ?",
     "P_TYPE": "TYPE",
-    "P_PTR": "star + n ? | amp n",
+    "P_DECL": "DECLR | PTR DIMS",
     "P_FOR": "( LOCAL | EXPR ( comma EXPR ) * ) ? semi EXPR ? ( semi ( EXPR ( comma EXPR ) * ) ? ) ? | TYPE PTR ( n | K_CAPTURE ) colon ( EXPR | B_INIT )",
     "K_DIM": "EOT",
     "K_LIST": "EXPR",
-    "K_CAPTURE": "( amp | assign | amp ? n ( assign EXPR ) ? ) ( comma ( amp ? n ( assign EXPR ) ? ) ) *",
+    "K_ATTR": "K_LIST | K_CAPTURE | K_DIM",
+    "K_CAPTURE": "CAPT ( comma CAPT ) *",
     "B_BLOCK*": "STMT",
-    "B_CLASS*": "( public | private | protected ) colon | FUNC | ( template lt TPARAMS gt ) ? KIND | USING | LOCAL ( colon num ) ? semi | static_assert P_ARGS semi | friend ( class | struct ) Q semi | semi | line | n P_ARGS semi ?",
+    "B_CLASS*": "( public | private | protected ) colon | FUNC | KIND | USING | TEMPL LOCAL ( colon EXPR ( assign EXPR ) ? ) ? semi | BASE colon EXPR semi | static_assert P_ARGS semi | friend ( class | struct ) Q semi | semi | line | n P_ARGS semi ?",
     "B_ENUM": "n ( assign EXPR ) ? ( comma n ( assign EXPR ) ? ) * comma ?",
     "B_INIT": "( ( dot n assign ) ? ( EXPR | B_INIT ) ( comma ( dot n assign ) ? ( EXPR | B_INIT ) ) * comma ? ) ?",
     "B_TOP*": "TOP",
@@ -294,20 +325,20 @@ _GO_WORDS = (
 _GO_RULES = {
     "END": "( semi | nl ) + | EOT",
     "NAME": "n ( dot n ) ?",
-    "TSIMPLE": "( star | K_DIM | K_IDX | chan | lt plus chan ) * ( NAME ( K_TYPES ) ? | interface B_IFACE | struct B_FIELDS | func P_PARAMS ( NAME | P_PARAMS | star NAME ) ? | P_TYPE )",
-    "TYPE": "( ( star | K_DIM | K_IDX | map K_TYPES | chan ) ) * TSIMPLE",
-    "FUNC": "func P_PARAMS ( P_PARAMS | TYPE ) ? B_BLOCK",
-    "PRIM": "n | num | str | P_ARGS | FUNC | ( K_DIM | K_IDX | map K_TYPES | star ) + TSIMPLE ( B_LIT | P_ARGS ) | struct B_FIELDS B_LIT | func P_PARAMS TYPE ? | interface B_IFACE | map K_TYPES TYPE | K_DIM TYPE | chan TYPE",
+    "TYPE": "( star | K_DIM | K_IDX | map K_TYPES | receive ? chan receive ? ) * ( NAME ( K_TYPES ) ? | interface B_IFACE | struct B_FIELDS | func P_PARAMS RESULT | P_TYPE )",
+    "TERM": "not ? TYPE ( pipe not ? TYPE ) *",
+    "FUNC": "func P_PARAMS RESULT B_BLOCK",
+    "PRIM": "n | num | str | P_ARGS | FUNC | ( K_DIM | K_IDX | map K_TYPES ) TYPE ( B_LIT | P_ARGS ) | struct B_FIELDS B_LIT | func P_PARAMS RESULT | interface B_IFACE | map K_TYPES TYPE | K_DIM TYPE | chan receive ? TYPE",
     "POST": "dot ( n | P_ARGS | P_KIND ) | P_ARGS | K_IDX | K_TYPES | K_SLICE",
-    "PRE": "plus | not | star | amp | lt plus",
+    "PRE": "plus | not | star | amp | receive | hat",
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) * ( B_LIT ( POST ) * ) ?",
     "BARE": "( PRE ) * ( PRIM ) ( POST ) *",
-    "OP": "bin | plus | star | lt | gt | gt gt | amp | pipe",
+    "OP": "bin | plus | star | lt | gt | gt gt | amp | pipe | hat",
     "EXPR": "UNARY ( ( OP ) UNARY ) *",
-    "COND": "BARE ( ( OP ) BARE ) *",
+    "COND": "BARE ( ( OP ) ( let PAT assign ) ? BARE ) * range ?",
     "EXPRS": "EXPR ( comma EXPR ) *",
     "CONDS": "COND ( comma COND ) *",
-    "SIMPLE": "EXPRS ( ( define | assign | set ) EXPRS | inc | lt plus EXPR ) ?",
+    "SIMPLE": "EXPRS ( ( define | assign | set ) EXPRS | inc | receive EXPR ) ?",
     "CSIMPLE": "CONDS ( ( define | assign | set ) CONDS | inc ) ?",
     "VARSPEC": "n ( comma n ) * ( TYPE ) ? ( assign EXPRS ) ?",
     "PARAM": "( n ( comma n ) * ) ? spread ? TYPE",
@@ -321,8 +352,8 @@ _GO_RULES = {
     " | import ( ( n | dot ) ? str | P_SPECS ) END | package n END",
 }
 _GO_KINDS = {
-    "P_ARGS": "( nl ? ( EXPR | TYPE ) ( comma nl ? ( EXPR | TYPE ) ) * spread ? comma ? nl ? ) ?",
-    "P_PARAMS": "( PARAM ( comma nl ? PARAM ) * comma ? nl ? ) ?",
+    "P_ARGS": "( ( EXPR | TYPE ) ( comma ( EXPR | TYPE ) ) * spread ? comma ? ) ?",
+    "P_PARAMS": "( PARAM ( comma PARAM ) * comma ? ) ?",
     "P_TYPE": "TYPE",
     "P_KIND": "type",
     "P_SPECS": "( ( nl | semi ) * ( VARSPEC | ( n | dot ) ? str | n assign ? TYPE ) ( ( nl | semi ) + | EOT ) ) *",
@@ -330,71 +361,81 @@ _GO_KINDS = {
     "K_IDX": "EXPR",
     "K_SLICE": "EXPR ? colon EXPR ? ( colon EXPR ) ?",
     "K_TYPES": "TYPE ( comma TYPE ) *",
-    "K_TPARAMS": "n ( comma n ) * ( TYPE | not TYPE ) ( pipe TYPE ) * ( comma n ( TYPE ) ( pipe TYPE ) * ) *",
+    "K_TPARAMS": "n ( comma n ) * TERM ( comma n ( comma n ) * TERM ) * comma ?",
     "B_BLOCK*": "STMT",
-    "B_FIELDS*": "nl | semi | ( n ( comma n ) * TYPE | star ? NAME ) str ? END",
-    "B_IFACE*": "nl | semi | n P_PARAMS RESULT END | TYPE ( pipe TYPE ) * END",
-    "B_LIT": "nl * ( ( EXPR | B_LIT ) ( colon ( EXPR | B_LIT ) ) ? ( comma nl * ( EXPR | B_LIT ) ( colon ( EXPR | B_LIT ) ) ? ) * comma ? nl * ) ?",
-    "B_SWITCH*": "case ( SIMPLE | TYPE ( comma TYPE ) * ) colon | default colon | STMT",
+    "B_FIELDS*": "nl | semi | ( n ( comma n ) * TYPE | star ? NAME ( K_TYPES | K_IDX ) ? ) str ? END",
+    "B_IFACE*": "nl | semi | n P_PARAMS RESULT END | TERM END",
+    "B_LIT": "( ( EXPR | B_LIT ) ( colon ( EXPR | B_LIT ) ) ? ( comma ( EXPR | B_LIT ) ( colon ( EXPR | B_LIT ) ) ? ) * comma ? ) ?",
+    "B_SWITCH*": "case ( SIMPLE | TYPE ( comma TYPE ) * | ( EXPR | TYPE ) ( comma ( EXPR | TYPE ) ) * ) colon | default colon | STMT",
 }
 
 # --- Rust --------------------------------------------------------------------------------------------------------------
 
 _RUST_WORDS = (
     "as async await break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref"
-    " return self static struct super trait type unsafe use where while"
+    " return self static struct super trait type union unsafe use where while"
 )
 _RUST_RULES = {
-    "ID": "n | self | super | crate",
+    "ID": "n | self | super | crate | union",
     "PATH": "scope ? ID ( scope ID ) *",
-    "TSIMPLE": "( amp ( life ) ? mut ? | star ( const | mut ) | dyn | impl | bin ( life ) ? mut ? ) * ( PATH | P_TYPES | K_TYPE | fn P_TYPES ( thin PATH ) ? | life | not )",
-    "TONE": "TSIMPLE ( lt ( n assign ) ? TSIMPLE ( comma TSIMPLE ) * gt ) ? ( plus TSIMPLE ) *",
-    "TTWO": "TONE | TSIMPLE lt TONE ( comma TONE ) * gt",
-    "TYPE": "TTWO | TSIMPLE lt TTWO ( comma TTWO ) * gt",
-    "GEN": "lt ( life | const ? n ) ( colon TYPE ( plus TYPE ) * ) ? ( comma ( life | const ? n ) ( colon TYPE ) ? ) * gt",
-    "PAT": "( amp | ref | mut ) * ( PATH | num | str | plus num ) ( P_PATS | B_PATS ) ? ( range ( num | str | n ) ) ? | P_PATS | K_LIST | amp P_PATS",
-    "MACRO": "PATH not ( P_ARGS | P_PATS | K_LIST | B_BLOCK )",
-    "CLOSURE": "move ? ( pipe ( ( PAT ) ( colon TYPE ) ? ( comma ( PAT ) ( colon TYPE ) ? ) * ) ? pipe | bin ) ( thin TYPE ) ?",
-    "BLOCKS": "unsafe ? B_BLOCK | async move ? B_BLOCK | loop B_BLOCK | while ( let PAT ( pipe PAT ) * assign ) ? COND B_BLOCK | for PAT in COND B_BLOCK | match COND B_MATCH"
-    " | if ( let PAT ( pipe PAT ) * assign ) ? COND B_BLOCK ( else if ( let PAT assign ) ? COND B_BLOCK ) * ( else B_BLOCK ) ?",
-    "PLAIN": "MACRO | PATH | num | str | P_ARGS | K_LIST | scope lt TYPE gt",
-    "PRIM": "BLOCKS | MACRO | PATH B_LIT | PLAIN",
-    "POST": "dot ( n | num | await ) | scope lt TYPE ( comma TYPE ) * gt ( scope n ) ? | P_ARGS | K_LIST | quest | as TYPE",
-    "PRE": "plus | not | star | amp mut ? | bin | CLOSURE | return | break | range",
+    "SEG": "ID ( scope ? TARGS | P_TYPES ( thin TYPE ) ? ) ?",
+    "QPATH": "( lt TYPE ( as TYPE ) ? gt scope | scope ) ? SEG ( scope SEG ) *",
+    "TARGS": "lt ( TARG ( comma TARG ) * comma ? ) ? gt",
+    "TARG": "TYPE ( ( assign | colon ) TYPE ) ? | plus ? num | str | B_BLOCK",
+    "TPART": "( amp life ? mut ? | bin life ? mut ? | star ( const | mut ) | dyn | impl | quest | for GEN ) * ( QPATH | P_TYPES | K_TYPE | ( unsafe | extern str ? ) * fn P_TYPES ( thin TYPE ) ? | life | not | MACRO )",
+    "TYPE": "TPART ( plus TPART ) * plus ?",
+    "GPARAM": "( ATTR ) * ( life ( colon life ( plus life ) * ) ? | const n colon TYPE ( assign ( plus ? num | B_BLOCK | n ) ) ? | n ( colon ( TYPE ) ? ) ? ( assign TYPE ) ? )",
+    "GEN": "lt ( GPARAM ( comma GPARAM ) * comma ? ) ? gt",
+    "LITERAL": "plus ? num | str | QPATH",
+    "PATONE": "( amp | bin | ref | mut ) * ( n at PATONE | LITERAL ( range ( LITERAL ) ? ) ? | range ( LITERAL ) ? | QPATH ( P_PATS | B_PATS ) | P_PATS | K_PATS | MACRO )",
+    "FPAT": "( ATTR ) * ( ( n | num ) colon PAT | ( ref | mut ) * n | range )",
+    "PAT": "pipe ? PATONE ( pipe PATONE ) *",
+    "MACRO": "PATH not ( P_TREE | K_TREE | B_TREE )",
+    "CLOSURE": "move ? ( pipe ( ( PATONE ) ( colon TYPE ) ? ( comma ( PATONE ) ( colon TYPE ) ? ) * comma ? ) ? pipe | bin ) ( thin TYPE ) ?",
+    "TEST": "let PAT assign COND | COND",
+    "BLOCKS": "( life colon ) ? ( unsafe ? B_BLOCK | async move ? B_BLOCK | const B_BLOCK | loop B_BLOCK | while TEST B_BLOCK | for PAT in COND B_BLOCK ) | match COND B_MATCH"
+    " | if TEST B_BLOCK ( else if TEST B_BLOCK ) * ( else B_BLOCK ) ?",
+    "PLAIN": "MACRO | EPATH | num | str | P_ARGS | K_LIST",
+    "EPATH": "( lt TYPE ( as TYPE ) ? gt scope | scope ) ? ID ( scope ( ID | TARGS ) ) *",
+    "PRIM": "BLOCKS | MACRO | EPATH B_LIT | PLAIN",
+    "POST": "dot ( n | num | await ) ( scope TARGS ) ? | P_ARGS | K_LIST | quest | as TYPE",
+    "PRE": "plus | not | star | amp mut ? | bin mut ? | CLOSURE | return | break life ? | range",
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) *",
     "BARE": "( PRE ) * ( PLAIN ) ( POST ) *",
     "OP": "bin | plus | star | lt | gt | gt gt | amp | pipe | assign | set | range",
-    "EXPR": "UNARY ( ( OP ) UNARY ) * range ?",
+    "EXPR": "UNARY ( ( OP ) UNARY ) * range ? | range | ( return | break | continue ) life ? | CLOSURE ( return | break | continue )",
     "COND": "BARE ( ( OP ) BARE ) *",
-    "ATTR": "hash not ? K_ATTR",
+    "ATTR": "hash not ? K_TREE",
     "PUB": "pub P_VIS ?",
     "FN": "( const | async | unsafe | extern str ? ) * fn n GEN ? P_PARAMS ( thin TYPE ) ? WHERE ? ( B_BLOCK | semi )",
-    "WHERE": "where TYPE colon TYPE ( comma TYPE colon TYPE ) * comma ?",
+    "WHERE": "where ( TYPE colon ( TYPE ) ? ( comma TYPE colon ( TYPE ) ? ) * comma ? ) ?",
     "USE": "use PATH ( as n ) ? ( scope ( B_USE | star ) ) ? semi",
-    "ITEM": "ATTR | PUB ? ( USE | FN | struct n GEN ? ( WHERE ? B_FIELDS | P_FIELDS ? semi ) | enum n GEN ? B_ENUM | unsafe ? trait n GEN ? ( colon TYPE ) ? WHERE ? B_ITEMS"
-    " | ( const | static ) mut ? n colon TYPE assign EXPR semi | type n GEN ? ( colon TYPE ) ? assign TYPE semi | mod n ( semi | B_ITEMS ) | extern crate n semi | extern str ? B_ITEMS )"
-    " | unsafe ? impl GEN ? TYPE ( for TYPE ) ? WHERE ? B_ITEMS | n not n ? ( B_BLOCK | B_MACRO | P_ARGS semi )",
-    "STMT": "semi | ITEM | let mut ? PAT ( colon TYPE ) ? ( assign EXPR ( else B_BLOCK ) ? ) ? semi | BLOCKS semi ? | return EXPR ? semi | ( break | continue ) life ? EXPR ? semi | life colon | EXPR ( semi | EOT ) | ( return | break | continue ) EOT",
+    "ITEM": "ATTR | PUB ? ( USE | FN | ( struct | union ) n GEN ? ( WHERE ? B_FIELDS | P_FIELDS ? WHERE ? semi ) | enum n GEN ? WHERE ? B_ENUM | unsafe ? trait n GEN ? ( colon ( TYPE ) ? ) ? WHERE ? B_ITEMS"
+    " | ( const | static ) mut ? n colon TYPE ( assign EXPR ) ? semi | type n GEN ? ( colon TYPE ) ? WHERE ? ( assign TYPE ) ? semi | mod n ( semi | B_ITEMS ) | extern crate n ( as n ) ? semi | unsafe ? extern str ? B_ITEMS )"
+    " | unsafe ? impl GEN ? not ? TYPE ( for TYPE ) ? WHERE ? B_ITEMS | PATH not n ? ( B_TREE semi ? | ( P_TREE | K_TREE ) semi )",
+    "STMT": "semi | ITEM | let PAT ( colon TYPE ) ? ( assign EXPR ( else B_BLOCK ) ? ) ? semi | BLOCKS semi ? | return EXPR ? semi | ( break | continue ) life ? EXPR ? semi | EXPR ( semi | EOT ) | ( return | break | continue ) life ? EOT",
 }
 _RUST_KINDS = {
-    "P_ARGS": "( EXPR ( comma EXPR ) * comma ? | EXPR ( comma ( n assign ) ? EXPR ) * ) ?",
-    "P_PARAMS": "( ( amp life ? mut ? self | mut ? self ( colon TYPE ) ? | ATTR ? PAT colon TYPE ) ( comma PAT colon TYPE ) * comma ? ) ?",
+    "P_ARGS": "( EXPR ( comma EXPR ) * comma ? ) ?",
+    "P_PARAMS": "( ( ATTR ) * ( amp life ? mut ? self | mut ? self ( colon TYPE ) ? | PAT colon TYPE | spread ) ( comma ( ATTR ) * ( PAT colon TYPE | spread ) ) * comma ? ) ?",
     "P_TYPES": "( ( n colon ) ? TYPE ( comma ( n colon ) ? TYPE ) * comma ? ) ?",
-    "P_FIELDS": "( PUB ? TYPE ( comma PUB ? TYPE ) * comma ? ) ?",
-    "P_PATS": "( ( PAT | range ) ( ( comma | pipe ) ( PAT | range ) ) * comma ? ) ?",
+    "P_FIELDS": "( ( ATTR ) * PUB ? TYPE ( comma ( ATTR ) * PUB ? TYPE ) * comma ? ) ?",
+    "P_PATS": "( PAT ( comma PAT ) * comma ? ) ?",
+    "K_PATS": "( PAT ( comma PAT ) * comma ? ) ?",
     "P_VIS": "crate | super | self | in PATH",
     "K_LIST": "( EXPR ( comma EXPR ) * comma ? | EXPR semi EXPR ) ?",
     "K_TYPE": "TYPE ( semi EXPR ) ?",
-    "K_ATTR": "PATH ( P_ARGS | assign EXPR ) ?",
     "B_BLOCK*": "STMT",
-    "B_LIT": "( n ( colon EXPR ) ? ( comma n ( colon EXPR ) ? ) * comma ? ( comma range EXPR ) ? | range EXPR ) ?",
-    "B_PATS": "( n ( colon PAT ) ? ( comma ( n ( colon PAT ) ? | range ) ) * comma ? | range ) ?",
-    "B_MATCH*": "ATTR ? pipe ? PAT ( pipe PAT ) * ( if COND ) ? arrow ( BLOCKS comma ? | EXPR ( comma | EOT ) )",
+    "B_LIT": "( ( n | num ) ( colon EXPR ) ? ( comma ( n | num ) ( colon EXPR ) ? ) * comma ? ( comma range EXPR ) ? | range EXPR ) ?",
+    "B_PATS": "( FPAT ( comma FPAT ) * comma ? ) ?",
+    "B_MATCH*": "( ATTR ) * PAT ( if ( TEST ) ) ? arrow ( BLOCKS comma ? | EXPR ( comma | EOT ) )",
     "B_FIELDS": "( ATTR * PUB ? n colon TYPE ( comma ATTR * PUB ? n colon TYPE ) * comma ? ) ?",
     "B_ENUM": "( ATTR * n ( P_FIELDS | B_FIELDS | assign EXPR ) ? ( comma ATTR * n ( P_FIELDS | B_FIELDS | assign EXPR ) ? ) * comma ? ) ?",
     "B_USE": "( PATH | star ) ( as n | scope ( B_USE | star ) ) ? ( comma PATH ( as n | scope ( B_USE | star ) ) ? ) * comma ?",
     "B_ITEMS*": "ITEM | semi",
-    "B_MACRO*": "n | P_ARGS | arrow | B_BLOCK | semi | comma",
+    "P_TREE*": "{any}",
+    "K_TREE*": "{any}",
+    "B_TREE*": "{any}",
 }
 
 
@@ -410,24 +451,29 @@ def lexer_of(lang: str) -> tuple[Lexer | ShellLexer, re.Pattern[str] | None]:
         return lexer, re.compile(dropped)
     if lang == "java":
         opaque = rf"{_C_COMMENT}|(?P<s>\"\"\".*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\[^\n]+?)')"
-        return _plain(_JAVA_RULES, _JAVA_KINDS, "package NAME semi | import static ? NAME ( dot star ) ? semi | KIND | semi | ANN", _JAVA_WORDS, opaque), None
+        return _plain(_JAVA_RULES, _JAVA_KINDS, "package NAME semi | import static ? NAME ( dot star ) ? semi | KIND | semi | ANN", _JAVA_WORDS, opaque, _C_OPERATORS, members=False), None
     if lang in ("c", "cpp"):
         raw = r"(?P<r>R\"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)\")|" if lang == "cpp" else ""
-        opaque = rf"{_C_COMMENT}|{_DIRECTIVE}|{raw}{_CHAR}"
+        digits = r"(?P<k>\b\d\w*(?:'\w+)+)|" if lang == "cpp" else ""
+        opaque = rf"{_C_COMMENT}|{_DIRECTIVE}|{digits}{raw}{_CHAR}"
         args = (_C_RULES, _C_KINDS, "TOP", _C_WORDS) if lang == "c" else (_CPP_RULES, _CPP_KINDS, "TOP", _CPP_WORDS)
-        return _plain(*args, opaque), None
+        return _plain(*args, opaque, _C_OPERATORS, members=False), None
     if lang == "go":
         opaque = rf"{_C_COMMENT}|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{{1,9}}?)')"
-        lexer = _plain(_GO_RULES, _GO_KINDS, "TOP", _GO_WORDS, opaque, _OPERATORS | {"define": ":="}, newlines=True, bad_number=r"0\d*[89]\d*")
+        lexer = _plain(_GO_RULES, _GO_KINDS, "TOP", _GO_WORDS, opaque, _C_OPERATORS | {"define": ":=", "receive": "<-", "hat": "^ &^", "bin": "/ % == != <= >= && || <<", "set": _C_OPERATORS["set"] + " &^="}, newlines=True, bad_number=r"0\d*[89]\d*", members=False)
         ends = "".join(lexer.grammar.char(w) for w in ("break", "continue", "fallthrough", "return", "inc")) + "n0s)]}"
-        return lexer, re.compile(rf"(?<![{re.escape(ends)}])N+|(?<=N)N+|N+(?=[)\]}}])")
+        return lexer, re.compile(rf"(?<![{re.escape(ends)}])N+|(?<=N)N+")
     if lang == "rs":
         opaque = rf"{_C_COMMENT}|(?P<r>b?r(?P<d>\#{{0,3}})\".*?\"(?P=d))|(?P<s>b?\"(?:[^\"\\]|\\.)*\"|b?'(?:[^'\\\n]|\\[^\n']{{1,10}}|\\')')"
-        operators = _OPERATORS | {"range": ".. ..=", "bin": _OPERATORS["bin"].replace("** ", "").replace("=== !== ", "").replace(" ??", "")}
-        operators = {k: v for k, v in operators.items() if k not in ("inc", "qdot", "spread")} | {"life": "'"}
-        lexer = _plain(_RUST_RULES, _RUST_KINDS, "ITEM | semi | line", _RUST_WORDS, opaque, operators)
+        operators = _C_OPERATORS | {"range": ".. ..="}
+        operators = {k: v for k, v in operators.items() if k not in ("inc", "qdot")} | {"life": "'", "dollar": "$"}
+        # What a macro is given is any sequence of tokens whose brackets nest.
+        names = dict.fromkeys([*operators, *_RUST_WORDS.split(), "n", "num", "str", "P_TREE", "K_TREE", "B_TREE"])
+        kinds = {k: v.replace("{any}", " | ".join(names)) for k, v in _RUST_KINDS.items()}
+        lexer = _plain(_RUST_RULES, kinds, "ITEM | semi | line", _RUST_WORDS, opaque, operators, members=False)
         # A lifetime is a mark and a name.
-        return lexer, re.compile(rf"(?<={re.escape(lexer.grammar.char('life'))})n")
+        words = "".join(map(lexer.grammar.char, _RUST_WORDS.split()))
+        return lexer, re.compile(rf"(?<={re.escape(lexer.grammar.char('life'))})[n{re.escape(words)}]")
     if lang == "py":
         return python_lexer(), None
     if lang == "rb":

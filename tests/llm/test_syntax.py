@@ -3,6 +3,8 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from snippets import INVALID
+from snippets import VALID as SNIPPETS
 
 from graphmill.llm import syntax_check
 from graphmill.llm.languages import lexer_of
@@ -25,31 +27,56 @@ FOREIGN = ["2024-07-18 08:12:11 INFO a took 3 ms\n", "<!DOCTYPE html>\n<head><ti
 @pytest.mark.parametrize("lang", sorted(VALID))
 def test_valid_and_cut_off(lang):
     text = VALID[lang]
-    assert syntax_check.UNREDUCED not in syntax_check.evidence(text, lang)
+    assert syntax_check.parses(text, lang)
     pairs = lexer_of(lang)[0].grammar.pairs()
-    assert set(syntax_check.evidence(text, lang)) <= pairs  # the pairs of what reduces are permitted
+    assert set(syntax_check.token_pairs(syntax_check.tokens_of(text, lang))) <= pairs  # the pairs of what reduces are permitted
     cut = text[: text.rstrip().rfind("\n", 0, len(text) * 3 // 4)] + "\n  (\n"
-    assert syntax_check.UNREDUCED in syntax_check.evidence(cut, lang)
-    assert syntax_check.UNREDUCED in syntax_check.evidence(text + "\n<<<<<<< HEAD\nx\n=======\ny\n>>>>>>> b\n", lang)
+    assert not syntax_check.parses(cut, lang)
+    assert not syntax_check.parses(text + "\n<<<<<<< HEAD\nx\n=======\ny\n>>>>>>> b\n", lang)
 
 
 @pytest.mark.parametrize("lang", sorted(set(VALID) - {"sh", "py", "rb"}))
 @pytest.mark.parametrize("text", FOREIGN)
 def test_foreign_texts(lang, text):
-    assert syntax_check.UNREDUCED in syntax_check.evidence(text, lang)
+    assert not syntax_check.parses(text, lang)
+
+
+@pytest.mark.parametrize("lang", sorted(SNIPPETS))
+def test_snippets(lang):
+    """Not three in a hundred of the snippets may be judged wrongly; the pairs of valid ones must be permitted."""
+    pairs = lexer_of(lang)[0].grammar.pairs()
+    wrong = [t for t in SNIPPETS[lang] if not syntax_check.parses(t, lang)] + [t for t in INVALID[lang] if syntax_check.parses(t, lang)]
+    if lang != "py":
+        wrong += [t for t in SNIPPETS[lang] if not set(syntax_check.token_pairs(syntax_check.tokens_of(t, lang))) <= pairs]
+    assert len(SNIPPETS[lang]) >= 15 and len(INVALID[lang]) >= 10 and len(wrong) * 100 < 3 * (len(SNIPPETS[lang]) + len(INVALID[lang])), wrong
+
+
+def test_generics_nest_to_any_depth():
+    deep = "A" + "<A" * 40 + ">" * 40
+    assert syntax_check.parses(f"let x: {deep};\n", "ts") and syntax_check.parses(f"class K {{ {deep} x; }}\n", "java")
+    assert syntax_check.parses(f"{deep} x;\n", "cpp") and syntax_check.parses(f"type X = {deep};\n", "rs")
+    assert not syntax_check.parses(f"let x: {deep}>;\n", "ts") and not syntax_check.parses(f"class K {{ {deep[:-1]} x; }}\n", "java")
+
+
+def test_what_decides(spark):
+    """A pair alone, and a production whose pairs are all permitted."""
+    rows = [(1, "java", "class A { int x = ; }\n"), (2, "java", "class A { void f() { for (int i = 0; i < 5) { } } }\n"), (3, "java", "class A { }\n"), (4, "py", "f(a=1, 2)\n")]
+    got = {r["request_id"]: (r["by"], r["n_pairs"] > 0) for r in syntax_check.unparsable(spark.createDataFrame(rows, "request_id bigint, lang string, code string")).collect()}
+    assert got == {1: ("pairs", True), 2: ("reduction", False), 4: ("reduction", False)}
 
 
 def test_languages_differ():
-    assert syntax_check.UNREDUCED in syntax_check.evidence(VALID["ts"], "js")
-    assert syntax_check.UNREDUCED in syntax_check.evidence(VALID["cpp"], "c")
-    assert syntax_check.UNREDUCED in syntax_check.evidence("print 'x'\n", "py")
-    assert syntax_check.UNREDUCED not in syntax_check.evidence("s = '''\n<<<<<<< HEAD\n'''\n", "py")
+    assert not syntax_check.parses(VALID["ts"], "js")
+    assert not syntax_check.parses(VALID["cpp"], "c")
+    assert not syntax_check.parses("print 'x'\n", "py")
+    assert syntax_check.parses("s = '''\n<<<<<<< HEAD\n'''\n", "py")
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=200), st.sampled_from(sorted(VALID)))
 def test_any_text_is_judged(text, lang):
-    assert isinstance(syntax_check.evidence(text, lang), list)
+    assert isinstance(syntax_check.parses(text, lang), bool)
+    assert syntax_check.token_pairs(syntax_check.tokens_of(text, lang))
 
 
 def test_operator_cases(spark):
