@@ -1,7 +1,8 @@
 """Bounded call flows from one node, backwards to callers or forwards to callees.
 
-A flow emits at most ``max_nodes`` nodes, so the driver may hold them; their edges stay a table. Levels are expanded in an
-order that does not depend on partitions: by the parent's rank, the neighbour's id, the component member's id.
+A flow emits at most ``max_nodes`` nodes, and no more ids than these come to the driver; their edges stay a table. Levels are
+expanded in an order that does not depend on partitions: by the parent's rank, the neighbour's id, the component member's
+id. Ids that no row of the nodes has are ends of edges only.
 """
 
 from __future__ import annotations
@@ -32,6 +33,14 @@ class UnknownNode(KeyError):
     """The node that a flow starts from is not in the graph."""
 
 
+def _facts(taken: DataFrame, calls: DataFrame, multi: DataFrame) -> dict[str, tuple[int, str | None]]:
+    """Of each node of a level: how many callees it has, and its component if that is large."""
+    large = multi.filter(F.col("scc_size") > LARGE_COMPONENT).select(F.col("node_id").alias("here"), "scc_id")
+    counts = calls.join(F.broadcast(taken), calls["caller"] == taken["here"]).groupBy("here").agg(F.count_distinct("callee").alias("n"))
+    rows = taken.join(counts, "here", "left").join(large, "here", "left").select("here", F.coalesce("n", F.lit(0)).alias("n"), "scc_id").collect()
+    return {r["here"]: (r["n"], r["scc_id"]) for r in rows}
+
+
 def _flow(nodes: DataFrame, calls: DataFrame, scc: DataFrame, start: str, max_depth: int, max_nodes: int, forward: bool) -> Flow:
     spark = nodes.sparkSession
     here, there = ("caller", "callee") if forward else ("callee", "caller")
@@ -39,68 +48,46 @@ def _flow(nodes: DataFrame, calls: DataFrame, scc: DataFrame, start: str, max_de
     if not ids.filter(F.col("id") == start).limit(1).count():
         raise UnknownNode(start)
     multi = scc.filter("scc_size > 1")
+    members = multi.select("scc_id", F.col("node_id").alias("next"))
     emitted: list[tuple[str, int, int, int, bool]] = []
-    recorded: list[str] = []
-    visited = {start}
-    level: list[tuple[str, bool]] = [(start, True)]
-    depth = 0
-    cut = False
+    recorded: list[tuple[str]] = []
+    level, depth = [start][: max(max_nodes, 0)], 0
+    cut = max_nodes <= 0
     while level:
-        taken: list[str] = []
-        for node, known in level:
-            if len(emitted) >= max_nodes:
-                cut = True
-                break
-            taken.append(node)
-            if known:
-                emitted.append((node, depth, len(emitted), 0, False))
-        if not taken:
-            break
-        total: dict[str, int] = {}
-        large: dict[str, str] = {}
+        facts: dict[str, tuple[int, str | None]] = {}
         if forward:
-            counts = calls.filter(F.col("caller").isin(taken)).groupBy("caller").agg(F.count_distinct("callee").alias("n"))
-            total = {r["caller"]: r["n"] for r in counts.collect()}
-            sizes = scc.filter(F.col("node_id").isin(taken) & (F.col("scc_size") > LARGE_COMPONENT)).select("node_id", "scc_id")
-            large = {r["node_id"]: r["scc_id"] for r in sizes.collect()}
-            stopped = {n for n in taken if n != start and total.get(n, 0) > FAN_OUT}
-            emitted = [(n, d, r, total.get(n, 0), n in stopped) if n in taken else (n, d, r, t, s) for n, d, r, t, s in emitted]
-        else:
-            stopped = set()
-        expanding = [n for n in taken if n not in stopped]
-        recorded += expanding
-        if not expanding or cut:
-            break
-        ranks = spark.createDataFrame([(n, k, large.get(n)) for k, n in enumerate(expanding)], "here string, rank int, stay string")
-        near = calls.select(F.col(here).alias("here"), F.col(there).alias("there")).join(F.broadcast(ranks), "here").distinct()
-        placed = near.join(multi.select(F.col("node_id").alias("there"), "scc_id"), "there", "left")
-        if forward:
-            # In a large component the flow stays; elsewhere the depth limits it.
-            inside = F.col("stay").isNotNull()
-            step = placed.filter((inside & (F.col("stay") == F.col("scc_id"))) | ~inside).filter(F.lit(depth < max_depth))
-            reach = step.select("rank", "there", F.col("there").alias("next"))
-        else:
-            members = multi.select("scc_id", F.col("node_id").alias("member"))
-            grouped = placed.filter("scc_id IS NOT NULL").join(members, "scc_id").select("rank", "there", F.col("member").alias("next"))
-            single = placed.filter("scc_id IS NULL").filter(F.lit(depth < max_depth)).select("rank", "there", F.col("there").alias("next"))
-            reach = grouped.unionByName(single)
-        firsts = reach.groupBy("next").agg(F.min(F.struct("rank", "there")).alias("at"))
-        known = firsts.join(ids.select(F.col("id").alias("next"), F.lit(True).alias("known")), "next", "left")
+            facts = _facts(spark.createDataFrame([(n,) for n in level], "here string"), calls, multi)
+        expanding: list[tuple[str, int, str | None]] = []
+        for node in level:
+            total, large = facts.get(node, (0, None))
+            stopped = node != start and total > FAN_OUT
+            emitted.append((node, depth, len(emitted), total, stopped))
+            if not stopped:
+                expanding.append((node, len(expanding), large))
+        recorded += [(n,) for n, _, _ in expanding]
         quota = max_nodes - len(emitted)
-        following: list[tuple[str, bool]] = []
-        # Rows come in order and the loop ends when the quota is full: what is held stays within it, unknown nodes aside.
-        for r in known.orderBy("at.rank", "at.there", "next").select("next", F.coalesce("known", F.lit(False)).alias("known")).toLocalIterator():
-            if r["next"] in visited:
-                continue
-            visited.add(r["next"])
-            following.append((r["next"], r["known"]))
-            quota -= r["known"]
-            if quota < 0:
-                break
-        level, depth = following, depth + 1
+        cut = quota <= 0
+        if cut or not expanding:
+            break
+        ranks = spark.createDataFrame(expanding, "here string, rank int, stay string")
+        near = calls.select(F.col(here).alias("here"), F.col(there).alias("there")).join(F.broadcast(ranks), "here")
+        # From a large component only its own members follow.
+        near = near.join(multi.select(F.col("node_id").alias("there"), "scc_id"), "there", "left").filter("stay IS NULL OR stay <=> scc_id")
+        first = F.min(F.struct("rank", "there")).alias("at")
+        # A neighbour on a cycle brings its whole component, whatever the depth: the first call into it decides the place.
+        whole = near.filter("scc_id IS NOT NULL").groupBy("scc_id").agg(first).join(members, "scc_id").select("next", "at")
+        reach = whole
+        if depth < max_depth:
+            reach = whole.unionByName(near.filter("scc_id IS NULL").groupBy(F.col("there").alias("next")).agg(first))
+        visited = spark.createDataFrame([(e[0],) for e in emitted], "next string")
+        fresh = reach.join(ids.withColumnRenamed("id", "next"), "next", "left_semi").join(F.broadcast(visited), "next", "left_anti")
+        following = [r["next"] for r in fresh.orderBy("at.rank", "at.there", "next").limit(quota + 1).collect()]
+        cut = len(following) > quota
+        level, depth = following[:quota], depth + 1
     cut = cut or len(emitted) >= max_nodes
     found = spark.createDataFrame(emitted, "id string, depth int, rank int, total_callees bigint, truncated_calls boolean")
-    edges = calls.filter(F.col(here).isin(recorded)).select("caller", "callee").distinct()
+    ends = spark.createDataFrame(recorded, f"{here} string")
+    edges = calls.join(F.broadcast(ends), here, "left_semi").select("caller", "callee").distinct()
     return Flow(_described(found, nodes, calls, multi, forward), cycle_edges(edges, scc), cut, start)
 
 
@@ -130,8 +117,9 @@ def reverse_flow(nodes: DataFrame, calls: DataFrame, scc: DataFrame, start: str,
 
 
 def forward_flow(nodes: DataFrame, calls: DataFrame, scc: DataFrame, start: str, max_depth: int = 2, max_nodes: int = 25) -> Flow:
-    """Whom ``start`` calls, and whom those call. A node other than ``start`` with more than FAN_OUT callees is emitted
-    without its edges; from a component of more than LARGE_COMPONENT members only its own members follow."""
+    """Whom ``start`` calls, and whom those call. A callee on a cycle brings all its component's members at the next depth,
+    whatever ``max_depth``. A node other than ``start`` with more than FAN_OUT callees is emitted without its edges; from a
+    component of more than LARGE_COMPONENT members only its own members follow. Raises UnknownNode."""
     return _flow(nodes, calls, scc, start, max_depth, max_nodes, forward=True)
 
 

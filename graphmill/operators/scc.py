@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,57 +10,48 @@ from graphmill.session import checkpointed
 
 #: Links up to which the trimmed graph is solved in one task by a linear algorithm; larger graphs are solved by joins.
 LOCAL_LINKS = 200_000
-#: Rounds of trimming before the propagation; it only saves work, so it need not reach the end.
-TRIM_ROUNDS = 12
+#: Rounds of trimming before the propagation, and the share of links that a round must remove for another one: trimming
+#: only saves work, so it need not reach the end.
+TRIM_ROUNDS, TRIM_SHARE = 12, 0.1
 
 
-def tarjan(links: list[tuple[str, str]]) -> list[list[str]]:
-    """The components of more than one node, with an explicit stack instead of recursion."""
+def components_of(links: list[tuple[str, str]]) -> list[list[str]]:
+    """The components of more than one node: what a node reaches against the links, among those that a search along the
+    links left later, are its component (two searches, each with an explicit stack)."""
     after: dict[str, list[str]] = {}
+    before: dict[str, list[str]] = {}
     for a, b in links:
         after.setdefault(a, []).append(b)
-        after.setdefault(b, [])
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    open_: list[str] = []
-    within: set[str] = set()
-    out: list[list[str]] = []
+        before.setdefault(b, []).append(a)
+    left: list[str] = []
+    seen: set[str] = set()
     for start in after:
-        if start in index:
+        todo = [(start, False)]
+        while todo:
+            node, done = todo.pop()
+            if done:
+                left.append(node)
+            elif node not in seen:
+                seen.add(node)
+                todo.append((node, True))
+                todo.extend((other, False) for other in after.get(node, ()) if other not in seen)
+    out = []
+    for start in reversed(left):
+        if start not in seen:
             continue
-        index[start] = low[start] = len(index)
-        open_.append(start)
-        within.add(start)
-        path: list[tuple[str, Iterator[str]]] = [(start, iter(after[start]))]
-        while path:
-            node, rest = path[-1]
-            for other in rest:
-                if other not in index:
-                    index[other] = low[other] = len(index)
-                    open_.append(other)
-                    within.add(other)
-                    path.append((other, iter(after[other])))
-                    break
-                if other in within:
-                    low[node] = min(low[node], index[other])
-            else:
-                path.pop()
-                if path:
-                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
-                if low[node] == index[node]:
-                    component = []
-                    while True:
-                        component.append(open_.pop())
-                        within.discard(component[-1])
-                        if component[-1] == node:
-                            break
-                    if len(component) > 1:
-                        out.append(component)
+        seen.discard(start)
+        component = [start]
+        for node in component:  # grows while it is read
+            fresh = [other for other in before.get(node, ()) if other in seen]
+            seen.difference_update(fresh)
+            component.extend(dict.fromkeys(fresh))
+        if len(component) > 1:
+            out.append(component)
     return out
 
 
 def _local(group: pd.DataFrame) -> pd.DataFrame:
-    rows = [(node, min(c)) for c in tarjan(list(zip(group["caller"], group["callee"], strict=True))) for node in c]
+    rows = [(node, min(c)) for c in components_of(list(zip(group["caller"], group["callee"], strict=True))) for node in c]
     return pd.DataFrame(rows, columns=["node", "root"])
 
 
@@ -72,7 +61,7 @@ def _trimmed(links: DataFrame) -> DataFrame:
     for _ in range(TRIM_ROUNDS):
         kept = links.join(links.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi")
         kept = checkpointed(kept.join(kept.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee"))
-        if (now := kept.count()) == size:
+        if (now := kept.count()) > (1 - TRIM_SHARE) * size:
             break
         links, size = kept, now
     return kept

@@ -9,6 +9,7 @@ from graphmill.api import Graph
 from graphmill.functions import text
 from graphmill.functions.extract import brace_block, docstring_of, end_block, notebook_source, signature_of, symbols_of
 from graphmill.operators import context, export, flow, graph, layout, scc, symbols, view
+from graphmill.session import checkpointed
 from graphmill.sources import repository, working_tree
 from graphmill.streaming import scan
 
@@ -265,3 +266,55 @@ def test_streamed_parsing(spark, tmp_path):
     query = scan.run_stream(scan.stream_nodes(spark, str(landing)), lambda df, n: df.write.mode("append").parquet(out), str(tmp_path / "cp"))
     query.awaitTermination(60)
     assert short(r["id"] for r in spark.read.parquet(out).collect()) == ["a.py", "b.py", "f"]
+
+
+def _walked(calls, ids, parts, start, max_depth, max_nodes, forward):
+    """The rule of the flows, node by node with a queue."""
+    out, seen, queue, edges = [], {start}, [(start, 0)], set()
+    near = {}
+    for a, b in sorted(calls):
+        x, y = (a, b) if forward else (b, a)
+        near.setdefault(x, []).append(y)
+    while queue and len(out) < max_nodes:
+        node, depth = queue.pop(0)
+        out.append((node, depth))
+        others = near.get(node, [])
+        if forward and node != start and len(others) > flow.FAN_OUT:
+            continue
+        mine = parts.get(node, {node})
+        for other in others:
+            edges.add((node, other) if forward else (other, node))
+            theirs = parts.get(other, {other})
+            if other in seen or other not in ids or forward and len(mine) > flow.LARGE_COMPONENT and other not in mine:
+                continue
+            if len(theirs) > 1:
+                fresh = sorted(theirs - seen)
+            else:
+                fresh = [other] if depth < max_depth else []
+            seen.update(fresh)
+            queue += [(n, depth + 1) for n in fresh]
+    return out, edges, len(out) >= max_nodes or bool(queue)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_flows_against_a_queue(spark, seed):
+    rng = random.Random(seed)
+    n = 40
+    names = [f"n{k:02d}" for k in range(n)]
+    calls = {(rng.choice(names), rng.choice(names)) for _ in range(35)}
+    for size in (2, 4, 7):  # cycles, one of them large
+        ring = rng.sample(names, size)
+        calls |= set(zip(ring, ring[1:] + ring[:1], strict=True))
+    calls |= {(names[0], names[k]) for k in range(1, 13)} | {(names[1], "ghost")}
+    calls = {(a, b) for a, b in calls if a != b}
+    parts = {m: set(c) for c in scc.components_of(sorted(calls)) for m in c}
+    rows = [(k, i, i, "function", None, "x") for k, i in enumerate(names)]
+    nodes = spark.createDataFrame(rows, "ordinal bigint, id string, label string, type string, path string, code string")
+    frame = spark.createDataFrame(sorted(calls), "caller string, callee string")
+    found = checkpointed(scc.components(frame))
+    for depth, limit, forward in ((0, 100, True), (2, 100, True), (1, 9, True), (2, 100, False), (1, 7, False)):
+        for start in rng.sample(names, 2):
+            got = (flow.forward_flow if forward else flow.reverse_flow)(nodes, frame, found, start, depth, limit)
+            want, edges, cut = _walked(calls, set(names), parts, start, depth, limit, forward)
+            assert [(r["id"], r["depth"]) for r in got.nodes.orderBy("rank").collect()] == want
+            assert {(r["caller"], r["callee"]) for r in got.edges.collect()} == edges and got.truncated == cut
