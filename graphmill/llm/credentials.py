@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import math
 import re
 from collections import Counter
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.tables import CONFIGURATION
+from graphmill.llm.configuration import PARSERS
 
 MASK = "REDACTED"
 
@@ -72,17 +73,20 @@ _SHAPE, _SHAPE_ANY = re.compile(_SHAPE_TEXT), re.compile(_SHAPE_TEXT, re.I)
 _STEM = re.compile(re.sub(r"[$^]", "", f"{PASSWORDS}|{SECRETS}"))
 #: Characters of the shortest value with a shape: a URL with a password.
 LEAST_SHAPE = 7
-_LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
+_LITERAL = re.compile(r"\"\"\"((?:[^\"\\]|\\.|\"(?!\"\"))*)\"\"\"|'''((?:[^'\\]|\\.|'(?!''))*)'''|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`", re.S)
 _JOIN = re.compile(r"\s*(?:\+|\.\.|\.|\\)?\s*(?:\\?\r?\n\s*(?:\+|\.\.|\.)?\s*)?")
 _NAME_BEFORE = re.compile(
     r"([A-Za-z_$][\w$.-]*)[\"'`\]]*\s*(?:(?::(?!:)\s*&?[\w:.<>\[\]*' ]+?)?\s*(?::=|=>|=)|:)\s*(?:\(\s*)?(?:[urbfURBF]{1,2}|String\.raw|new\s+\w+\(\s*)?$"
 )
-_CALL_BEFORE = re.compile(r"([A-Za-z_]\w*)\(\s*$")
-_COMMA_BEFORE = re.compile(r",\s*$")
+_SETTER = re.compile(r"(?i)(?:set|with|use|assign|update|change|reset)_?[a-z]")
+_APART = re.compile(r"[;{},)]")
+#: Words between a literal and the name before it, operators and types included.
+WORDS_BEFORE = 64
 _BARE = re.compile(
     r"(?<![\w.-])(?=([A-Za-z_][\w.-]*)\s*(?::=|=>|=|:|\s(?:was|is)\s|\s)\s*([A-Za-z0-9+/_=!@#%^&*~.?-]{6,})(?=$|[\s\"'`,;)]))"
 )
-_ENTRY = re.compile(r"[ \t]*(?:export[ \t]+|-[ \t]+)?[\"']?([\w.-]+)[\"']?[ \t]*[:=][ \t]*")
+#: Users and passwords among a command's arguments.
+_USER_ARGUMENT = re.compile(r"(?<![\w-])(?:-u|--user|--proxy-user)(?:[ \t]+|=)[\"']?[\w.@+-]+:([^\s\"']+)")
 _COMMENT = re.compile(r"(?:^|\s)(?:#|//|--|;|\*|/\*)")
 
 
@@ -108,7 +112,7 @@ def placeholder(value: str) -> bool:
 
 
 def _password_like(value: str) -> bool:
-    if not 6 <= len(value) <= 128 or placeholder(value) or re.search(r"\s|^/|://|^[\w.-]+\(", value):
+    if len(value) < 6 or placeholder(value) or re.search(r"\s|^/|://|^[\w.-]+\(", value):
         return False
     kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9_]"))
     return kinds >= 2 or bool(re.search(r"\d", value)) and len(value) >= 8
@@ -116,7 +120,7 @@ def _password_like(value: str) -> bool:
 
 def _opaque(value: str, least: int = 16) -> bool:
     """Whether a value has the form of a random key: long, letters and digits mixed, hardly repeated."""
-    if not least <= len(value) <= 512 or placeholder(value) or not re.fullmatch(r"[A-Za-z0-9+/_=.~!@#%^&*-]+", value):
+    if len(value) < least or placeholder(value) or not re.fullmatch(r"[A-Za-z0-9+/_=.~!@#%^&*-]+", value):
         return False
     digits = sum(c.isdigit() for c in value)
     if not digits or digits == len(value) or re.match(r"(?:sha\d+-|data:|/|\d[\d.-]*$)", value):
@@ -180,12 +184,43 @@ def _joined(text: str) -> Iterator[list[tuple[int, int, str]]]:
         yield parts
 
 
+def _named(text: str, end: int) -> str:
+    """The name that the literal beginning at ``end`` is assigned to, looked for as far back as one can stand."""
+    width = 160
+    while True:
+        start = max(0, end - width)
+        m = _NAME_BEFORE.search(text, start, end)
+        # A longer look helps where the name goes on before the window, or white space fills it.
+        if start == 0 or (m.start() > start + 1 if m else _APART.search(text, start, end) or len(text[start:end].split()) > WORDS_BEFORE):
+            return m[1] if m else ""
+        width *= 4
+
+
+def _called(text: str, end: int) -> str:
+    """The name of the function whose first argument begins at ``end``."""
+    while end and text[end - 1].isspace():
+        end -= 1
+    if not end or text[end - 1] != "(":
+        return ""
+    start = end = end - 1
+    while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+        start -= 1
+    return text[start:end]
+
+
 def _in_literals(text: str, add) -> None:
     previous: tuple[int, int, str] | None = None
     for parts in _joined(text):
         value = "".join(p[2] for p in parts)
+        if len(parts) == 1 and value[:1].isspace() | value[-1:].isspace():
+            value = value.strip()
+            lead = parts[0][0] + len(parts[0][2]) - len(parts[0][2].lstrip())
+            begin = parts[0][0] - (3 if text[parts[0][0] - 3 : parts[0][0]] in ('"""', "'''") else 1)
+            parts = [(lead, lead + len(value), value)]
+        else:
+            begin = parts[0][0] - (3 if text[parts[0][0] - 3 : parts[0][0]] in ('"""', "'''") else 1)
         first = parts[0][0]
-        last, previous = previous, (first, parts[-1][1], value)
+        last, previous = previous, (begin + 1, parts[-1][1], value)
         found = shaped(value) if len(value) >= LEAST_SHAPE else []
         # The names cost more than the value: they are looked up for values that can be a secret.
         if not found and not (_password_like(value) or _opaque(value)):
@@ -198,60 +233,42 @@ def _in_literals(text: str, add) -> None:
         def place(s: int, e: int, spans=spans) -> list[tuple[int, int]]:
             return [(max(a, a + s - o), min(b, a + e - o)) for o, a, b in spans if o < e and o + b - a > s]
 
-        before = text[max(0, first - 160) : first - 1]
-        name = m[1] if (m := _NAME_BEFORE.search(before)) else ""
+        name = _named(text, begin)
         for s, e, kind in found:
             add(first, place(s, e), name, kind)
         if found:
             continue
-        opened = text[max(0, last[0] - 80) : last[0] - 1] if last else ""
+        if not name and _SETTER.match(own := _called(text, begin)):
+            name = own
+        opened = _called(text, last[0] - 1) if last else ""
         # A pair of arguments may stand on several lines; in lists and the like it stands on one.
-        pair = last and _COMMA_BEFORE.search(before) and (
-            "\n" not in text[last[1] : first] or _CALL_BEFORE.search(opened) and not text[last[1] + 1 : first - 1].strip(" \t\r\n,")
+        pair = last and re.search(r",\s*$", text[last[1] : begin]) and (
+            "\n" not in text[last[1] : begin] or opened and not text[last[1] + 1 : begin].strip(" \t\r\n,\"'`")
         )
         if (name and (kind := named_credential(name, value))) or (pair and (kind := named_credential(last[2], value))):
             add(first, place(0, len(value)), name or last[2], kind)
         elif pair:
-            call = _CALL_BEFORE.search(opened)
-            if call and re.match(r"(?i)(connect|log_?in|auth|sign_?in)", call[1]) and re.fullmatch(r"[A-Za-z][\w.@-]{1,31}", last[2]) \
+            if re.match(r"(?i)(connect|log_?in|auth|sign_?in)", opened) and re.fullmatch(r"[A-Za-z][\w.@-]{1,31}", last[2]) \
                     and len(value) >= 8 and _password_like(value) and not _HARMLESS.search(_plain(last[2])):
                 add(first, place(0, len(value)), last[2], "password")
 
 
-def _in_configuration(text: str, start: int, end: int, path: str, add) -> None:
-    m = _ENTRY.match(text, start, end)
-    if not m:
-        return
-    raw = text[m.end() : end].rstrip("\r\n \t").rstrip(",")
-    quoted = re.match(r"([\"'])(.*)\1\s*(?:[#;].*)?$", raw)
-    value, at = (quoted[2], m.end() + 1) if quoted else (re.split(r"\s[#;]", raw)[0].rstrip(), m.end())
-    found = shaped(value)
-    for s, e, kind in found:
-        add(at, [(at + s, at + e)], path or m[1], kind)
-    if not found and (kind := named_credential(m[1], value)):
-        add(at, [(at, at + len(value))], path or m[1], kind)
-
-
-def key_paths(text: str, ext: str) -> Iterator[tuple[int, str]]:
-    """``(offset of a line, path of the key that it sets)`` of a configuration text: sections and nesting joined by dots."""
-    stack: list[tuple[int, str]] = []
-    at = 0
-    for line in text.split("\n"):
-        bare = line.strip()
-        if ext in ("ini", "toml") and bare.startswith("["):
-            stack = [(-1, bare.strip("[] \t\r"))]
-        elif ext == "json" and bare.startswith("}"):
-            stack = stack[:-1]
-        elif (m := _ENTRY.match(line)) and bare[:1] not in ("#", ";"):
-            indent = len(line) - len(line.lstrip())
-            if ext in ("yaml", "yml", "json"):
-                while stack and stack[-1][0] >= indent:
-                    stack.pop()
-            yield at, ".".join([*(k for _, k in stack), m[1]])
-            rest = line[m.end() :].strip()
-            if ext in ("yaml", "yml") and not rest or ext == "json" and rest == "{":
-                stack.append((indent, m[1]))
-        at += len(line) + 1
+def _in_configuration(text: str, ext: str, add) -> None:
+    """The values of a configuration text, by their key paths."""
+    for entry in PARSERS[ext](text):
+        value = entry.value(text)
+        found = shaped(value) if len(value) >= LEAST_SHAPE else []
+        bare = value.strip()
+        if not found and (kind := named_credential(entry.name, bare)):
+            found = [(value.find(bare), value.find(bare) + len(bare), kind)]
+        for s, e, kind in found:
+            places, at = [], 0
+            for a, b in entry.spans:
+                if at < e and at + b - a > s:
+                    places.append((max(a, a + s - at), min(b, a + e - at)))
+                at += b - a + len(entry.glue)
+            if places:
+                add(places[0][0], places, entry.path, kind)
 
 
 def _commented(text: str, start: int, end: int) -> bool:
@@ -261,13 +278,14 @@ def _commented(text: str, start: int, end: int) -> bool:
 
 def find(text: str, ext: str) -> list[Finding]:
     """The credentials of a text, whose format ``ext`` (an extension in lower case) names, by place."""
-    config = ext in CONFIGURATION
-    spans: dict[tuple[int, int], tuple[int, str, str]] = {}
+    config = ext in PARSERS
+    spans: list[tuple[int, int, int, str, str]] = []  # by place, none within another
 
     def add(first: int, places: list[tuple[int, int]], path: str, kind: str) -> None:
         for a, b in places:
-            if b > a and not any(x < b and a < y for x, y in spans):
-                spans[a, b] = (first, path, kind)
+            k = bisect.bisect_left(spans, (a,))
+            if b > a and (k == 0 or spans[k - 1][1] <= a) and (k == len(spans) or b <= spans[k][0]):
+                spans.insert(k, (a, b, first, path, kind))
 
     def line_end(at: int) -> int:
         end = text.find("\n", at)
@@ -277,8 +295,7 @@ def find(text: str, ext: str) -> list[Finding]:
         stop = _PRIVATE_END.search(text, p.end())
         add(p.start(), [(p.end(), stop.start() if stop else line_end(p.end()))], "", "private_key")
     if config:
-        for start, path in key_paths(text, ext):
-            _in_configuration(text, start, line_end(start), path, add)
+        _in_configuration(text, ext, add)
     _in_literals(text, add)
     # What stands outside literals: comments, shell words, headers in commands.
     lower = text.lower()
@@ -302,9 +319,11 @@ def find(text: str, ext: str) -> list[Finding]:
                     if kind := named_credential(b[1], b[2]):
                         add(start + b.start(2), [(start + b.start(2), start + b.end(2))], b[1], kind)
             start += len(line) + 1
-    return [
-        Finding(text.count("\n", 0, first) + 1, a, b, path, kind) for (a, b), (first, path, kind) in sorted(spans.items())
-    ]
+    for m in _USER_ARGUMENT.finditer(text):
+        if not config and not placeholder(m[1]) and _password_like(m[1]):
+            add(m.start(1), [m.span(1)], "", "user_argument")
+    lines = [0, *(m.end() for m in re.finditer("\n", text))] if spans else []
+    return [Finding(bisect.bisect_right(lines, first), a, b, path, kind) for a, b, first, path, kind in spans]
 
 
 def redact(text: str, findings: list[Finding]) -> str:

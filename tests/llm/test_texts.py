@@ -284,3 +284,48 @@ def test_perplexity_alone_decides_spam(spark, monkeypatch):
 def test_very_long_tokens_count_whole():
     rows = spam_pages._pages(["x" * 100_000 + " y", "", "a\nb"], spam_pages._Classes())
     assert np.frombuffer(rows[0][2], np.int64).sum() == 100_001 and rows[1][0] == b"" and len(rows[2][5]) == 2
+
+
+SECRET = "q8Zr2Lk5Xw9Tn4Vb7Yc3"
+PROBES = [  # extension, text, lines, key paths
+    ("yaml", f"db:\n  password: |\n    {SECRET}\n  x: 1\n", [3], ["db.password"]), ("yaml", f"api_key: >-\n  {SECRET}\n", [2], ["api_key"]),
+    ("yml", f"db: {{user: svc, password: {SECRET}, port: 1}}\n", [1], ["db.password"]), ("yaml", f"a:\n- name: x\n  api_token: '{SECRET}' # c\n", [3], ["a[0].api_token"]),
+    ("yaml", f"a:\n  secret_key:\n    {SECRET}\n", [3], ["a.secret_key"]), ("json", f'{{"db":{{"password":"{SECRET}"}},"l":[{{"api_key":"{SECRET}"}}]}}', [1], ["db.password", "l[0].api_key"]),
+    ("properties", f"db.password = {SECRET[:9]}\\\n    {SECRET[9:]}\n", [1], ["db.password", "db.password"]), ("properties", f"db.password {SECRET}\n", [1], ["db.password"]),
+    ("toml", f'[db]\npassword = """\n{SECRET}"""\n', [3], ["db.password"]), ("toml", f"a = {{ password = '{SECRET}' }}\n", [1], ["a.password"]),
+    ("ini", f"[s]\napi_key : {SECRET} ; c\n", [2], ["s.api_key"]), ("env", f"export API_KEY='{SECRET}'\nX=1\n", [1], ["API_KEY"]),
+    ("py", f'password = """\n{SECRET}\n"""\n', [2], ["password"]), ("java", f'ds.setPassword("{SECRET}");\n', [1], ["setPassword"]),
+    ("sh", f"curl -u svc:{SECRET} https://x.example/\n", [1], [""]), ("py", f'password = "{"aB3" * 100}"\n', [1], ["password"]),
+    ("py", f'token = "{SECRET * 40}"\n', [1], ["token"]), ("js", f'const password ={" " * 400}"{SECRET}";\n', [1], ["password"]),
+    ("py", 'getPassword("db_password_1")\n', [], []), ("yaml", "password: |\n  ${VAULT}\nurl: x\n", [], []),
+]
+
+
+@pytest.mark.parametrize(("ext", "code", "lines", "paths"), PROBES)
+def test_credentials_in_every_notation(ext, code, lines, paths):
+    found = credentials.find(code, ext)
+    assert sorted({f.line_no for f in found}) == lines and [f.path for f in found] == paths
+    clean = credentials.redact(code, found)
+    kept = "".join(code[a:b] for a, b in zip([0, *(f.end for f in found)], [*(f.start for f in found), len(code)], strict=True))
+    assert clean.replace(credentials.MASK, "") == kept and clean.count("\n") == code.count("\n") and not credentials.find(clean, ext)
+
+
+def test_many_credentials_take_linear_time():
+    import time
+
+    took = []
+    for n in (1000, 8000):
+        code = "".join(f'password_{k} = "{SECRET}{k}"\n' for k in range(n))
+        began = time.process_time()
+        assert len(credentials.find(code, "py")) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0] + 0.2
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab:=-#|>{}[]\"'\\\n \t,/!&*", max_size=120), st.sampled_from(["yaml", "json", "toml", "ini", "properties", "env"]))
+def test_any_configuration_is_read(text, ext):
+    from graphmill.llm.configuration import PARSERS
+
+    for entry in PARSERS[ext](text):
+        assert all(0 <= a <= b <= len(text) for a, b in entry.spans) and isinstance(entry.value(text), str)
