@@ -19,7 +19,7 @@ def p1_rates(spark, sf_dir):
 
 
 def p2_found(spark, sf_dir):
-    pieces = split.split_oversized(requests(spark, sf_dir), table(spark, sf_dir, "split_limits"), texts=False)
+    pieces = split.split_oversized(requests(spark, sf_dir), table(spark, sf_dir, "split_limits"))
     return pieces.filter("piece_no = 2").select("request_id").distinct()
 
 
@@ -59,6 +59,11 @@ def p7_ids(spark, sf_dir):
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
 
+def p7_joined(spark, sf_dir):
+    """As p7_ids, with so few words in the broadcast that the others are joined, as in a large corpus."""
+    return tokenizer.encode(table(spark, sf_dir, "documents"), frequent=2048)
+
+
 def p8_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -81,7 +86,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_labels": p3_labels,
     "p5_found": p5_found, "p5_findings": p5_findings, "p5_redacted": p5_redacted,
     "p6_found": p6_found, "p6_pairs": p6_pairs,
-    "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p7_ids": p7_ids, "p7_joined": p7_joined, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_scores": p9_scores,
 }
 

@@ -21,8 +21,8 @@ _INNER = re.compile(r"[;{},](?=\S)|\s(?=\S)")
 def boundaries(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Places where ``text`` may be cut, ascending and without its ends, and what a cut there costs.
 
-    All line ends; within lines longer than half a ``step`` also separators and white space, at most 64 a step, and so
-    many other places that no two neighbours are further than a quarter of a step apart.
+    All line ends; within lines longer than half a ``step`` also all separators and white space, and so many other places
+    that no two neighbours are further than a quarter of a step apart.
     """
     lines = text.split("\n")
     ends = np.cumsum(np.fromiter((len(line) + 1 for line in lines), np.int64, len(lines)))
@@ -42,13 +42,7 @@ def boundaries(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
         for end in ends.tolist():
             end = min(end, len(text))
             if end - start > max(1, step // 2):
-                thin: dict[int, tuple[float, int]] = {}
-                cell = max(1, step // 64)
-                for m in _INNER.finditer(text, start, end):
-                    cost = SPACE if m.group().isspace() else SEPARATOR
-                    if (old := thin.get(m.end() // cell)) is None or cost < old[0]:
-                        thin[m.end() // cell] = (cost, m.end())
-                extra |= {place: cost for cost, place in thin.values()}
+                extra |= {m.end(): SPACE if m.group().isspace() else SEPARATOR for m in _INNER.finditer(text, start, end)}
                 for place in range(start + max(1, step // 4), end, max(1, step // 4)):
                     # Not within a letter and its combining marks or a CRLF, where that is near.
                     shifted = place
@@ -69,15 +63,16 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """``(start, end)`` of the pieces of ``text``: each within ``limit`` code points, each starting ``overlap`` before the
     end of the one before. Minimises the costs of the cuts, the number of pieces and their imbalance.
 
-    A text within the limit is one piece; an empty text has none. An overlap that leaves no room is cut down to half the
-    limit.
+    A text within the limit is one piece; an empty text has none. Raises ValueError for an overlap that leaves no room: it
+    may be limit - 1 at most.
     """
     n = len(text)
     if limit < 1:
         raise ValueError("limit must be at least 1")
+    if not 0 <= overlap < limit:
+        raise ValueError("overlap must be at least 0 and below the limit")
     if n <= limit:
         return [(0, n)] if n else []
-    overlap = min(max(overlap, 0), limit // 2)
     step = limit - overlap
     ideal = (n - overlap) / -(-(n - overlap) // step)
     places, costs = boundaries(text, step)
@@ -120,13 +115,14 @@ def split_oversized(items: DataFrame, limits: DataFrame, id_column: str = "reque
 
     ``items`` has ``id_column``, ``kind`` and ``code``; ``limits`` has ``node_type`` (trimmed, lower case), ``max_chars``
     and ``overlap_chars``, a table of settings. Items that are null, within the limit or of a kind without a limit have no
-    rows. ``start`` and ``end`` count code points from 0. An item that stands twice comes out once if its content is the
+    rows. An overlap of the limit or more is the largest possible, limit - 1; a negative or null one is 0. ``start`` and
+    ``end`` count code points from 0. An item that stands twice comes out once if its content is the
     same. Without ``texts`` the column ``text`` is null. Other columns are ignored.
     """
     limits = limits.select(
         F.lower(F.trim("node_type")).alias("kind"),
         F.col("max_chars").alias("_limit"),
-        F.coalesce(F.col("overlap_chars"), F.lit(0)).alias("_overlap"),
+        F.greatest(F.lit(0), F.least(F.coalesce(F.col("overlap_chars"), F.lit(0)), F.col("max_chars") - 1)).alias("_overlap"),
     ).filter(F.col("_limit") >= 1)
     slim = items.select(F.col(id_column), "kind", "code")
     # The length in bytes is at least the length in code points, and is cheaper to test.

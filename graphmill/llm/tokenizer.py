@@ -158,11 +158,12 @@ def _heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p is not None]
 
 
-def _long_words(path: str):
+def _long_words(ranks):
+    """Encodes words by a broadcast rank map: workers need no vocabulary file."""
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks = read_ranks(path)
         for batch in batches:
-            yield batch.assign(ids=[_heap_merges(w.encode(), ranks) for w in batch["word"]])
+            yield batch.assign(ids=[_heap_merges(w.encode(), ranks.value) for w in batch["word"]])
 
     return encode
 
@@ -172,7 +173,8 @@ def encode_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     short = words.filter(F.octet_length("word") <= FOLD_BYTES).select(
         "word", "n", fold_merges(F.col("word"), _map(_literals(path))).alias("ids")
     )
-    long = words.filter(F.octet_length("word") > FOLD_BYTES).mapInPandas(_long_words(path), "word string, n bigint, ids array<int>")
+    ranks = words.sparkSession.sparkContext.broadcast(read_ranks(path))
+    long = words.filter(F.octet_length("word") > FOLD_BYTES).mapInPandas(_long_words(ranks), "word string, n bigint, ids array<int>")
     return short.unionByName(long)
 
 

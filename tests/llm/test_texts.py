@@ -19,8 +19,11 @@ LIMITS = [("file", 60, 10), ("function", 20, 0)]
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab;{} \n\r\té", max_size=400), st.integers(1, 60), st.integers(0, 80))
 def test_pieces_cover_within_limits(text, limit, overlap):
+    if overlap >= limit:
+        with pytest.raises(ValueError, match="overlap"):
+            split.cut(text, limit, overlap)
+        return
     pieces = split.cut(text, limit, overlap)
-    overlap = min(overlap, limit // 2)
     assert not text or (pieces[0][0] == 0 and pieces[-1][1] == len(text))
     assert all(0 < b - a <= limit for a, b in pieces)
     assert all(c == b - overlap and c > a for (a, b), (c, _) in zip(pieces, pieces[1:], strict=False))
@@ -196,10 +199,41 @@ def test_function_operator_and_templates(spark):
     rows = [(1, "py", code), (1, "py", code), (2, "py", f'def f(:\n    """{PROSE}"""\n'), (3, "py", None), (4, "py", ""), (5, None, code)]
     df = spark.createDataFrame(rows, "request_id bigint, lang string, code string")
     assert functions.documented_functions(df).count() == 7
-    assert [r["func_name"] for r in functions.documented_functions(df, 6).collect()] == ["own"]
+    assert [r["func_name"] for r in functions.documented_functions(df, 0.5).collect()] == ["own"]
     assert functions.documented_functions(df.limit(0)).count() == 0
 
 
+BROKEN = [
+    ("py", f'def f(:\n    pass\n\ndef g(a):\n    """{PROSE}"""\n    return a\n\ndef h(b):\n    """{PROSE}"""\n    return (b\n', ["g"]),
+    ("js", f"let x = ;\n// {PROSE}\nfunction f(a) {{ return {{ a }}; }}\n// {PROSE}\nfunction g(a) {{ return [a); }}\n// {PROSE}\nconst h = (x) => x + 1;\n", ["f", "h"]),
+    ("java", f"class A {{\n// {PROSE}\nint f() {{\n<<<<<<< HEAD\n return 1;\n=======\n return 2;\n>>>>>>> b\n}}\n// {PROSE}\nint g() {{ return 3; }}\n", ["g"]),
+    ("sh", f"if true; then\n# {PROSE}\nmy-fn() {{\n  echo a\n}}\n# {PROSE}\nfunction k {{\n  echo\n", ["my-fn"]),
+    ("go", f"package a\n// {PROSE}\nfunc F() int {{ return 1 }}\n// {PROSE}\nfunc G() int {{ return 1\n", ["F"]),
+    ("rb", f"# {PROSE}\ndef a(x)\n  x\nend\nclass B\n", ["a"]),
+]
+
+
+@pytest.mark.parametrize(("lang", "code", "want"), BROKEN)
+def test_intact_functions_of_broken_files(spark, lang, code, want):
+    df = spark.createDataFrame([(1, lang, code)], "request_id bigint, lang string, code string")
+    assert functions.documented_functions(df).count() == 0
+    assert sorted(r["func_name"] for r in functions.documented_functions(df, broken=True).collect()) == want
+
+
+def test_shell_heads_go_through_the_grammar():
+    code = f"# {PROSE}\nf() {{ :; }}\n# {PROSE}\nfunction g\n{{ :; }}\n# {PROSE}\nfunction h() {{ :; }}\n# {PROSE}\nno(x) {{ :; }}\n"
+    assert [n for n, _, _ in functions.documented(code, "sh")] == ["f", "g", "h"]
+
+
+def test_large_overlaps_and_all_boundaries():
+    text = "a;" * 400
+    for limit, overlap in ((40, 30), (40, 39), (2, 1)):
+        pieces = split.cut(text, limit, overlap)
+        assert all(b - a <= limit for a, b in pieces) and all(c == b - overlap for (_, b), (c, _) in zip(pieces, pieces[1:], strict=False))
+    places, _ = split.boundaries(text, 100)
+    assert set(range(2, len(text), 2)) <= set(places.tolist())
+
+
 def test_repeated_descriptions_are_kept_and_marked(spark):
     code = "".join(f'def f{i}():\n    """The same words stand here again."""\n' for i in range(250))
     code += "".join(f'def g{i}():\n    """Returns the state of register number {i}."""\n' for i in range(3))
