@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.operators import context as ctx
-from graphmill.operators import export, flow, graph, scc, symbols, view
+from graphmill.operators import export, flow, graph, scc, symbols, tree, view
 from graphmill.session import checkpointed
 from graphmill.sources import repository, working_tree
 from graphmill.streaming import scan
@@ -64,14 +64,44 @@ class Graph:
         return row["source"] if row else None
 
     def context(self, docs: DataFrame | None = None, status: DataFrame | None = None) -> DataFrame:
+        """``docs`` has ``rel_path`` and ``docs``, as from ``documentation``."""
         return ctx.context(self.nodes, self.calls, docs, status)
 
+    def documentation(self, texts: DataFrame) -> DataFrame:
+        """The documentation near each file; ``texts`` has ``rel_path`` and ``content`` of the documentation files."""
+        paths = self.nodes.filter("type = 'file'").select(F.col("path").alias("rel_path")).distinct()
+        return repository.near_documentation(paths, texts)
+
+    def chat(self) -> DataFrame:
+        """Callers and callees with code for a conversation about each node."""
+        return ctx.chat_context(self.calls, self.nodes)
+
+    def tree(self, query: str = "") -> DataFrame:
+        return tree.search_tree(tree.tree(self.nodes), query)
+
+    def parents(self) -> DataFrame:
+        return tree.parent_files(self.nodes)
+
+    def neighbours(self) -> DataFrame:
+        return ctx.neighbour_names(self.calls, self.nodes)
+
+    def locate(self, found: flow.Flow) -> DataFrame:
+        return flow.locate(found.nodes, self.nodes)
+
+    def trimmed(self, messages: DataFrame, group: str, turn: str) -> DataFrame:
+        """The end of each conversation."""
+        return working_tree.last_turns(messages, group, turn, ctx.HISTORY)
+
+    def clear_cache(self, folder: str) -> int:
+        """Removes the saved scans below ``folder``; how many there were."""
+        return export.Cache(self.spark, folder).clear()
+
     def export(self, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         language = graph.primary_language(self.nodes.withColumn("_g", F.lit(0)), "_g").first()
         meta = export.export_meta(self.spark, self.root, language["language"] if language else None)
         return export.export_nodes(self.nodes, ids), export.export_edges(self.links, ids), meta
 
-    def status(self, porcelain: DataFrame, strict: bool = False) -> DataFrame:
+    def status(self, porcelain: DataFrame, strict: bool = True) -> DataFrame:
         return working_tree.node_status(self.nodes, working_tree.parse_porcelain(porcelain), strict)
 
     def messages(self, cached: bool = False) -> DataFrame:

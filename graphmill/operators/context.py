@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.extract import docstring_udf, signature_udf
 from graphmill.functions.text import extension, path_of_id, short_path
+from graphmill.operators.graph import top_callers
+from graphmill.operators.layout import running_sum
 
 #: Callers and callees with code, lines of a caller, callers and callees in a conversation, characters of their code.
 CALLERS, CALLEES, CALLER_LINES = 5, 5, 50
@@ -72,6 +74,21 @@ def context(nodes: DataFrame, calls: DataFrame, docs: DataFrame | None = None, s
     )
 
 
+def chat_context(calls: DataFrame, nodes: DataFrame, callers: int = CHAT_CALLERS, callees: int = CHAT_CALLEES, snippet: int = SNIPPET) -> DataFrame:
+    """``(node_id, role, other, rank, label, path, body)``: what a conversation about a node is given of its neighbours.
+
+    Its first ``callers`` callers (of the same file first, then by number of callees, then by id) and its first ``callees``
+    callees by id, each with at most ``snippet`` characters of code. Neighbours are chosen first: one without code or without
+    a node has no row, and no other one takes its place.
+    """
+    above = top_callers(calls, nodes, callers).select(F.col("callee").alias("node_id"), F.lit("caller").alias("role"), F.col("caller").alias("other"), "rank")
+    own = nodes.select(F.col("id").alias("caller")).distinct()
+    below = _ranked(calls, "caller", "callee", callees).join(own, "caller", "left_semi")
+    below = below.select(F.col("caller").alias("node_id"), F.lit("callee").alias("role"), F.col("callee").alias("other"), F.col("rank").cast("bigint").alias("rank"))
+    bodies = latest(nodes).filter(F.length("code") > 0).select(F.col("id").alias("other"), "label", "path", F.substring("code", 1, snippet).alias("body"))
+    return above.unionByName(below).join(bodies, "other").select("node_id", "role", "other", "rank", "label", "path", "body")
+
+
 def neighbour_names(calls: DataFrame, nodes: DataFrame, k: int = NAMES) -> DataFrame:
     """``(node, names)``: labels of the first ``k`` callees by id, joined by commas."""
     labels = latest(nodes).select(F.col("id").alias("callee"), "label")
@@ -80,8 +97,13 @@ def neighbour_names(calls: DataFrame, nodes: DataFrame, k: int = NAMES) -> DataF
     return first.groupBy(F.col("caller").alias("node")).agg(names.alias("names"))
 
 
-def running_budget(texts: DataFrame, group: str, order: list[str], text: str, budget: int) -> DataFrame:
-    """``texts`` with ``taken``: characters of each text that fit in its group's budget, in order; rows without room are left out."""
-    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = texts.withColumn("_before", before).filter(F.col("_before") < budget)
-    return rows.withColumn("taken", F.least(F.length(text).cast("bigint"), F.lit(budget) - F.col("_before"))).drop("_before")
+def running_budget(texts: DataFrame, group: str, key: str, text: str, budget: int) -> DataFrame:
+    """``texts`` with ``taken``: characters of each text that fit in its group's budget, in the order of ``key``, which is
+    unique; rows without room, and those of null groups, are left out.
+
+    Only keys and lengths are put in order, a group in as many ranges as the whole: a group of any size is no single task's.
+    """
+    sizes = texts.filter(F.col(group).isNotNull()).select(group, key, F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("_size"))
+    placed = running_sum(sizes, group, key, "_size").filter(F.col("before") < budget)
+    taken = placed.select(key, F.least(F.col("_size"), F.lit(budget) - F.col("before")).alias("taken"))
+    return texts.join(taken, key)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.text import extension, export_language
 from graphmill.operators.heavy_keys import skew_safe_stats
+from graphmill.operators.layout import running_sum
 
 
 def distinct_calls(edges: DataFrame) -> DataFrame:
@@ -25,9 +26,12 @@ def callers_of(calls: DataFrame, least: int = 20) -> DataFrame:
     """``(node, n, neighbours)``: the number of distinct callers and the first ``least`` of them, sorted.
 
     A shared symbol may be called by a third of the corpus, so its callers are kept as rows (``distinct_calls``); the list
-    is a bounded sample of the smallest ids, which partial aggregation keeps small.
+    is a bounded sample of the smallest ids. Each of 64 parts of a hot callee's callers keeps its ``least`` before they meet.
     """
-    ranked = calls.withColumn("_rank", F.row_number().over(Window.partitionBy("callee").orderBy("caller"))).filter(F.col("_rank") <= least)
+    part = F.pmod(F.xxhash64("caller"), F.lit(64))
+    local = F.row_number().over(Window.partitionBy("callee", "_part").orderBy("caller"))
+    ranked = calls.withColumn("_part", part).withColumn("_rank", local).filter(F.col("_rank") <= least)
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("callee").orderBy("caller"))).filter(F.col("_rank") <= least)
     counts = calls.groupBy(F.col("callee").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     lists = ranked.groupBy(F.col("callee").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("caller")), "|").alias("neighbours"))
     return counts.join(lists, "node")
@@ -98,13 +102,14 @@ def drill_down(nodes: DataFrame, links: DataFrame, selected: str | None = None)
 
 
 def siblings(links: DataFrame) -> DataFrame:
-    """``(parent, child, index, siblings)`` of structural links: the place within the parent from 0, and how many there are."""
+    """``(parent, child, index, siblings)`` of structural links: the place within the parent from 0, and how many there are.
+
+    The root may be the parent of all files: places are running sums over ranges, so that no parent is a single task's."""
     structural = links.filter(~F.coalesce(F.col("type") == "call", F.lit(False))).select("source", "target", "ordinal")
     parents = structural.groupBy(F.col("target").alias("child")).agg(F.min_by("source", "ordinal").alias("parent"), F.min("ordinal").alias("ordinal"))
-    order = Window.partitionBy("parent").orderBy("ordinal", "child")
-    return parents.select(
-        "parent", "child", (F.row_number().over(order) - 1).cast("bigint").alias("index"), F.count(F.lit(1)).over(Window.partitionBy("parent")).alias("siblings")
-    )
+    placed = running_sum(parents.select("parent", F.struct("ordinal", "child").alias("_key"), F.lit(1).cast("bigint").alias("_one")), "parent", "_key", "_one")
+    sizes = parents.groupBy("parent").agg(F.count(F.lit(1)).alias("siblings"))
+    return placed.join(sizes, "parent").select("parent", F.col("_key.child").alias("child"), F.col("before").alias("index"), "siblings")
 
 
 def class_members(nodes: DataFrame) -> DataFrame:

@@ -32,6 +32,21 @@ def global_index(df: DataFrame, *order: str) -> DataFrame:
     return ranged.join(before, "_part").withColumn("index", (F.col("_before") + own - 1).cast("bigint")).drop("_part", "_before")
 
 
+def running_sum(rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """``rows`` with ``before``, the sum of ``value`` over the rows of the same group before each one in the order of ``key``.
+
+    Rows are put in ranges of group and key. A group that fills many ranges is summed range by range, and only the ranges'
+    sums, a row for each range and group in it, meet in one task a group.
+    """
+    ranged = checkpointed(rows.repartitionByRange(group, key).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(group, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(group, "_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.join(parts, [group, "_part"]).withColumn("before", F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return summed.drop("_part", "_before")
+
+
 def sphere(files: DataFrame) -> DataFrame:
     """``(id, x, y, z)`` of files on a sphere by the golden angle; ``files`` has ``id`` and ``index`` from 0."""
     n = files.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))

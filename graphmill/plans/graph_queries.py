@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphmill.functions.text import extension, last_part, name_from_label, path_of_id, rolling_hash, short_path
-from graphmill.operators import context, export, flow, graph, layout, scc, symbols, view
-from graphmill.session import table
+from graphmill.operators import context, export, flow, graph, layout, scc, symbols, tree, view
+from graphmill.plans.flow_sql import CALLS, COMPONENTS, flow_levels
+from graphmill.session import checkpointed, table
 from graphmill.sources import repository, working_tree
 
 #: A core symbol and a caller that the flows start from.
 FLOW_DEPTH, FLOW_NODES = 2, 60
-#: Porcelain lines of the status queries.
-PORCELAIN = (" M app/jobs", "?? lib/routing/new.py", "D  services/store", "R  old.go -> pkg/api", "A  tools/codegen/x.py")
+#: A cap on call links that is reached, and a word to search for.
+SMALL_CAP, WORD = 5_000, "ledger"
 
 
 def all_nodes(spark, sf_dir):
@@ -47,12 +48,33 @@ def link_cap_and_chunks(spark, sf_dir):
     return symbols.capped_links(edges).select("source", "target", "number", F.col("chunk").cast("bigint").alias("chunk"))
 
 
+def link_cap_reached(spark, sf_dir):
+    """Links capped below their number, in the order of their callers' places."""
+    places = table(spark, sf_dir, "nodes").groupBy("id").agg(F.min("ordinal").alias("ordinal"))
+    edges = calls(spark, sf_dir).join(places.withColumnRenamed("id", "caller"), "caller")
+    edges = edges.select(F.col("caller").alias("source"), F.col("callee").alias("target"), "ordinal", F.lit(0).alias("position"))
+    return symbols.capped_links(edges, SMALL_CAP).select("source", "target", "number", F.col("chunk").cast("bigint").alias("chunk"))
+
+
 def containment_links(spark, sf_dir):
     return symbols.containment(table(spark, sf_dir, "nodes")).select("source", "target").distinct()
 
 
 def sibling_index(spark, sf_dir):
-    return graph.siblings(symbols.containment(table(spark, sf_dir, "nodes")).filter("source <> 'repo-root'"))
+    return graph.siblings(symbols.containment(table(spark, sf_dir, "nodes")))
+
+
+def sidebar_tree(spark, sf_dir):
+    """The whole tree; files, which have no place, show -1."""
+    return tree.tree(table(spark, sf_dir, "nodes")).fillna(-1, ["place"])
+
+
+def tree_search(spark, sf_dir):
+    return tree.search_tree(tree.tree(table(spark, sf_dir, "nodes")), WORD).select("file_id", "parent_id", "id", "kind")
+
+
+def parent_navigation(spark, sf_dir):
+    return tree.parent_files(table(spark, sf_dir, "nodes"))
 
 
 def forward_adjacency(spark, sf_dir):
@@ -141,15 +163,21 @@ def workspace_names(spark, sf_dir):
 
 
 def member_hash(spark, sf_dir):
-    return table(spark, sf_dir, "core_symbols").select("id", rolling_hash(F.col("id")).alias("hash"))
+    return table(spark, sf_dir, "nodes").select("id").distinct().select("id", rolling_hash(F.col("id")).alias("hash"))
 
 
-def components(spark, sf_dir):
-    """Components of calls between functions of one directory: the graph whose cycles the table has."""
+def folder_components(spark, sf_dir):
+    """Components of calls between directories."""
     found = scc.components(folded_calls(spark, sf_dir))
     return found.filter("scc_size > 1").select("node_id", "scc_id", F.col("scc_size").cast("bigint").alias("scc_size"))
 
 
+def components(spark, sf_dir):
+    """Components of all calls."""
+    found = scc.components(calls(spark, sf_dir))
+    return found.filter("scc_size > 1").select("node_id", "scc_id", F.col("scc_size").cast("bigint").alias("scc_size"))
+
+
 def folded_calls(spark, sf_dir):
     """Calls between directories (the first two parts of paths): a small dense graph with cycles."""
 
@@ -160,21 +188,19 @@ def folded_calls(spark, sf_dir):
 
 
 def cycle_edges(spark, sf_dir):
-    pairs = folded_calls(spark, sf_dir)
+    pairs = checkpointed(calls(spark, sf_dir))
     return scc.cycle_edges(pairs, scc.components(pairs))
 
 
 def _flow_graph(spark, sf_dir):
-    nodes, pairs = all_nodes(spark, sf_dir), calls(spark, sf_dir)
+    nodes, pairs = all_nodes(spark, sf_dir), checkpointed(calls(spark, sf_dir))
     return nodes, pairs, scc.components(pairs)
 
 
 def _start(pairs, forward: bool) -> str:
     """The node to start from: by number of callees or callers, then by id."""
     by = "caller" if forward else "callee"
-    counts = pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.filter("n BETWEEN 3 AND 10") if not forward else counts
-    return kept.orderBy(F.desc("n"), by).first()[by]
+    return pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).first()[by]
 
 
 def reverse_flow_nodes(spark, sf_dir):
@@ -187,18 +213,20 @@ def reverse_flow_edges(spark, sf_dir):
 
 def reverse_flow_calls(spark, sf_dir):
     nodes, pairs, parts = _flow_graph(spark, sf_dir)
-    return flow.reverse_flow(nodes, pairs, parts, _start(pairs, False), FLOW_DEPTH, FLOW_NODES).nodes.drop("code")
+    found = flow.reverse_flow(nodes, pairs, parts, _start(pairs, False), FLOW_DEPTH, FLOW_NODES).nodes
+    return found.select("id", *[F.col(c).cast("bigint").alias(c) for c in ("depth", "rank")], "in_cycle", "scc_id")
 
 
 def reverse_flow_cut(spark, sf_dir):
     nodes, pairs, parts = _flow_graph(spark, sf_dir)
     found = flow.reverse_flow(nodes, pairs, parts, _start(pairs, False), FLOW_DEPTH, 5)
-    return flow.metadata(found)
+    return flow.metadata(found).select("source_id", *[F.col(c).cast("bigint").alias(c) for c in ("node_count", "edge_count", "depth_used")], "truncated", "has_cycles")
 
 
 def forward_flow_nodes(spark, sf_dir):
     nodes, pairs, parts = _flow_graph(spark, sf_dir)
-    return flow.forward_flow(nodes, pairs, parts, _start(pairs, True), FLOW_DEPTH, FLOW_NODES).nodes.drop("code")
+    found = flow.forward_flow(nodes, pairs, parts, _start(pairs, True), FLOW_DEPTH, FLOW_NODES).nodes
+    return found.select("id", *[F.col(c).cast("bigint").alias(c) for c in ("depth", "rank", "total_callees")], "truncated_calls", "in_cycle", "scc_id")
 
 
 def _folded_flow(spark, sf_dir):
@@ -264,12 +292,18 @@ def recent_repos(spark, sf_dir):
 
 def doc_budget(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text <> '' AND repo IS NOT NULL")
-    return context.running_budget(docs, "repo", ["doc_id"], "text", 4000).select("doc_id", "taken")
+    return context.running_budget(docs, "repo", "doc_id", "text", 4000).select("doc_id", "taken")
+
+
+def _porcelain(spark, sf_dir):
+    """A porcelain line for each file node, its code by the node's ordinal."""
+    files = table(spark, sf_dir, "nodes").filter("type = 'file' AND path IS NOT NULL")
+    code = F.expr("CASE ordinal % 5 WHEN 0 THEN ' M ' WHEN 1 THEN '?? ' WHEN 2 THEN 'D  ' WHEN 3 THEN 'A  ' ELSE 'R  old.x -> ' END")
+    return files.select("ordinal", F.concat(code, "path").alias("line")).distinct()
 
 
 def status_join(spark, sf_dir):
-    lines = spark.createDataFrame(list(enumerate(PORCELAIN)), "ordinal bigint, line string")
-    return working_tree.node_status(table(spark, sf_dir, "nodes"), working_tree.parse_porcelain(lines))
+    return working_tree.node_status(table(spark, sf_dir, "nodes"), working_tree.parse_porcelain(_porcelain(spark, sf_dir)))
 
 
 def caller_snippets(spark, sf_dir):
@@ -278,7 +312,19 @@ def caller_snippets(spark, sf_dir):
 
 
 def callee_signatures(spark, sf_dir):
-    return context.callee_signatures(calls(spark, sf_dir), all_nodes(spark, sf_dir))
+    found = context.callee_signatures(calls(spark, sf_dir), all_nodes(spark, sf_dir))
+    return found.select("caller", "callee", "rank", "label", F.substring_index("signature", "\n", 1).alias("first_line"))
+
+
+def chat_context(spark, sf_dir):
+    found = context.chat_context(calls(spark, sf_dir), all_nodes(spark, sf_dir))
+    return found.select("node_id", "role", "other", "rank", F.length("body").cast("bigint").alias("size"))
+
+
+def context_sizes(spark, sf_dir):
+    found = context.context(all_nodes(spark, sf_dir), calls(spark, sf_dir))
+    sizes = [F.greatest(F.size(c), F.lit(0)).cast("bigint").alias(f"n_{c}") for c in ("callers", "callees")]
+    return found.select("node_id", "short_path", *sizes)
 
 
 def node_context(spark, sf_dir):
@@ -293,12 +339,13 @@ QUERIES = {
         entry_points, induced_subgraph, call_links, structural_links, scannable_bodies, map_filter, map_drilldown, present_languages, primary_language,
         method_nesting, top_callers, related_links, export_nodes, export_edges, export_subgraph, node_names, workspace_names, member_hash, components,
         cycle_edges, reverse_flow_nodes, reverse_flow_edges, reverse_flow_calls, reverse_flow_cut, forward_flow_nodes, depth_layout, sphere_layout, ring_layout, fingerprint,
-        history_trim, recent_repos, doc_budget, status_join, caller_snippets, callee_signatures, node_context,
+        history_trim, recent_repos, doc_budget, status_join, caller_snippets, callee_signatures, node_context, link_cap_reached, sidebar_tree, tree_search, parent_navigation, chat_context, context_sizes,
+        folder_components,
     )
 }
 QUERIES |= {"cycle_hide": _view("hide"), "cycle_only": _view("only"), "cycle_show": _view("show"), "cycle_collapse": _view("collapse"), "cycle_collapse_remapped": _view("collapse", 5, True)}
 
-_CALLS = "calls AS (SELECT DISTINCT caller, callee FROM edges WHERE caller IS NOT NULL AND callee IS NOT NULL)"
+_CALLS = CALLS
 _NAME = "regexp_replace(replace(label, '()', ''), '^.*\\] ', '')"
 _ALL = (
     "every AS (SELECT ordinal, repo, id, label, type, path, code FROM nodes UNION ALL"
@@ -322,7 +369,7 @@ SQL = {
         SELECT source, target, number, (number - 1) // 200 AS chunk FROM n WHERE number <= 50000""",
     "containment_links": f"WITH {_STRUCTURE} SELECT DISTINCT source, target FROM structure",
     "sibling_index": f"""
-        WITH {_STRUCTURE}, p AS (SELECT target AS child, arg_min(source, ordinal) AS parent, min(ordinal) AS ordinal FROM structure WHERE source <> 'repo-root' GROUP BY target)
+        WITH {_STRUCTURE}, p AS (SELECT target AS child, arg_min(source, ordinal) AS parent, min(ordinal) AS ordinal FROM structure GROUP BY target)
         SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY ordinal, child) - 1 AS index, count(*) OVER (PARTITION BY parent) AS siblings FROM p""",
     "forward_adjacency": f"WITH {_CALLS} SELECT caller AS node, count(*) AS n, string_agg(callee, '|' ORDER BY callee) AS neighbours FROM calls GROUP BY caller",
     "reverse_adjacency": f"""
@@ -372,10 +419,11 @@ SQL = {
         SELECT DISTINCT id, {_NAME} AS name, {_FILE} AS file, CASE WHEN len(string_split({_FILE}, '/')) <= 2 THEN {_FILE}
         ELSE '.../' || list_aggregate(list_slice(string_split({_FILE}, '/'), -2, -1), 'string_agg', '/') END AS short FROM nodes""",
     "workspace_names": "SELECT DISTINCT file_path, regexp_extract(replace(file_path, chr(92), '/'), '([^/]*)/*$', 1) AS name FROM detail_requests",
-    "components": f"WITH RECURSIVE {_CALLS}, {_FOLD}, {_CLOSURE}, {_SCC} SELECT node_id, scc_id, scc_size FROM scc WHERE scc_size > 1",
+    "folder_components": f"WITH RECURSIVE {_CALLS}, {_FOLD}, {_CLOSURE}, {_SCC} SELECT node_id, scc_id, scc_size FROM scc WHERE scc_size > 1",
+    "components": f"WITH RECURSIVE {CALLS}, {COMPONENTS} SELECT node_id, scc_id, scc_size FROM multi",
     "cycle_edges": f"""
-        WITH RECURSIVE {_CALLS}, {_FOLD}, {_CLOSURE}, {_SCC}, multi AS (SELECT * FROM scc WHERE scc_size > 1)
-        SELECT caller, callee, coalesce(a.scc_id = b.scc_id, false) AS is_cycle FROM folded LEFT JOIN multi a ON caller = a.node_id LEFT JOIN multi b ON callee = b.node_id""",
+        WITH RECURSIVE {CALLS}, {COMPONENTS}
+        SELECT caller, callee, coalesce(a.scc_id = b.scc_id, false) AS is_cycle FROM calls LEFT JOIN multi a ON caller = a.node_id LEFT JOIN multi b ON callee = b.node_id""",
     "sphere_layout": """
         WITH f AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM nodes WHERE type = 'file')),
         g AS (SELECT id, 90 * greatest(1.0, sqrt(n / 50.0)) AS r, 1 - i / greatest(n - 1, 1) * 2 AS u, pi() * (3 - sqrt(5)) * i AS t FROM f),
@@ -391,9 +439,47 @@ SQL = {
         FROM documents WHERE text <> '' AND repo IS NOT NULL)
         SELECT doc_id, CAST(least(n, 4000 - before) AS BIGINT) AS taken FROM d WHERE before < 4000""",
     "status_join": f"""
-        WITH s(o, p, st) AS (VALUES (0, 'app/jobs', 'M'), (1, 'lib/routing/new.py', 'A'), (2, 'services/store', 'D'), (3, 'pkg/api', 'M'), (4, 'tools/codegen/x.py', 'A')),
-        f AS (SELECT DISTINCT id, CASE WHEN type = 'file' THEN label ELSE {_FILE} END AS file FROM nodes)
-        SELECT id AS node_id, arg_min(st, o) AS status FROM f JOIN s ON contains(file, p) GROUP BY id""",
+        WITH s AS (SELECT replace(path, chr(92), '/') AS p, arg_max(CASE ordinal % 5 WHEN 1 THEN 'A' WHEN 2 THEN 'D' WHEN 3 THEN 'A' ELSE 'M' END, ordinal) AS status
+        FROM nodes WHERE type = 'file' AND path IS NOT NULL GROUP BY 1),
+        f AS (SELECT DISTINCT id, replace(CASE WHEN type = 'file' THEN path ELSE {_FILE} END, chr(92), '/') AS file FROM nodes)
+        SELECT id AS node_id, status FROM f JOIN s ON file = p""",
+    "member_hash": """
+        WITH h AS (SELECT DISTINCT id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(id, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM nodes)
+        SELECT id, lower(to_base(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END), 36)) AS hash FROM h""",
+    "link_cap_reached": f"""
+        WITH {_CALLS}, p AS (SELECT id, min(ordinal) AS ordinal FROM nodes GROUP BY id),
+        n AS (SELECT caller AS source, callee AS target, row_number() OVER (ORDER BY p.ordinal, caller, callee) AS number FROM calls JOIN p ON id = caller)
+        SELECT source, target, number, (number - 1) // 200 AS chunk FROM n WHERE number <= {SMALL_CAP}""",
+    "ring_layout": f"""
+        WITH {_STRUCTURE}, p AS (SELECT target AS child, arg_min(source, ordinal) AS parent, min(ordinal) AS ordinal FROM structure WHERE source <> 'repo-root' GROUP BY target),
+        s AS (SELECT child, row_number() OVER (PARTITION BY parent ORDER BY ordinal, child) - 1 AS i, count(*) OVER (PARTITION BY parent) AS n FROM p),
+        f AS (SELECT greatest(1.0, sqrt(count(DISTINCT id) / 50.0)) AS scale FROM nodes WHERE type = 'file'),
+        r AS (SELECT child AS id, (25.0 + n * 0.2) * scale AS r, i / greatest(n, 1) * (2 * pi()) AS t FROM s, f),
+        h AS (SELECT id, round(cos(t) * r, 4) AS x, round(sin(t) * r, 4) AS z FROM r)
+        SELECT id, CASE WHEN x = 0 THEN 0.0 ELSE x END AS x, CASE WHEN z = 0 THEN 0.0 ELSE z END AS z FROM h""",
+    "callee_signatures": f"""
+        WITH {_CALLS}, {_ALL}, r AS (SELECT caller, callee, row_number() OVER (PARTITION BY caller ORDER BY callee) AS rank FROM calls),
+        b AS (SELECT id, arg_max(label, ordinal) AS label, arg_max(code, ordinal) AS code FROM (SELECT id, ordinal, label, coalesce(code, '') AS code FROM every) GROUP BY id)
+        SELECT caller, callee, rank, label, split_part(code, chr(10), 1) AS first_line FROM r JOIN b ON id = callee WHERE rank <= 5 AND code <> ''""",
+    "chat_context": f"""
+        WITH {_CALLS}, {_ALL}, known AS (SELECT DISTINCT id FROM every), d AS (SELECT caller, count(*) AS degree FROM calls GROUP BY caller),
+        up AS (SELECT callee AS node_id, 'caller' AS role, caller AS other, row_number() OVER (PARTITION BY callee ORDER BY CASE WHEN contains(caller, split_part(callee, ':', 2)) THEN 0 ELSE 1 END, degree DESC, caller) AS rank
+               FROM calls JOIN d USING (caller)),
+        down AS (SELECT caller AS node_id, 'callee' AS role, min(callee) AS other, 1 AS rank FROM calls GROUP BY caller),
+        n AS (SELECT * FROM up WHERE rank <= 3 UNION ALL SELECT * FROM down),
+        b AS (SELECT id, arg_max(code, ordinal) AS code FROM (SELECT id, ordinal, coalesce(code, '') AS code FROM every) GROUP BY id)
+        SELECT node_id, role, other, rank, least(length(code), 1500) AS size FROM n JOIN known k ON k.id = node_id JOIN b ON b.id = other WHERE code <> ''""",
+    "context_sizes": f"""
+        WITH {_CALLS}, {_ALL}, b AS (SELECT id, arg_max(type, ordinal) AS type, arg_max(code, ordinal) AS code FROM (SELECT id, ordinal, type, coalesce(code, '') AS code FROM every) GROUP BY id),
+        up AS (SELECT callee AS id, count(*) AS n FROM (SELECT callee, caller, row_number() OVER (PARTITION BY callee ORDER BY caller) AS k FROM calls) JOIN b ON b.id = caller WHERE k <= 5 AND code <> '' GROUP BY callee),
+        down AS (SELECT caller AS id, count(*) AS n FROM (SELECT callee, caller, row_number() OVER (PARTITION BY caller ORDER BY callee) AS k FROM calls) JOIN b ON b.id = callee WHERE k <= 5 AND code <> '' GROUP BY caller),
+        s AS (SELECT id, split_part(id, ':', 2) AS file FROM b WHERE type NOT IN ('root', 'file'))
+        SELECT s.id AS node_id, CASE WHEN len(string_split(file, '/')) <= 2 THEN file ELSE '.../' || list_aggregate(list_slice(string_split(file, '/'), -2, -1), 'string_agg', '/') END AS short_path,
+        coalesce(up.n, 0) AS n_callers, coalesce(down.n, 0) AS n_callees FROM s LEFT JOIN up ON up.id = s.id LEFT JOIN down ON down.id = s.id""",
+    "parent_navigation": f"""
+        WITH f AS (SELECT id AS file_id, min(ordinal) AS ordinal, substr(id, 6) AS path FROM nodes WHERE type = 'file' GROUP BY id),
+        s AS (SELECT DISTINCT id, {_FILE} AS path FROM nodes WHERE type IN ('function', 'class', 'interface', 'struct'))
+        SELECT s.id, arg_min(file_id, (ordinal, file_id)) AS file_id FROM s JOIN f ON f.path = s.path OR ends_with(f.path, '/' || s.path) GROUP BY s.id""",
     "fingerprint": "SELECT printf('%d:%.6f', count(*), max(epoch_us(ts)) / 1e6) AS fingerprint FROM events",
     "caller_snippets": f"""
         WITH {_CALLS}, {_ALL}, r AS (SELECT callee, caller, row_number() OVER (PARTITION BY callee ORDER BY caller) AS rank FROM calls),
@@ -418,3 +504,30 @@ SQL |= {
     "depth_layout": _VIEW
     + "SELECT id, round((row_number() OVER (PARTITION BY depth ORDER BY id) - 1 - (count(*) OVER (PARTITION BY depth) - 1) / 2.0) * 25.0, 6) AS across, round(depth * 30.0, 6) AS along FROM flow",
 }
+_TREE = """
+    WITH r AS (SELECT DISTINCT id, coalesce(label, '') AS name, type, code, string_split(id, ':') AS parts FROM nodes),
+    f AS (SELECT id AS file_id, name, regexp_replace(id, '^file:', '') AS path FROM r WHERE type = 'file'),
+    b AS (SELECT file_id, r.id, r.name, type, code FROM r JOIN f ON f.path = array_to_string(list_slice(parts, 2, len(parts) - 1), ':')
+          WHERE type IN ('function', 'class', 'interface', 'struct', 'module') AND len(parts) >= 3),
+    c AS (SELECT * FROM b WHERE type = 'class'), o AS (SELECT * FROM b WHERE type <> 'class'),
+    n AS (SELECT o.file_id, c.id AS parent_id, o.id, 'symbol' AS kind, o.name FROM o JOIN c ON o.file_id = c.file_id AND contains(c.code, regexp_replace(o.name, '\\(\\)$', ''))),
+    a AS (SELECT file_id, file_id AS parent_id, id, 'symbol' AS kind, name FROM o WHERE (file_id, id) NOT IN (SELECT file_id, id FROM n)),
+    u AS (SELECT file_id, file_id AS parent_id, id, 'class' AS kind, name FROM c UNION ALL SELECT * FROM a UNION ALL SELECT * FROM n),
+    tree AS (SELECT file_id, NULL AS parent_id, file_id AS id, 'file' AS kind, name, CAST(NULL AS BIGINT) AS place FROM f
+             UNION ALL SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY kind, name, id) - 1 FROM u) """
+_HIT = f"contains(lower(name), '{WORD}')"
+_MOST_CALLED = "SELECT callee AS id FROM calls GROUP BY callee ORDER BY count(*) DESC, callee LIMIT 1"
+_MOST_CALLING = "SELECT caller AS id FROM calls GROUP BY caller ORDER BY count(*) DESC, caller LIMIT 1"
+SQL |= {
+    "sidebar_tree": _TREE + "SELECT file_id, parent_id, id, kind, name, coalesce(place, -1) AS place FROM tree",
+    "tree_search": _TREE
+    + f"""SELECT file_id, parent_id, id, kind FROM tree t WHERE {_HIT} OR kind = 'class' AND id IN (SELECT parent_id FROM tree WHERE {_HIT})
+        OR kind = 'file' AND id IN (SELECT file_id FROM tree WHERE {_HIT})""",
+    "reverse_flow_calls": flow_levels(_MOST_CALLED, False, FLOW_DEPTH, FLOW_NODES) + "SELECT id, depth, rank, scc_id IS NOT NULL AS in_cycle, scc_id FROM flow",
+    "forward_flow_nodes": flow_levels(_MOST_CALLING, True, FLOW_DEPTH, FLOW_NODES)
+    + "SELECT id, depth, rank, total AS total_callees, stopped AS truncated_calls, scc_id IS NOT NULL AS in_cycle, scc_id FROM flow",
+    "reverse_flow_cut": flow_levels(_MOST_CALLED, False, FLOW_DEPTH, 5)
+    + """, e AS (SELECT caller, callee FROM calls WHERE callee IN (SELECT id FROM flow))
+        SELECT (SELECT id FROM start) AS source_id, (SELECT count(*) FROM flow) AS node_count, (SELECT count(*) FROM e) AS edge_count, (SELECT max(depth) FROM flow) AS depth_used,
+        (SELECT count(*) >= 5 FROM flow) AS truncated, (SELECT coalesce(bool_or(a.scc_id = b.scc_id), false) FROM e LEFT JOIN multi a ON a.node_id = caller LEFT JOIN multi b ON b.node_id = callee) AS has_cycles""",
+}

@@ -10,21 +10,8 @@ from graphmill.operators.layout import global_index
 from graphmill.session import table
 from graphmill.streaming import scan
 
-# Given rows: questions, pasted texts, paths, formulas.
-QUESTIONS = (
-    "Will this crash on null?", "How does the parser fit the design?", "What does it return?", "brace_count", "Compare both modules", "race condition here?", "", "trace it",
-)
-PASTES = ("def f():\n    return 1\n    # x\n", "fn main() {\n}\n", "one line", "a\nb", "package main\nimport (\n", "const x = 1;\nlet y = 2;\n", "#include <a>\nint x;\n", "plain words\nmore words\n")
-PATHS = ("a/b/c.py", "c.py", "a\\b\\c\\d.go", "", "x/y")
-FORMULAS = ("price is $5", "a $x+y$ b", "$$\n a = b \n$$ end", "no math")
-
-
-def _rows(spark, values):
-    return spark.createDataFrame(list(enumerate(values)), "k bigint, t string")
-
-
 def intent_class(spark, sf_dir):
-    return _rows(spark, QUESTIONS).select("k", text.question_kind(F.col("t")).alias("kind"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.question_kind(F.col("text")).alias("kind"))
 
 
 def looks_like_code(spark, sf_dir):
@@ -32,15 +19,16 @@ def looks_like_code(spark, sf_dir):
 
 
 def paste_language(spark, sf_dir):
-    return _rows(spark, PASTES).select("k", text.paste_language(F.col("t"), F.lit(None).cast("string")).alias("language"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.paste_language(F.col("text"), F.lit(None).cast("string")).alias("language"))
 
 
 def path_truncate(spark, sf_dir):
-    return _rows(spark, PATHS).select("k", text.short_path(F.col("t")).alias("short"))
+    paths = table(spark, sf_dir, "detail_requests").select("file_path").distinct()
+    return paths.select("file_path", text.short_path(F.col("file_path")).alias("short"))
 
 
 def math_cleanup(spark, sf_dir):
-    return _rows(spark, FORMULAS).select("k", text.without_math(F.col("t")).alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.without_math(F.col("text")).cast("binary")).alias("clean"))
 
 
 def extension_histogram(spark, sf_dir):
@@ -85,28 +73,24 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _values(values) -> str:
-    return ", ".join(f"({k}, {_quoted(v)})" for k, v in enumerate(values))
-
-
 _LINES = "list_filter(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) <> '')"
 _ANY = "|".join(f"(?:{p})" for p in text.CODE_PATTERNS).replace("'", "''")
-_GUESS = " ".join(f"WHEN regexp_matches(t, {_quoted('(?m)' + p)}) THEN {_quoted(lang)}" for lang, p in text.PASTE_PATTERNS)
+_GUESS = " ".join(f"WHEN regexp_matches(text, {_quoted('(?m)' + p)}) THEN {_quoted(lang)}" for lang, p in text.PASTE_PATTERNS)
 
 SQL = {
     "intent_class": f"""
-        SELECT k, CASE WHEN regexp_matches(lower(t), {_quoted(rf"\b(?:{text.BUG_WORDS.replace('race(?!\\w)', 'race')})\b")}) THEN 'bug'
-        WHEN regexp_matches(lower(t), {_quoted(rf"\b(?:{text.DESIGN_WORDS})\b")}) THEN 'architecture' ELSE 'explain' END AS kind FROM (VALUES {_values(QUESTIONS)}) v(k, t)""",
+        SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), {_quoted(rf"\b(?:{text.BUG_WORDS.replace('race(?!\\w)', 'race')})\b")}) THEN 'bug'
+        WHEN regexp_matches(lower(coalesce(text, '')), {_quoted(rf"\b(?:{text.DESIGN_WORDS})\b")}) THEN 'architecture' ELSE 'explain' END AS kind FROM documents""",
     "looks_like_code": f"""
         SELECT doc_id, coalesce(contains(text, chr(10)) AND len({_LINES}) >= 2 AND (len(list_filter({_LINES}, lambda l: regexp_matches(l, '^[ \\t]+[^ \\t\\n\\r\\f\\v]'))) >= 2
         OR regexp_matches(text, '(?m){_ANY}')), false) AS code FROM documents""",
-    "paste_language": f"SELECT k, CASE {_GUESS} ELSE '' END AS language FROM (VALUES {_values(PASTES)}) v(k, t)",
-    "path_truncate": f"""
-        SELECT k, CASE WHEN t = '' THEN '' WHEN len(string_split(replace(t, chr(92), '/'), '/')) <= 2 THEN replace(t, chr(92), '/')
-        ELSE '.../' || list_aggregate(list_slice(string_split(replace(t, chr(92), '/'), '/'), -2, -1), 'string_agg', '/') END AS short FROM (VALUES {_values(PATHS)}) v(k, t)""",
-    "math_cleanup": f"""
-        SELECT k, regexp_replace(regexp_replace(t, '\\$\\$\\s*([\\s\\S]+?)\\s*\\$\\$', '```' || chr(10) || '\\1' || chr(10) || '```', 'g'), '\\$([^$\\n]+?)\\$', '`\\1`', 'g') AS clean
-        FROM (VALUES {_values(FORMULAS)}) v(k, t)""",
+    "paste_language": f"SELECT doc_id, CASE {_GUESS} ELSE '' END AS language FROM documents",
+    "path_truncate": """
+        SELECT DISTINCT file_path, CASE WHEN coalesce(file_path, '') = '' THEN '' WHEN len(string_split(replace(file_path, chr(92), '/'), '/')) <= 2 THEN replace(file_path, chr(92), '/')
+        ELSE '.../' || list_aggregate(list_slice(string_split(replace(file_path, chr(92), '/'), '/'), -2, -1), 'string_agg', '/') END AS short FROM detail_requests""",
+    "math_cleanup": """
+        SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\$\\$\\s*([\\s\\S]+?)\\s*\\$\\$', '```' || chr(10) || '\\1' || chr(10) || '```', 'g'), '\\$([^$\\n]+?)\\$', '`\\1`', 'g')) AS clean
+        FROM documents""",
     "extension_histogram": """
         SELECT lower(regexp_extract(regexp_extract(replace(file_path, chr(92), '/'), '([^/]*)$', 1), '^[^.].*(\\.[^.]*)$', 1)) AS ext, count(*) AS n FROM detail_requests GROUP BY 1""",
     "node_batches": """

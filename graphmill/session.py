@@ -19,6 +19,7 @@ def get_session(app: str = "graphmill", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**base, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
@@ -32,12 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is unset, as in
-    local tests, a folder under the Spark warehouse is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is unset and Spark runs on
+    one machine, as in tests, a folder under the Spark warehouse is used; a cluster without a shared folder is an error.
+    Sessions of ``get_session`` delete a checkpoint once nothing refers to it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint(eager=True)

@@ -20,12 +20,12 @@ def parse_porcelain(lines: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.min("ordinal").alias("ordinal"), F.max_by("status", "ordinal").alias("status"))
 
 
-def node_status(nodes: DataFrame, status: DataFrame, strict: bool = False) -> DataFrame:
+def node_status(nodes: DataFrame, status: DataFrame, strict: bool = True) -> DataFrame:
     """``(node_id, status)`` of the nodes whose file has changed.
 
-    By default a status path matches if it is within the node's path, of file nodes within the basename, and the first
-    match in status order counts. Each suffix-free substring test is a theta join, so the status side, a working tree's
-    changes, is meant to be small; ``strict`` compares whole paths by an equality join and holds at any size.
+    By default whole paths are compared, by an equality join that holds at any size. Without ``strict`` a status path matches
+    if it is within the node's path, of file nodes within the basename, and the first match in status order counts: a theta
+    join, whose status side, a working tree's changes, is meant to be small.
     """
     path: Column = F.when(F.col("type") == "file", F.col("path") if strict else F.col("label")).otherwise(path_of_id(F.col("id")))
     own = nodes.select(F.col("id").alias("node_id"), unified_path(path).alias("_file")).filter("_file <> ''").distinct()

@@ -11,7 +11,7 @@ from graphmill.functions.extract import parse_sources
 from graphmill.operators.layout import global_index
 
 #: Nodes and links of a message, of a fresh scan and of a cached one; milliseconds between a client's redraws.
-NODE_BATCH, LINK_CHUNK, CACHED_NODES, CACHED_LINKS, FLUSH_MS = 12, 200, 80, 500, 250
+NODE_BATCH, LINK_CHUNK, CACHED_NODES, CACHED_LINKS = 12, 200, 80, 500
 
 
 def numbered(rows: DataFrame, size: int, *order: str) -> DataFrame:

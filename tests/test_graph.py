@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphmill.api import Graph
 from graphmill.functions import text
 from graphmill.functions.extract import brace_block, docstring_of, end_block, notebook_source, signature_of, symbols_of
-from graphmill.operators import context, export, flow, graph, layout, scc, symbols, view
+from graphmill.operators import context, export, flow, graph, layout, scc, symbols, tree, view
 from graphmill.session import checkpointed
 from graphmill.sources import repository, working_tree
 from graphmill.streaming import scan
@@ -208,6 +208,10 @@ def test_blocks():
     assert signature_of('def f():\n  """doc\n  more"""\n  x') == 'def f():\n  """doc\n  more"""'
     assert docstring_of('def f():\n  "d"\n  # c\n', ".py") == "Docstring:\nd"
     assert docstring_of("/// one\npub fn f() {}", ".rs") == "Doc Comments:\none"
+    assert docstring_of("/**\n * one\n * two\n */\n// three\nlet a;\n// four\nfunction f() {}\n// five", ".js") == "JSDoc:\none\ntwo\n/\n\nComments:\nthree\nfour"
+    assert docstring_of("/* one\n * two */\nint f();", ".c") == "Block Comment:\none\ntwo" and docstring_of("/* open", ".c") == ""
+    assert docstring_of("x = 1\nclass K:\n  # a\n\n  def f():\n    # b\n    'd'\n    # c\n", ".py") == "Comments:\na\nb"
+    assert docstring_of("def f(:\n  # only\n", ".py") == "Comments:\nonly" and docstring_of("x", ".zz") == ""
     assert docstring_of(None, ".py") == "" and notebook_source('{"cells": []}') == ""
 
 
@@ -216,7 +220,7 @@ def test_status(spark):
     parsed = {r["path"]: r["status"] for r in working_tree.parse_porcelain(lines).collect()}
     assert parsed == {"a/x.py": "M", "new.py": "M", "b": "A", "gone.py": "D"}
     nodes = spark.createDataFrame([("function:a/x.py:f", "f", "function", None), ("file:a/x.py", "x.py", "file", "a/x.py")], "id string, label string, type string, path string")
-    loose = {r["node_id"]: r["status"] for r in working_tree.node_status(nodes, working_tree.parse_porcelain(lines)).collect()}
+    loose = {r["node_id"]: r["status"] for r in working_tree.node_status(nodes, working_tree.parse_porcelain(lines), False).collect()}
     strict = {r["node_id"] for r in working_tree.node_status(nodes, working_tree.parse_porcelain(lines), True).collect()}
     assert loose == {"function:a/x.py:f": "M"} and strict == {"function:a/x.py:f", "file:a/x.py"}
 
@@ -318,3 +322,45 @@ def test_flows_against_a_queue(spark, seed):
             want, edges, cut = _walked(calls, set(names), parts, start, depth, limit, forward)
             assert [(r["id"], r["depth"]) for r in got.nodes.orderBy("rank").collect()] == want
             assert {(r["caller"], r["callee"]) for r in got.edges.collect()} == edges and got.truncated == cut
+
+
+def test_tree_search_and_parents(spark):
+    rows = [
+        (0, "file:a/x.py", "x.py", "file", "a/x.py", None), (1, "class:a/x.py:K", "K", "class", None, "class K: zed()"), (2, "function:a/x.py:zed", "zed()", "function", None, "z"),
+        (3, "function:a/x.py:abc", "abc()", "function", None, "z"), (4, "file:x.py", "x.py", "file", "x.py", None), (5, "struct:none.py:s", None, "struct", None, None), (0, "file:a/x.py", "x.py", "file", "a/x.py", None),
+        (6, "function:x.py:t", "t()", "function", None, None),
+    ]
+    nodes = spark.createDataFrame(rows, "ordinal bigint, id string, label string, type string, path string, code string")
+    found = tree.tree(nodes)
+    got = {(r["parent_id"], r["id"]): r["place"] for r in found.collect()}
+    assert got == {
+        (None, "file:a/x.py"): None, (None, "file:x.py"): None, ("file:a/x.py", "class:a/x.py:K"): 0, ("file:a/x.py", "function:a/x.py:abc"): 1,
+        ("class:a/x.py:K", "function:a/x.py:zed"): 0, ("file:x.py", "function:x.py:t"): 0,
+    }
+    shown = {r["id"] for r in tree.search_tree(found, "ZED").collect()}
+    assert shown == {"function:a/x.py:zed", "class:a/x.py:K", "file:a/x.py"} and tree.search_tree(found, "").count() == 6 and tree.search_tree(found, "none").count() == 0
+    assert {r["id"]: r["file_id"] for r in tree.parent_files(nodes).collect()} == {
+        "class:a/x.py:K": "file:a/x.py", "function:a/x.py:zed": "file:a/x.py", "function:a/x.py:abc": "file:a/x.py", "function:x.py:t": "file:a/x.py",
+    }
+    assert tree.tree(nodes.limit(0)).count() == 0 and tree.parent_files(nodes.limit(0)).count() == 0
+
+
+def test_chat_context(spark):
+    rows = [(k, f"function:f.py:{n}", n, "function", None, "x" * 2000 if n != "e" else "") for k, n in enumerate("abcde")]
+    nodes = spark.createDataFrame(rows, "ordinal bigint, id string, label string, type string, path string, code string")
+    calls = spark.createDataFrame([(f"function:f.py:{a}", f"function:f.py:{b}") for a, b in ("ba", "ca", "da", "ea", "ab", "ac")], "caller string, callee string")
+    got = {(r["role"], r["other"][-1]): (r["rank"], len(r["body"])) for r in context.chat_context(calls, nodes).filter("node_id = 'function:f.py:a'").collect()}
+    assert got == {("caller", "b"): (1, 1500), ("caller", "c"): (2, 1500), ("caller", "d"): (3, 1500), ("callee", "b"): (1, 1500)}
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [("hot" if k % 4 else rng.choice("xyz"), k, "t" * rng.randrange(9)) for k in range(500)] + [(None, 900, "t"), ("x", 901, None)]
+    df = spark.createDataFrame(rows, "g string, k int, text string")
+    got = {r["k"]: r["taken"] for r in context.running_budget(df, "g", "k", "text", 300).collect()}
+    want, used = {}, {}
+    for g, k, t in sorted((r for r in rows if r[0]), key=lambda r: r[1]):
+        if used.get(g, 0) < 300:
+            want[k] = min(len(t or ""), 300 - used.get(g, 0))
+        used[g] = used.get(g, 0) + len(t or "")
+    assert got == want
