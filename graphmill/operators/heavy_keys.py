@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.session import checkpointed
+
 #: Counters that the sketch keeps. A key it does not track has less than about 4 / SKETCH_ITEMS of all rows, which is
 #: far below any share asked for (see ``heavy_candidates``).
 SKETCH_ITEMS = 16384
@@ -61,7 +63,8 @@ def skew_safe_stats(
     are left out of their own figures only; extra columns are ignored; an empty table gives no rows.
     """
     slim = df.select(F.col(key).alias("_k"), F.col(member).alias("_m"), F.col(time).alias("_t"))
-    heavy = F.broadcast(heavy_candidates(slim, "_k", min_share).select("_k"))
+    # Two joins need the candidates, at most 2 / min_share rows: the sketch's pass over the rows is made once.
+    heavy = F.broadcast(checkpointed(heavy_candidates(slim, "_k", min_share).select("_k")))
 
     def figures() -> list[Column]:
         return [
