@@ -53,17 +53,19 @@ def resolve_edges(nodes: DataFrame, symbols: DataFrame | None = None) -> DataFra
     """``(source, target, ordinal, position)`` of each body's references to symbols other than its own name, once a body.
 
     A name that is one identifier is met by the body's tokens: an equality join of distinct tokens with the table, whose
-    side Spark chooses by size. Other names (``A::b``, ``ok?``) join on their first identifier and are then searched
+    side Spark chooses by size. Other names (``A::b``, ``ok?``) join on their longest identifier and are then searched
     between identifier boundaries; names without any identifier join on their first mark. Positions order a body's references.
     """
     symbols = symbols if symbols is not None else symbol_table(nodes)
     # Repeated rows of a body are one body.
-    bodies = scannable(nodes).groupBy("id", "own_name", "code").agg(F.min("ordinal").alias("ordinal"))
+    bodies = scannable(nodes).groupBy("id", "own_name", F.xxhash64("code").alias("_hash")).agg(F.min("ordinal").alias("ordinal"), F.first("code").alias("code")).drop("_hash")
     word = F.col("name").rlike(f"^[{WORD}]+$")
     tokens = bodies.select("ordinal", "id", "own_name", F.posexplode(F.array_distinct(F.split("code", f"[^{WORD}]+"))).alias("position", "token")).filter("token <> ''")
     plain = tokens.join(symbols.filter(word), (F.col("token") == F.col("name")) & (F.col("name") != F.col("own_name")))
     plain = plain.select(F.col("id").alias("source"), F.col("node_id").alias("target"), "ordinal", F.col("position").cast("bigint").alias("position"))
-    lead = F.regexp_extract("name", f"[{WORD}]+", 0)
+    # A prefix such as a namespace stands in many bodies; the longest identifier of a name is likely to tell more.
+    words = F.regexp_extract_all("name", F.lit(f"[{WORD}]+"), F.lit(0))
+    lead = F.coalesce(F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit(""))
     quoted = F.regexp_replace("name", r"([\\.\[\]{}()*+?^$|/-])", r"\\$1")
     boundary = F.concat(F.lit(f"(?s)(?<![{WORD}])"), quoted, F.lit(f"(?![{WORD}])"))
     marked = symbols.filter(~word).withColumn("lead", lead).withColumn("_pattern", boundary)

@@ -247,6 +247,32 @@ def _view(mode: str, size: int = 5, remap: bool = False):
     return query
 
 
+def _calls_view(spark, sf_dir, **state):
+    nodes, pairs, parts = _flow_graph(spark, sf_dir)
+    found = flow.reverse_flow(nodes, pairs, parts, _start(pairs, False), FLOW_DEPTH, FLOW_NODES)
+    return view.apply_view(found.nodes, found.edges, view.ViewState(**state))
+
+
+def view_depth_limit(spark, sf_dir):
+    """The flow of all calls with all cycles expanded, cut at a depth that leaves only its start."""
+    ids = [r["scc_id"] for r in scc.components(calls(spark, sf_dir)).filter("scc_size > 1").select("scc_id").distinct().orderBy("scc_id").limit(FLOW_NODES).collect()]
+    shown = _calls_view(spark, sf_dir, cycle_mode="show", max_depth=1, expanded=tuple(ids))
+    return shown.nodes.select("id", F.col("depth").cast("bigint").alias("depth"))
+
+
+def view_hidden_cycles(spark, sf_dir):
+    """What is hidden of the flow of all calls without its cycles: nodes and components."""
+    return _calls_view(spark, sf_dir, cycle_mode="hide").hidden.select("nodes", "sccs")
+
+
+def map_selection(spark, sf_dir):
+    """The file with most symbols and what it holds."""
+    nodes = table(spark, sf_dir, "nodes").select("id", "type").distinct()
+    held = symbols.containment(nodes.withColumn("ordinal", F.lit(0)))
+    chosen = held.filter("source <> 'repo-root'").groupBy("source").agg(F.count_distinct("target").alias("n")).orderBy(F.desc("n"), "source").first()["source"]
+    return graph.drill_down(nodes, held, chosen).select("id")
+
+
 def depth_layout(spark, sf_dir):
     found = _folded_flow(spark, sf_dir)
     placed = layout.layers(flow.ranked_siblings(found.nodes))
@@ -340,7 +366,7 @@ QUERIES = {
         method_nesting, top_callers, related_links, export_nodes, export_edges, export_subgraph, node_names, workspace_names, member_hash, components,
         cycle_edges, reverse_flow_nodes, reverse_flow_edges, reverse_flow_calls, reverse_flow_cut, forward_flow_nodes, depth_layout, sphere_layout, ring_layout, fingerprint,
         history_trim, recent_repos, doc_budget, status_join, caller_snippets, callee_signatures, node_context, link_cap_reached, sidebar_tree, tree_search, parent_navigation, chat_context, context_sizes,
-        folder_components,
+        folder_components, view_depth_limit, view_hidden_cycles, map_selection,
     )
 }
 QUERIES |= {"cycle_hide": _view("hide"), "cycle_only": _view("only"), "cycle_show": _view("show"), "cycle_collapse": _view("collapse"), "cycle_collapse_remapped": _view("collapse", 5, True)}
@@ -531,3 +557,22 @@ SQL |= {
         SELECT (SELECT id FROM start) AS source_id, (SELECT count(*) FROM flow) AS node_count, (SELECT count(*) FROM e) AS edge_count, (SELECT max(depth) FROM flow) AS depth_used,
         (SELECT count(*) >= 5 FROM flow) AS truncated, (SELECT coalesce(bool_or(a.scc_id = b.scc_id), false) FROM e LEFT JOIN multi a ON a.node_id = caller LEFT JOIN multi b ON b.node_id = callee) AS has_cycles""",
 }
+_SUMMARY = (
+    _VIEW
+    + """, m AS (SELECT scc_id, count(*) AS n, min(depth) AS depth, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(string_agg(id, '|' ORDER BY id), ''), lambda c: unicode(c)::BIGINT)),
+        lambda a, c: (a * 31 + c) % 4294967296) AS h FROM flow WHERE scc_id IS NOT NULL GROUP BY scc_id HAVING count(*) > 5),
+        shown AS (SELECT id, id AS name, 'module' AS type, depth FROM flow WHERE scc_id IS NULL OR scc_id NOT IN (SELECT scc_id FROM m)
+        UNION ALL SELECT 'scc-summary:' || lower(to_base(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END), 36)), '\u267b Cycle (' || n || ')', 'scc-summary', depth FROM m)
+        SELECT * FROM shown WHERE depth <= 10"""
+)
+SQL |= {
+    "cycle_collapse": _SUMMARY,
+    "cycle_collapse_remapped": _SUMMARY,
+    "view_depth_limit": flow_levels(_MOST_CALLED, False, FLOW_DEPTH, FLOW_NODES) + "SELECT id, depth FROM flow WHERE depth <= 1",
+    "view_hidden_cycles": flow_levels(_MOST_CALLED, False, FLOW_DEPTH, FLOW_NODES)
+    + "SELECT count(*) FILTER (WHERE scc_id IS NOT NULL OR depth > 10) AS nodes, count(DISTINCT scc_id) AS sccs FROM flow",
+    "map_selection": f"""
+        WITH s AS (SELECT DISTINCT 'file:' || {_FILE} AS source, id FROM nodes WHERE type NOT IN ('root', 'file')),
+        c AS (SELECT source FROM s GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)
+        SELECT id FROM s WHERE source IN (SELECT source FROM c) AND id IN (SELECT id FROM nodes) UNION SELECT source FROM c WHERE source IN (SELECT id FROM nodes)""",
+}
