@@ -178,12 +178,23 @@ def encode_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return short.unionByName(long)
 
 
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of ``values`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)]
+
+
+def _lists(bounds: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
+
+
 def _assembled(dictionary):
-    """Replaces words by ids from a broadcast ``(words, ids)``; a text with other words comes out in ``parts``."""
+    """Replaces words by ids from a broadcast ``(words, ids)``. What is not known of a text comes out as its distinct
+    ``words``, with a mark for each occurrence: ``at`` which id it is missing and ``which`` word it is."""
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ids = dictionary.value
-        lengths, flat_ids = pc.list_value_length(ids).to_numpy(zero_copy_only=False), ids.flatten()
+        lengths, flat_ids = pc.list_value_length(ids).to_numpy(zero_copy_only=False), ids.flatten().to_numpy()
         starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         for batch in batches:
             words = batch.column(1)
@@ -193,31 +204,60 @@ def _assembled(dictionary):
             missing = at.is_null().to_numpy(zero_copy_only=False)
             at = at.fill_null(0).to_numpy()
             sizes = np.where(missing, 0, lengths[at]) if len(known) else np.zeros(len(at), np.int64)
+            values = _gathered(flat_ids, starts[at], sizes) if len(known) else np.zeros(0, np.int32)
             ends = np.concatenate(([0], np.cumsum(sizes)))
-            take = np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[at], sizes) if len(known) else np.zeros(0, np.int64)
-            values = flat_ids.take(pa.array(take))
-            lists = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), values)
-            broken = np.add.reduceat(np.append(missing, False).astype(np.int64), bounds[:-1]) * (np.diff(bounds) > 0) > 0
-            parts: list[list[dict] | None] = [None] * len(batch)
-            for row in np.flatnonzero(broken).tolist():
-                a, b, parts[row] = int(bounds[row]), int(bounds[row + 1]), []
-                for hole in [*(np.flatnonzero(missing[a:b]) + a).tolist(), b]:
-                    if hole > a:
-                        parts[row].append({"ids": values[int(ends[a]) : int(ends[hole])].to_pylist(), "word": None})
-                    if hole < b:
-                        parts[row].append({"ids": None, "word": flat[hole].as_py()})
-                    a = hole + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(parts, _PARTS)], ["_id", "ids", "parts"])
+            row = np.repeat(np.arange(len(batch)), np.diff(bounds))[missing]
+            gone = flat.filter(pa.array(missing)).dictionary_encode()
+            codes = gone.indices.to_numpy().astype(np.int64)
+            kinds = max(len(gone.dictionary), 1)
+            distinct, which = np.unique(row * kinds + codes, return_inverse=True)
+            per_row = np.searchsorted(distinct // kinds, np.arange(len(batch) + 1))
+            marks = np.searchsorted(row, np.arange(len(batch) + 1))
+            place = ends[:-1][missing] - ends[bounds[:-1]][row]
+            columns = [
+                batch.column(0), _lists(ends[bounds], pa.array(values.astype(np.int32))), _lists(per_row, gone.dictionary.take(pa.array(distinct % kinds))),
+                _lists(marks, pa.array(place.astype(np.int32))), _lists(marks, pa.array((which - per_row[row]).astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "ids", "words", "at", "which"])
 
     return assemble
 
 
-_PARTS = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("word", pa.string())]))
+def _spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the ids of a text's ``parts``, one list for each of its missing words, where its marks say."""
+
+    def flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        return bounds - bounds[0], lists.flatten()
+
+    for batch in batches:
+        row_ids, ids = flat(batch.column("ids"))
+        row_marks, at = flat(batch.column("at"))
+        which = batch.column("which").flatten().to_numpy()
+        row_parts, parts = flat(batch.column("parts"))
+        part_bounds, part_ids = flat(parts)
+        n, row = len(batch), np.repeat(np.arange(len(batch)), np.diff(row_marks))
+        upto = row_ids[:-1][row] + at.to_numpy()
+        before = np.concatenate(([0], upto[:-1])) if len(upto) else upto
+        before = np.where(np.arange(len(row)) == row_marks[:-1][row], row_ids[:-1][row], before)
+        part = row_parts[:-1][row] + which
+        # A text's pieces: known ids and a part for each mark, and known ids at the end.
+        starts, sizes = np.zeros(2 * len(row) + n, np.int64), np.zeros(2 * len(row) + n, np.int64)
+        k = 2 * np.arange(len(row)) + row
+        starts[k], sizes[k] = before, upto - before
+        starts[k + 1], sizes[k + 1] = len(ids) + part_bounds[:-1][part], np.diff(part_bounds)[part]
+        last = 2 * row_marks[1:] + np.arange(n)
+        rest = row_ids[:-1].copy()
+        some = np.diff(row_marks) > 0
+        rest[some] = upto[row_marks[1:][some] - 1]
+        starts[last], sizes[last] = rest, row_ids[1:] - rest
+        values = _gathered(np.concatenate((ids.to_numpy(), part_ids.to_numpy())), starts, sizes)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], last + 1))]
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), _lists(ends, pa.array(values.astype(np.int32)))], ["_id", "ids"])
 
 
 def encode(
-    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY,
-    frequent: int = 65536, salts: int = 16,
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY, frequent: int = 65536,
 ) -> DataFrame:
     """``(id_column, ids)``: the token ids of each row's text, without special tokens.
 
@@ -225,27 +265,20 @@ def encode(
     unique and not null. Other columns are ignored, whatever their names. An empty table gives no rows.
 
     Each distinct word of the corpus is encoded once. The ``frequent`` most frequent words of at most FOLD_BYTES bytes are
-    broadcast, which bounds the broadcast whatever the corpus; texts with rarer words get those by a join, in which a word
-    is spread over salts.
+    broadcast, which bounds the broadcast whatever the corpus; texts with rarer words get those by a join, each word once a
+    text. None of these words has more than one in ``frequent`` of the occurrences, so the join has no hot key.
     """
     texts, encoded, dictionary, complete = _dictionary(documents, id_column, text_column, path, frequent)
     kind = texts.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, ids array<int>, parts array<struct<ids:array<int>,word:string>>"
-    whole = texts.mapInArrow(_assembled(dictionary), schema)
+    whole = texts.mapInArrow(_assembled(dictionary), f"_id {kind}, ids array<int>, words array<string>, at array<int>, which array<int>")
     if complete:
         return whole.select(F.col("_id").alias(id_column), "ids")
     whole = checkpointed(whole)
-    parts = whole.filter(F.col("parts").isNotNull()).select("_id", F.posexplode("parts").alias("_pos", "_part"))
-    holes = parts.filter("_part.word IS NOT NULL").select(
-        "_id", "_pos", F.col("_part.word").alias("word"), F.pmod(F.xxhash64("_id", "_pos"), F.lit(salts)).cast("int").alias("_salt")
-    )
-    repeated = encoded.select("word", "ids", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    filled = holes.join(repeated, ["word", "_salt"]).select("_id", "_pos", "ids")
-    rest = parts.filter("_part.word IS NULL").select("_id", "_pos", "_part.ids")
-    ordered = filled.unionByName(rest).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "ids"))).alias("_all"))
-    joined = ordered.select("_id", F.flatten(F.col("_all.ids")).alias("ids"))
-    done = whole.filter(F.col("parts").isNull()).select("_id", "ids").unionByName(joined)
-    return done.withColumnRenamed("_id", id_column)
+    missing = whole.select("_id", F.posexplode("words").alias("_pos", "word"))
+    found = missing.join(encoded.select("word", F.col("ids").alias("part")), "word").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "part"))).alias("_all"))
+    holes = whole.filter(F.size("words") > 0).select("_id", "ids", "at", "which").join(found.select("_id", F.col("_all.part").alias("parts")), "_id")
+    filled = holes.mapInArrow(_spliced, f"_id {kind}, ids array<int>")
+    return whole.filter(F.size("words") == 0).select("_id", "ids").unionByName(filled).withColumnRenamed("_id", id_column)
 
 
 def _dictionary(documents: DataFrame, id_column: str, text_column: str, path: str, frequent: int):
@@ -280,7 +313,7 @@ def _summed(dictionary):
 
 
 def token_counts(
-    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY, frequent: int = 65536, salts: int = 16
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY, frequent: int = 65536
 ) -> DataFrame:
     """``(id_column, tokens)``: how many tokens each row's text has; 0 for null and empty texts. As ``encode`` otherwise."""
     texts, encoded, dictionary, complete = _dictionary(documents, id_column, text_column, path, frequent)
@@ -289,9 +322,8 @@ def token_counts(
     if complete:
         return summed.select(F.col("_id").alias(id_column), "tokens")
     summed = checkpointed(summed)
-    holes = summed.select("_id", F.explode("rest").alias("word"), F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"))
-    repeated = encoded.select("word", F.size("ids").alias("_size"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    parts = holes.join(repeated, ["word", "_salt"]).select("_id", F.col("_size").cast("bigint").alias("tokens"))
+    holes = summed.select("_id", F.explode("rest").alias("word"))
+    parts = holes.join(encoded.select("word", F.size("ids").cast("bigint").alias("tokens")), "word").select("_id", "tokens")
     return summed.select("_id", "tokens").unionByName(parts).groupBy("_id").agg(F.sum("tokens").alias("tokens")).withColumnRenamed("_id", id_column)
 
 
