@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.configuration import PARSERS
@@ -354,20 +354,26 @@ def _redacted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"request_id": batch["request_id"], "code": code, "n_redacted": [len(f) for f in found]})
 
 
+def _id() -> Column:
+    """Ids go through pandas as strings, where numbers beside nulls would lose digits."""
+    return F.col("request_id").cast("string").alias("request_id")
+
+
 def find_credentials(records: DataFrame) -> DataFrame:
     """``(request_id, line_no, byte_start, byte_end, key_path, kind)`` of each credential in ``code``, each once.
 
     ``records`` has ``request_id``, ``code`` and ``ext``; null and empty code has none; a null extension counts as source
-    code. A record that stands twice gives its rows once. Offsets count bytes of the UTF-8 text from 0. Other columns are
+    code, a null id stays null. A record that stands twice gives its rows once. Offsets count bytes of the UTF-8 text from 0. Other columns are
     ignored.
     """
-    texts = records.filter(F.length("code") > 0).select("request_id", "code", F.coalesce("ext", F.lit("")).alias("ext"))
-    schema = "request_id bigint, line_no bigint, byte_start bigint, byte_end bigint, key_path string, kind string"
-    return texts.mapInPandas(_found, schema).dropDuplicates()
+    texts = records.filter(F.length("code") > 0).select(_id(), "code", F.coalesce("ext", F.lit("")).alias("ext"))
+    schema = "request_id string, line_no bigint, byte_start bigint, byte_end bigint, key_path string, kind string"
+    return texts.mapInPandas(_found, schema).withColumn("request_id", F.col("request_id").cast("bigint")).dropDuplicates()
 
 
 def redact_credentials(records: DataFrame) -> DataFrame:
     """``(request_id, code, n_redacted)`` of each record as it stands; null code stays null with nothing redacted."""
-    texts = records.select("request_id", "code", F.coalesce("ext", F.lit("")).alias("ext"))
-    done = texts.filter("code IS NOT NULL").mapInPandas(_redacted, "request_id bigint, code string, n_redacted bigint")
-    return done.unionByName(texts.filter("code IS NULL").select("request_id", "code", F.lit(0).cast("bigint").alias("n_redacted")))
+    texts = records.select(_id(), "code", F.coalesce("ext", F.lit("")).alias("ext"))
+    done = texts.filter("code IS NOT NULL").mapInPandas(_redacted, "request_id string, code string, n_redacted bigint")
+    rows = done.unionByName(texts.filter("code IS NULL").select("request_id", "code", F.lit(0).cast("bigint").alias("n_redacted")))
+    return rows.withColumn("request_id", F.col("request_id").cast("bigint"))

@@ -97,7 +97,7 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed:
     ``max_repeats``, a table of settings. Sources are compared trimmed and in lower case. Copies of a text, also with
     other white space, count as one text, which its least ``doc_id`` stands for with that row's source. ``total`` is the
     number of tokens of the mixture with all its sources; by default the largest at which every source that has texts
-    reaches its share within its repeats. Texts without tokens and those of other or null sources are left out: they can't
+    reaches its share within its repeats. Texts without tokens or an id and those of other or null sources are left out: they can't
     contribute to a share. The choice depends on ``seed`` and the texts only.
     """
     targets = (
@@ -105,7 +105,7 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed:
         .filter((F.col("target_share") > 0) & (F.col("max_repeats") > 0))
     )
     named = documents.select("doc_id", F.lower(F.trim("source")).alias("source"), "text").join(targets.select("source"), "source")
-    named = named.filter(F.length("text") > 0)
+    named = named.filter((F.length("text") > 0) & F.col("doc_id").isNotNull())
     keys = named.select("doc_id", "source", "text").mapInPandas(_keyed, "doc_id bigint, source string, _key binary")
     sized = keys.join(token_counts(named, "doc_id", "text", path), "doc_id").filter("tokens > 0")
     texts = checkpointed(

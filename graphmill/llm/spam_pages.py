@@ -256,7 +256,7 @@ def _pages(texts: list[str], classes: _Classes) -> list[tuple]:
 
 
 _COLUMNS = ("symbols", "stretches", "chars", "tokens", "own", "kinds", "fenced", "links")
-_SCHEMA = "id bigint, symbols binary, stretches binary, chars binary, tokens binary, own binary, kinds binary, fenced bigint, links bigint"
+_SCHEMA = "id string, symbols binary, stretches binary, chars binary, tokens binary, own binary, kinds binary, fenced bigint, links bigint"
 
 
 def _classified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -386,15 +386,16 @@ def score_pages(documents: DataFrame, id_column: str = "doc_id", text_column: st
     characters in abnormal segments, and whether it is spam.
 
     Null, empty and blank texts have no perplexity, share 0 and are no spam. Rows stand for themselves, also if their text
-    or id repeats. If the corpus holds no sentence, nothing is abnormal. Other columns are ignored. What comes to the driver
+    or id repeats or their id is null. If the corpus holds no sentence, nothing is abnormal. Other columns are ignored. What comes to the driver
     is the model: one number for each trigram of symbols seen, at most SYMBOLS ** 3 (4.5 million, 72 MB) whatever the corpus.
     """
     spark = documents.sparkSession
-    texts = documents.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    texts = documents.select(F.col(id_column).cast("bigint").cast("string").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     pages = checkpointed(texts.mapInPandas(_classified, _SCHEMA))
     slim = pages.select("symbols", "stretches", "own", "kinds")
     counts = slim.mapInPandas(_counted, "trigram bigint, n bigint").groupBy("trigram").agg(F.sum("n").alias("n")).toPandas()
     model = spark.sparkContext.broadcast((counts["trigram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)))
     moments = slim.mapInPandas(_moments(model), ", ".join(f"{m} double" for m in _MOMENTS)).agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in _MOMENTS]).first()
     high, low = _limit(*moments[:3], HIGH), _limit(*moments[3:], -LOW)
-    return pages.mapInPandas(_scored(model, high, low), "id bigint, perplexity double, share double, spam boolean").withColumnRenamed("id", id_column)
+    scored = pages.mapInPandas(_scored(model, high, low), "id string, perplexity double, share double, spam boolean")
+    return scored.select(F.col("id").cast("bigint").alias(id_column), "perplexity", "share", "spam")

@@ -114,7 +114,7 @@ def split_oversized(items: DataFrame, limits: DataFrame, id_column: str = "reque
     """``(id_column, piece_no, start, end, text)`` of every item of more code points than the limit of its kind.
 
     ``items`` has ``id_column``, ``kind`` and ``code``; ``limits`` has ``node_type`` (trimmed, lower case), ``max_chars``
-    and ``overlap_chars``, a table of settings. Items that are null, within the limit or of a kind without a limit have no
+    and ``overlap_chars``, a table of settings. Items that are null, without an id, within the limit or of a kind without a limit have no
     rows. An overlap of the limit or more is the largest possible, limit - 1; a negative or null one is 0. ``start`` and
     ``end`` count code points from 0. An item that stands twice comes out once if its content is the
     same. Without ``texts`` the column ``text`` is null. Other columns are ignored.
@@ -124,7 +124,7 @@ def split_oversized(items: DataFrame, limits: DataFrame, id_column: str = "reque
         F.col("max_chars").alias("_limit"),
         F.greatest(F.lit(0), F.least(F.coalesce(F.col("overlap_chars"), F.lit(0)), F.col("max_chars") - 1)).alias("_overlap"),
     ).filter(F.col("_limit") >= 1)
-    slim = items.select(F.col(id_column), "kind", "code")
+    slim = items.filter(F.col(id_column).isNotNull()).select(F.col(id_column), "kind", "code")
     # The length in bytes is at least the length in code points, and is cheaper to test.
     large = slim.join(limits, "kind").filter((F.octet_length("code") > F.col("_limit")) & (F.length("code") > F.col("_limit")))
     kind = slim.schema[id_column].dataType.simpleString()

@@ -83,10 +83,10 @@ def unparsable(files: DataFrame) -> DataFrame:
     ``n_pairs`` that no valid text has, or a ``reduction`` that fails although all pairs are permissible.
 
     ``files`` has ``request_id``, ``lang`` and ``code``. Null, empty and blank code is valid, as is code in an unknown
-    language. Other columns are ignored; an empty table gives no rows.
+    language; rows without an id are left out. Other columns are ignored; an empty table gives no rows.
     """
     known = sorted(set(LANGUAGES.values()))
-    texts = files.filter(F.col("lang").isin(known) & F.col("code").rlike(r"\S")).select("request_id", "lang", "code")
+    texts = files.filter(F.col("lang").isin(known) & F.col("code").rlike(r"\S") & F.col("request_id").isNotNull()).select("request_id", "lang", "code")
     lexed = checkpointed(texts.mapInPandas(_lexed, _LEXED))
     rows = lexed.filter("exact IS NULL OR NOT exact").select("request_id", "lang", F.explode("pairs").alias("pair"))
     wrong = rows.join(F.broadcast(permissible_pairs(files.sparkSession)), ["lang", "pair"], "left_anti")
@@ -98,7 +98,7 @@ def unparsable(files: DataFrame) -> DataFrame:
 
 def unparsable_rates(files: DataFrame) -> DataFrame:
     """``(repo, lang, n_files, n_invalid, share)`` of each repository and language; files of no repository share a null one."""
-    distinct = files.select("request_id", "repo", "lang").groupBy("request_id").agg(F.max("repo").alias("repo"), F.max("lang").alias("lang"))
+    distinct = files.filter("request_id IS NOT NULL").select("request_id", "repo", "lang").groupBy("request_id").agg(F.max("repo").alias("repo"), F.max("lang").alias("lang"))
     flagged = unparsable(files).select("request_id", F.lit(1).alias("_wrong"))
     joined = distinct.join(flagged, "request_id", "left")
     return (

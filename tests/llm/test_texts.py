@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphmill.llm import credentials, functions, machine_files, mixing, spam_pages, split, tokenizer
+from graphmill.llm import credentials, functions, machine_files, mixing, spam_pages, split, syntax_check, tokenizer
 from graphmill.llm.gll import GLL
 
 LIMITS = [("file", 60, 10), ("function", 20, 0)]
@@ -363,3 +363,21 @@ def test_any_configuration_is_read(text, ext):
 
     for entry in PARSERS[ext](text):
         assert all(0 <= a <= b <= len(text) for a, b in entry.spans) and isinstance(entry.value(text), str)
+
+
+def test_null_ids_leave_large_ids_whole(spark):
+    """A null id beside one that needs all 64 bits: no digit is lost; rows without an id have the defined result."""
+    large = (1 << 60) + 1
+    code = f'password = "{SECRET}"\ndef f(:\n    """{PROSE}"""\n'
+    rows = [(i, None, None, code, "py", "py", "file") for i in (large, None)]
+    files = spark.createDataFrame(rows, "request_id bigint, repo string, file_path string, code string, lang string, ext string, kind string")
+    limits = spark.createDataFrame([("file", 40, 5)], "node_type string, max_chars bigint, overlap_chars bigint")
+    results = (syntax_check.unparsable(files), split.split_oversized(files, limits), machine_files.classify_files(files))
+    assert all({r["request_id"] for r in found.collect()} == {large} for found in results)
+    for found in (credentials.find_credentials(files), credentials.redact_credentials(files)):
+        assert {r["request_id"] for r in found.collect()} == {large, None}
+    docs = spark.createDataFrame([(large, "two words", "a"), (None, "two words", "a")], "doc_id bigint, text string, source string")
+    for found in (spam_pages.score_pages(docs), tokenizer.encode(docs)):
+        assert {r["doc_id"] for r in found.collect()} == {large, None}
+    targets = spark.createDataFrame([("a", 1.0, 1), (None, None, None)], "source string, target_share double, max_repeats bigint")
+    assert [r["doc_id"] for r in mixing.mix(docs, targets).collect()] == [large]
