@@ -349,7 +349,8 @@ class Lexer:
 
     ``opaque`` matches comments (group ``c``), strings (``s``), numbers with marks (``k``) and whole lines such as directives
     (``l``); where the first pattern of ``deep`` is found, the second, which may be recursive, stands for it. What is left is cut
-    into names, numbers and operators, whose class is looked up; a keyword behind a dot is a name.
+    into names, numbers (with ``dotted`` also those that begin with a dot) and operators, whose class is looked up; with
+    ``members`` a keyword behind a dot is a name.
     """
 
     grammar: Grammar
@@ -360,6 +361,7 @@ class Lexer:
     bad_number: str = r"(?!)"
     name: str = r"[^\W\d]\w*"
     members: bool = True
+    dotted: bool = True
     deep: tuple[str, str] | None = None
 
     def __post_init__(self) -> None:
@@ -369,7 +371,7 @@ class Lexer:
         spelled = {o: self.grammar.char(name) for name, ops in self.operators.items() for o in ops.split()}
         classes = spelled | {w: self.grammar.char(w) for w in words} | {c: c for c in "()[]{}"}
         self.known = _ClassOf(classes | {"\x01": "s", "\x02": "H", "\x04": UNKNOWN, "\n": "N"}, self.bad_number)
-        number = r"0[xX][0-9a-fA-F_]+\w*|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?\d+)?\w*|(?<![\w.)\]])\.\d\w*"
+        number = r"0[xX][0-9a-fA-F_]+\w*|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?\d+)?\w*" + (r"|(?<![\w.)\]])\.\d\w*" if self.dotted else "")
         ops = sorted((o for o in spelled if not o.isalnum() and len(o) > 1), key=len, reverse=True)
         self.tokens = re.compile(rf"{self.name}|[\n\x01(){{}}\[\],;]|{number}|{'|'.join(map(re.escape, ops))}|\S")
         dots = "".join(self.grammar.char(d) for d in ("dot", "qdot") if d in self.operators)

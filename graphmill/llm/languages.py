@@ -11,8 +11,8 @@ from graphmill.llm.grammar import Grammar, Lexer
 _STRING = r"(?P<s>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"
 _CHAR = r"(?P<s>L?\"(?:[^\"\\\n]|\\.)*\"|L?'(?:[^'\\\n]|\\[^\n])[^'\n]{0,8}')"
 _C_COMMENT = r"(?P<c>//[^\n]*|/\*.*?\*/)"
-_DIRECTIVE = r"(?P<l>^[ \t]*\#(?:[^\n\\/]|\\\r?\n|\\|/(?!\*))*(?:\n|\Z))"
-_REGEX = r"(?P<x>(?:(?<=[=(,:\[!&|?{};])|(?<=[=(,:\[!&|?{};] )|(?<=return )|(?<=^))/(?![*/\n])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)"
+_DIRECTIVE = r"(?P<l>^[ \t]*\#(?:[^\n\\/]|\\\r?\n|\\|//[^\n]*|/\*.*?\*/|/)*(?:\n|\Z))"
+_REGEX = r"(?P<x>(?:(?<=[=(,:\[!&|?{};>\n])[ \t]*|(?<=return )|(?<=typeof )|(?<=case )|\A)/(?![*/\n])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)"
 
 _OPERATORS = {
     "inc": "++ --", "assign": "=", "arrow": "=>", "thin": "->", "plus": "+ -", "star": "*", "lt": "<", "gt": ">", "amp": "&",
@@ -34,7 +34,7 @@ _JS_RULES = {
     "END": "( semi | nl ) + | EOT",
     "TITEM": "spread ? ( ID quest ? colon ) ? TYPE quest ?",
     "TPARAM": "const ? in ? ID ( extends TYPE ) ? ( assign TYPE ) ?",
-    "KEY": "ID | str | num | K_LIST | await | break | case | catch | class | const | continue | default | delete | do | else"
+    "KEY": "{keys} ID | str | num | K_LIST | await | break | case | catch | class | const | continue | default | delete | do | else"
     " | export | extends | finally | for | function | if | import | in | let | new | return | switch | throw | try | typeof"
     " | var | void | while | with | yield",
     "TNAME": "( ID | import P_ARGS ) ( dot ID ) *",
@@ -43,7 +43,7 @@ _JS_RULES = {
     "TALL": "( pipe | amp ) ? ( TFUNC | TONE ( ( pipe | amp ) TONE ) * ( ( pipe | amp ) TFUNC ) ? )",
     "TFUNC": "abstract ? new ? GEN P_PARAMS arrow ( asserts ? ID is ) ? TYPE",
     "TYPE": "TALL ( extends TALL quest TYPE colon TYPE ) ?",
-    "DECO": "at TNAME P_ARGS ? nl *",
+    "DECO": "at TNAME {targs} P_ARGS ? nl *",
     "HERIT": "( ID | P_ARGS ) ( dot ID | P_ARGS | K_LIST ) * {targs}",
     "FSIG": "async ? function star ? ID GEN P_PARAMS RET END",
     "ANN": "{ann}",
@@ -59,21 +59,23 @@ _JS_RULES = {
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) * {asserts}",
     "OP": "bin | plus | star | lt | gt | gt gt | gt gt gt | gt set | amp | pipe | assign | set | in | instanceof",
     "CHAIN": "UNARY ( ( OP ) UNARY ) *",
-    "EXPR": "CHAIN ( quest CHAIN colon CHAIN ) *",
+    "EXPR": "CHAIN ( quest EXPR colon EXPR ) ?",
     "EXPRS": "EXPR ( comma EXPR ) *",
     "BIND": "ID | B_OBJ | K_LIST",
     "PARAM": "( DECO ) * {access} spread ? ( BIND ) {opt} ANN ( assign EXPR ) ?",
-    "DECL": "( BIND ) ANN ( assign EXPR ) ?",
-    "DECLS": "( const | let | var ) DECL ( comma DECL ) *",
+    "DECL": "( BIND ) {sure} ANN ( assign EXPR ) ?",
+    "DECLS": "( const | let | var ) nl * DECL ( comma DECL ) *",
     "LOOP": "if P_ARGS nl * | for await ? P_FOR nl * | while P_ARGS nl * | ID colon nl *",
     "TRY": "try B_BLOCK ( nl * catch P_PARAMS ? B_BLOCK ) ? ( nl * finally B_BLOCK ) ?",
     "IMPORT": "import str END | import {type} ( ID comma ) ? ( ID | star as ID | B_NAMES ) from str END {requires}",
-    "EXPORT": "( DECO ) * export ( star ( as ID ) ? from str END | {type} B_NAMES ( from str ) ? END | default ( FUNC | CLASS {iface} ) END ? | default EXPR END"
+    "EXPORT": "( DECO ) * export ( {type} star ( as ( ID | default | str ) ) ? from str END | {type} B_NAMES ( from str ) ? END | default ( FUNC | CLASS {iface} ) END ? {deflt} | default EXPR END"
     " | DECLS END | NAMED END ? {exports} )",
-    "PLAIN": "B_BLOCK | semi | nl | DECLS END | NAMED END ? | return EXPRS ? END | throw EXPRS END | ( break | continue ) ID ? END"
+    "PLAIN": "B_BLOCK | semi | DECLS END | NAMED END ? | return EXPRS ? END | throw EXPRS END | ( break | continue ) ID ? END"
     " | TRY | switch P_ARGS B_SWITCH | debugger END | ! B_OBJ ! class ! function EXPRS END {types}",
     "CORE": "( LOOP ) * ( PLAIN | do ( LOOP ) * ( PLAIN ) nl * while P_ARGS END )",
-    "STMT": "( LOOP ) * if P_ARGS nl * CORE ( nl * else nl * CORE ) + | CORE",
+    "STMT": "( LOOP ) * if P_ARGS nl * CORE ( nl * else nl * CORE ) + | CORE | nl",
+    "BOUND": "{type} ( ID | default | str ) ( as KEY ) ?",
+    "PROP": "KEY colon EXPR | ID ( assign EXPR ) ? | spread CHAIN | METHOD",
     "MOD": "static | async | get | set | star {mods}",
     "METHOD": "( MOD ) * ( hash ? KEY ) {opt} GEN P_PARAMS RET B_BLOCK",
     "MEMBER": "( DECO ) * ( METHOD {sig} | ( MOD ) * hash ? KEY {opt} ANN ( assign EXPR ) ? END | static B_BLOCK )",
@@ -86,16 +88,16 @@ _JS_KINDS = {
     "K_LIST": "comma * ( EXPR ( comma + EXPR ) * comma * ) ?",
     "K_TYPES": "( TITEM ( comma TITEM ) * comma ? ) ?",
     "B_BLOCK*": "STMT",
-    "B_OBJ": "( ( KEY colon EXPR | ID ( assign EXPR ) ? | spread CHAIN | METHOD ) ( comma ( KEY colon EXPR | ID ( assign EXPR ) ? | spread CHAIN | METHOD ) ) * comma ? ) ?",
+    "B_OBJ": "( PROP ( comma PROP ) * comma ? ) ? nl ?",
     "B_CLASS*": "MEMBER | semi | nl",
-    "B_NAMES": "( {type} ( ID | default | str ) ( as ( ID | default ) ) ? ( comma ( ID | default ) ( as ( ID | default ) ) ? ) * comma ? ) ?",
+    "B_NAMES": "( BOUND ( comma BOUND ) * comma ? ) ? nl ?",
     "B_SWITCH*": "case EXPRS colon | default colon | STMT",
     "B_SHAPE*": "( ( plus ? readonly ) ? ( get | set ) ? ( KEY | K_TYPES | K_PARAM ) ( plus ? quest ) ? GEN P_PARAMS ? ( colon ( asserts ? ID is ) ? TYPE ) ? | new ? GEN P_PARAMS ANN ) ( ( semi | comma | nl ) + | EOT ) | nl | semi",
     "K_PARAM": "n colon TYPE | n in TYPE ( as TYPE ) ?",
     "B_MOD*": "IMPORT | EXPORT | STMT",
 }
 _JS_FILL = dict(
-    more="", readonly="readonly", ann="( nl nl nl nl nl ) ?", gen="( nl nl nl nl nl ) ?", targs="", cast="", requires="", iface="", abstract="", implements="", bang="", asserts="",
+    more="", readonly="readonly", ann="( nl nl nl nl nl ) ?", gen="( nl nl nl nl nl ) ?", targs="", cast="", requires="", iface="", keys="", deflt="", sure="", abstract="", implements="", bang="", asserts="",
     access="", opt="", type="", exports="", types="", mods="", sig="",
 )
 _INTERFACE = "declare ? interface n GEN ( extends TYPE ( comma TYPE ) * ) ? B_SHAPE"
@@ -106,7 +108,7 @@ _TS_DECLARED = (
 _TS_FILL = dict(
     more="| type | interface | namespace | declare | abstract | readonly | module | is | asserts | infer | keyof | unique | override | satisfies",
     readonly="readonly | keyof | unique | infer | asserts", targs="( TARGS ) ?", cast="| lt TYPE gt", requires="| import type ? ID assign EXPR END",
-    iface=f"| {_INTERFACE}", ann="( colon ( asserts ? ID is ) ? TYPE | colon asserts ID ) ?", gen="( lt TPARAM ( comma TPARAM ) * comma ? gt ) ?", abstract="declare ? abstract ?",
+    iface=f"| {_INTERFACE}", sure="not ?", keys="private | public | protected | enum | implements |", deflt="| default async ? function star ? ID ? GEN P_PARAMS RET END", ann="( colon ( asserts ? ID is ) ? TYPE | colon asserts ID ) ?", gen="( lt TPARAM ( comma TPARAM ) * comma ? gt ) ?", abstract="declare ? abstract ?",
     implements="( implements TYPE ( comma TYPE ) * ) ?", bang="| not | TARGS ( P_ARGS | str )", asserts="( ( as | satisfies ) ( TYPE | const ) ( POST ) * ) *",
     access="( public | private | protected | readonly | override ) *", opt="( quest | not ) ?", type="type ?",
     exports=_TS_DECLARED + " | assign EXPR END | import ID assign EXPR END | as namespace ID END", types=_TS_DECLARED,
@@ -141,7 +143,8 @@ def _script(typed: bool) -> tuple[Lexer, str]:
     deep = rf"(?P<l>\A\#![^\n]*\n)|{_C_COMMENT}|(?P<s>{strings}|(?P<t>`(?:[^`\\$]|\\.|\$(?!\{{)|\${braces})*`))|{_REGEX}"
     lexer = Lexer(grammar, opaque, words, _OPERATORS, newlines=True, name=r"[^\W\d][\w$]*|\$[\w$]*", deep=(r"\$\{[^}`]*`", deep))
     join = "bin plus star lt gt amp pipe assign set in instanceof arrow comma dot qdot quest colon spread not".split()
-    before = "".join(grammar.char(c) for c in join) + "(["
+    # A line may end with the type that a closing mark ends.
+    before = "".join(grammar.char(c) for c in join if not (typed and c == "gt")) + "(["
     after = "".join(grammar.char(c) for c in "bin star lt gt amp pipe assign set instanceof arrow comma dot qdot quest colon".split()) + ")]"
     return lexer, rf"N+(?=[{re.escape(after)}])|(?<=[{re.escape(before)}{{])N+|(?<=N)N+"
 
@@ -172,7 +175,7 @@ _JAVA_RULES = {
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) *",
     "OP": "bin | plus | star | lt | gt | gt gt | gt gt gt | gt set | amp | pipe | assign | set",
     "CHAIN": "UNARY ( ( OP ) UNARY | instanceof ( PATTERN | TYPE ) ) *",
-    "EXPR": "CHAIN ( quest CHAIN colon CHAIN ) *",
+    "EXPR": "CHAIN ( quest EXPR colon EXPR ) ?",
     "VAR": "ID ( K_DIM ) * ( assign ( EXPR | B_INIT ) ) ?",
     "LOCAL": "( final | ANN ) * TYPE VAR ( comma VAR ) *",
     "PARAM": "( final | ANN ) * TYPE spread ? ID ( K_DIM ) *",
@@ -213,7 +216,7 @@ _C_WORDS = (
 )
 _C_RULES = {
     "SPEC": "const | static | extern | inline | register | volatile | unsigned | signed | typedef | restrict",
-    "BASE": "( SPEC ) * ( n ( n | SPEC ) * | ( struct | union | enum ) n ( SPEC ) * | ( struct | union ) n ? B_FIELDS | enum n ? B_ENUM | ( unsigned | signed ) ( SPEC ) * )",
+    "BASE": "( SPEC ) * ( n ( n | SPEC ) * | ( struct | union | enum ) n ( SPEC ) * | ( struct | union ) n ? B_FIELDS ( n P_ARGS ) * | enum n ? B_ENUM | ( unsigned | signed ) ( SPEC ) * )",
     "TYPE": "( SPEC ) * ( n n ? | ( struct | union | enum ) n | ( unsigned | signed ) n * ) ( SPEC ) * ( star ( const ) ? ) * K_DIM *",
     "PTR": "( star ( const | restrict | volatile ) ? ) *",
     "PRIM": "n | num | str + | P_ARGS | P_TYPE B_INIT | sizeof ( P_TYPE | P_ARGS | n )",
@@ -222,8 +225,8 @@ _C_RULES = {
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) *",
     "OP": "bin | plus | star | lt | gt | gt gt | amp | pipe | assign | set",
     "CHAIN": "UNARY ( ( OP ) UNARY ) *",
-    "EXPR": "CHAIN ( quest CHAIN colon CHAIN ) *",
-    "DIMS": "( K_DIM | K_LIST | P_PARAMS ) *",
+    "EXPR": "CHAIN ( quest EXPR colon EXPR ) ?",
+    "DIMS": "( K_DIM | K_LIST | P_PARAMS ( n ( P_ARGS ) ? ) * ) *",
     "DECLR": "PTR ( n | P_DECL ) DIMS",
     "VAR": "DECLR ( n P_ARGS ) * ( assign ( EXPR | B_INIT ) ) ?",
     "FIELD": "VAR ( colon EXPR ) ? | colon EXPR",
@@ -245,7 +248,7 @@ _C_KINDS = {
     "K_LIST": "EXPR",
     "B_BLOCK*": "STMT",
     "B_FIELDS*": "BASE ( FIELD ( comma FIELD ) * ) ? semi | line",
-    "B_ENUM": "n ( assign EXPR ) ? ( comma n ( assign EXPR ) ? ) * comma ?",
+    "B_ENUM": "line * n ( assign EXPR ) ? ( comma line * n ( assign EXPR ) ? line * ) * comma ? line *",
     "B_INIT": "( ( ( dot n | K_LIST ) + assign ) ? ( EXPR | B_INIT ) ( comma ( ( dot n | K_LIST ) + assign ) ? ( EXPR | B_INIT ) ) * comma ? ) ?",
 }
 _CPP_WORDS = _C_WORDS + (
@@ -271,7 +274,7 @@ _CPP_RULES = {
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) *",
     "OP": "bin | plus | star | lt | gt | gt gt | amp | pipe | assign | set",
     "CHAIN": "UNARY ( ( OP ) UNARY ) *",
-    "EXPR": "CHAIN ( quest CHAIN colon CHAIN ) *",
+    "EXPR": "CHAIN ( quest EXPR colon EXPR ) ?",
     "PTR": "( star ( const | volatile ) ? | Q scope star ) * ( amp | bin ) ? spread ?",
     "CAPT": "( amp | assign | star | amp ? spread ? n ( assign ( EXPR | B_INIT ) | B_INIT | spread | P_ARGS ) ? )",
     "DIMS": "( K_DIM | K_LIST | P_PARAMS ) *",
@@ -300,7 +303,7 @@ _CPP_RULES = {
     " | template ( class | struct ) ? Q semi",
 }
 _CPP_KINDS = {
-    "P_ARGS": "( ( EXPR | TYPE | B_INIT ) ( comma ( EXPR | TYPE | B_INIT ) ) * ) ? | ( EXPR ( OP ) | EXPR comma ) ? spread ( ( OP ) EXPR ) ?",
+    "P_ARGS": "default | ( ( EXPR | TYPE | B_INIT ) ( comma ( EXPR | TYPE | B_INIT ) ) * ) ? | ( EXPR ( OP ) | EXPR comma ) ? spread ( ( OP ) EXPR ) ?",
     "P_PARAMS": "( PARAM ( comma PARAM ) * ) ?",
     "P_TYPE": "TYPE",
     "P_DECL": "DECLR | PTR DIMS",
@@ -395,10 +398,10 @@ _RUST_RULES = {
     "TEST": "let PAT assign COND | COND",
     "BLOCKS": "( life colon ) ? ( unsafe ? B_BLOCK | async move ? B_BLOCK | const B_BLOCK | loop B_BLOCK | while TEST B_BLOCK | for PAT in COND B_BLOCK ) | match COND B_MATCH"
     " | if TEST B_BLOCK ( else if TEST B_BLOCK ) * ( else B_BLOCK ) ?",
-    "PLAIN": "MACRO | EPATH | num | str | P_ARGS | K_LIST",
+    "PLAIN": "MACRO | EPATH | num | str | P_ARGS | K_LIST | unsafe B_BLOCK",
     "EPATH": "( lt TYPE ( as TYPE ) ? gt scope | scope ) ? ID ( scope ( ID | TARGS ) ) *",
     "PRIM": "BLOCKS | MACRO | EPATH B_LIT | PLAIN",
-    "POST": "dot ( n | num | await ) ( scope TARGS ) ? | P_ARGS | K_LIST | quest | as TYPE",
+    "POST": "dot ( n | num | await | union ) ( scope TARGS ) ? | P_ARGS | K_LIST | quest | as TYPE",
     "PRE": "plus | not | star | amp mut ? | bin mut ? | CLOSURE | return | break life ? | range",
     "UNARY": "( PRE ) * ( PRIM ) ( POST ) *",
     "BARE": "( PRE ) * ( PLAIN ) ( POST ) *",
@@ -407,9 +410,9 @@ _RUST_RULES = {
     "COND": "BARE ( ( OP ) BARE ) *",
     "ATTR": "hash not ? K_TREE",
     "PUB": "pub P_VIS ?",
-    "FN": "( const | async | unsafe | extern str ? ) * fn n GEN ? P_PARAMS ( thin TYPE ) ? WHERE ? ( B_BLOCK | semi )",
+    "FN": "( const | async | unsafe | extern str ? ) * fn ( n | union ) GEN ? P_PARAMS ( thin TYPE ) ? WHERE ? ( B_BLOCK | semi )",
     "WHERE": "where ( TYPE colon ( TYPE ) ? ( comma TYPE colon ( TYPE ) ? ) * comma ? ) ?",
-    "USE": "use PATH ( as n ) ? ( scope ( B_USE | star ) ) ? semi",
+    "USE": "use scope ? ( B_USE | star ) semi | use PATH ( as n ) ? ( scope ( B_USE | star ) ) ? semi",
     "ITEM": "ATTR | PUB ? ( USE | FN | ( struct | union ) n GEN ? ( WHERE ? B_FIELDS | P_FIELDS ? WHERE ? semi ) | enum n GEN ? WHERE ? B_ENUM | unsafe ? trait n GEN ? ( colon ( TYPE ) ? ) ? WHERE ? B_ITEMS"
     " | ( const | static ) mut ? n colon TYPE ( assign EXPR ) ? semi | type n GEN ? ( colon TYPE ) ? WHERE ? ( assign TYPE ) ? semi | mod n ( semi | B_ITEMS ) | extern crate n ( as n ) ? semi | unsafe ? extern str ? B_ITEMS )"
     " | unsafe ? impl GEN ? not ? TYPE ( for TYPE ) ? WHERE ? B_ITEMS | PATH not n ? ( B_TREE semi ? | ( P_TREE | K_TREE ) semi )",
@@ -423,12 +426,12 @@ _RUST_KINDS = {
     "P_PATS": "( PAT ( comma PAT ) * comma ? ) ?",
     "K_PATS": "( PAT ( comma PAT ) * comma ? ) ?",
     "P_VIS": "crate | super | self | in PATH",
-    "K_LIST": "( EXPR ( comma EXPR ) * comma ? | EXPR semi EXPR ) ?",
+    "K_LIST": "( ( ATTR ) * EXPR ( comma ( ATTR ) * EXPR ) * comma ? | EXPR semi EXPR ) ?",
     "K_TYPE": "TYPE ( semi EXPR ) ?",
     "B_BLOCK*": "STMT",
-    "B_LIT": "( ( n | num ) ( colon EXPR ) ? ( comma ( n | num ) ( colon EXPR ) ? ) * comma ? ( comma range EXPR ) ? | range EXPR ) ?",
+    "B_LIT": "( ( ATTR ) * ( n | num ) ( colon EXPR ) ? ( comma ( ATTR ) * ( n | num ) ( colon EXPR ) ? ) * comma ? ( comma range EXPR ) ? | range EXPR ) ?",
     "B_PATS": "( FPAT ( comma FPAT ) * comma ? ) ?",
-    "B_MATCH*": "( ATTR ) * PAT ( if ( TEST ) ) ? arrow ( BLOCKS comma ? | EXPR ( comma | EOT ) )",
+    "B_MATCH*": "comma | ( ATTR ) * PAT ( if ( TEST ) ) ? arrow ( BLOCKS comma ? | EXPR ( comma | EOT ) )",
     "B_FIELDS": "( ATTR * PUB ? n colon TYPE ( comma ATTR * PUB ? n colon TYPE ) * comma ? ) ?",
     "B_ENUM": "( ATTR * n ( P_FIELDS | B_FIELDS | assign EXPR ) ? ( comma ATTR * n ( P_FIELDS | B_FIELDS | assign EXPR ) ? ) * comma ? ) ?",
     "B_USE": "( PATH | star ) ( as n | scope ( B_USE | star ) ) ? ( comma PATH ( as n | scope ( B_USE | star ) ) ? ) * comma ?",
@@ -470,7 +473,7 @@ def lexer_of(lang: str) -> tuple[Lexer | ShellLexer, re.Pattern[str] | None]:
         # What a macro is given is any sequence of tokens whose brackets nest.
         names = dict.fromkeys([*operators, *_RUST_WORDS.split(), "n", "num", "str", "P_TREE", "K_TREE", "B_TREE"])
         kinds = {k: v.replace("{any}", " | ".join(names)) for k, v in _RUST_KINDS.items()}
-        lexer = _plain(_RUST_RULES, kinds, "ITEM | semi | line", _RUST_WORDS, opaque, operators, members=False)
+        lexer = _plain(_RUST_RULES, kinds, "ITEM | semi | line", _RUST_WORDS, opaque, operators, members=False, name=r"(?:r\#)?[^\W\d]\w*", dotted=False)
         # A lifetime is a mark and a name.
         words = "".join(map(lexer.grammar.char, _RUST_WORDS.split()))
         return lexer, re.compile(rf"(?<={re.escape(lexer.grammar.char('life'))})[n{re.escape(words)}]")

@@ -9,6 +9,7 @@ VALID = {
         "x[1:2, ::3, ...] = a, *b\n", "assert x, 'm'; del a[0], b\n", "global_ = 1; print(*a, **b, sep='')\n", "while True:\n    break\nelse:\n    continue_ = 1\n", "a = b'x' rb'\\d'\nc = '''multi\nline'''\n", "x = 0x_ff + 1_000 + 1e3j if a else not b\n",
     ],
     "js": [
+        "function f() {\n  if (a)\n    return b\n  else if (c)\n    return d\n  else\n    return e\n}\n", "const o = {\n  a: 1,\n  b: x => x.y\n}\nmodule.exports = {\n  o\n}\n", "const x = a ? b ? c : d : e;\n", "const t = (s) =>\n  /^[@'\"]/.test(s) && !/x\\/y/i.test(s);\n", "export { a as default, b }\nconst\n  c = 1\n",
         "let a = 1, b;\nconst {x, y: {z = 1}, ...r} = o;\n", "class A extends (f(), B) { #p = 1; static { this.x = 1; } get v() { return this.#p; } static async *g() { yield* h(); } [k]() {} }\n",
         "const f = async ({a}, [b] = [], ...c) => { await a; };\n", "import d, * as n from 'm';\nimport {default as q, r as s} from './x.js';\nexport default class {}\nexport * as ns from 'y';\n", "const m = await import('./a.js');\nconsole.log(import.meta.url);\n",
         "function F() { if (!new.target) return new F(); }\n", "label: for (const x of xs) { if (x) continue label; else break label; }\n", "try { a(); } catch { b(); } finally { c(); }\n", "const t = tag`a${b}c`;\nconst r = /[/\\]]+/gu.test(s);\n", "a ??= b?.c?.[d]?.(e) ?? 1;\n",
@@ -17,6 +18,7 @@ VALID = {
         "for await (const x of y) { f(x); }\n", "const big = 1_000n + 0xFFn + 0b101n + .5e-3;\n", "class B { static x; 'y' = 1; async = 2; get; static async z() {} }\n", "let async; async = 1; let of = 2;\n", "throw new Error(`x ${`y ${z}`}`);\n",
     ],
     "ts": [
+        "declare class A { #private; static from(x: number): A; readonly b: string; private c; get d(): Map<string, number>; }\n", "export default function f(x: string): void;\nexport default function f(x: any) {}\n", "import { a, type B, type C as D } from './x';\nexport type * from 'y';\nexport * as default from 'z';\n", "interface I {\n  a: Set<number>\n  b(): Promise<void>\n}\nlet x!: string;\n",
         "type A<T> = T extends (infer U)[] ? U : T extends string ? 'a' : never;\n", "type T = [a: string, b?: number, ...rest: boolean[]];\n", "const m: Map<string, Array<Record<string, Set<number>>>> = new Map();\n", "interface A<T extends object = {}> extends B<T>, C { readonly [k: string]: T; (x: number): string; new (y: string): A<T>; m?<U>(u: U): void; }\n",
         "type M = { readonly [K in keyof T]?: T[K] };\ntype N = { -readonly [K in keyof T as `get${K}`]-?: () => T[K] };\n", "abstract class A<T> implements I<T>, J { constructor(private readonly x: number, public y?: string) { super(); } abstract m(): void; static readonly z = 1 as const; declare w: string; }\n", "function f(this: Window, x?: number, ...r: string[]): asserts x is number {}\n",
         "function g<T>(a: T): T;\nfunction g(a: any): any { return a; }\n", "enum E { A = 1, B = A << 1, C = 'x' }\ndeclare const enum F { A }\n", "namespace A.B { export const x = 1; }\ndeclare module 'm' { export function f(): void; }\ndeclare global { interface Window { x: number } }\n", "import type { A, B } from './a';\nimport { type C, D } from './c';\nexport type { A };\n",
@@ -40,6 +42,7 @@ VALID = {
         "package a\n\ntype (\n\tA = B\n\tC map[string]interface{}\n\tD func(x, y int) bool\n)\n", "package a\n\nfunc f() {\n\tx := Map[string, int](a, b)\n\tvar e error = errors.New(\"x\")\n\tgoto end\nend:\n\tfmt.Println(x, e)\n}\n", "package a\n\ntype T[K comparable, V any] struct {\n\tm map[K]V\n}\n\nvar t T[string, []int]\n", "package a\n\nfunc f() {\n\tswitch {\n\tcase x > 1 && y < 2:\n\t\tfallthrough\n\tdefault:\n\t}\n\tswitch x := f(); x {\n\t}\n}\n", "package a\n\nfunc f() { x := 1; y := 2; _ = x + y }\nvar h = 0x1p-2 + 1_000 + 0b11 + 0o17 + 3i\n",
     ],
     "rs": [
+        "use {a::b, c as d};\nfn f() { match x { A => match y { B => 1, C => 2 }, D => S { a: 1 }, E => return z, _ => { 3 } } }\n", "fn r#as() { let t = self\n    .0\n    .g(); if unsafe { h() } { } let v = [#[cfg(x)] 1, 2]; a.union(&b); }\n",
         "macro_rules! m {\n    ($x:expr) => { $x + 1 };\n    ($($y:ident),* $(,)?) => { $( let $y = 1; )* };\n}\n", "impl<T: Fn(u8) -> u8 + 'static> A for B<T> where T: Clone, { type X = <T as C>::Y; const N: usize = 3; fn f(&mut self) -> Option<Vec<Box<dyn Fn(&str) -> Result<(), E>>>> { None } }\n", "fn f() -> impl Iterator<Item = (u8, String)> + 'static { std::iter::empty() }\n", "fn f() { let x = <A as B>::c(); let y = Vec::<u8>::with_capacity(1); let z = \"1\".parse::<u32>()?; }\n",
         "fn f(x: Option<i32>) { if let Some(y @ 1..=5) = x { } else if let None = x { } while let Some(_) = g() { } let Some(z) = x else { return; }; }\n", "fn f(e: E) -> u8 { match e { E::A { x, .. } if x > 1 => 1, E::B(ref y, _) | E::C(y) => { 2 } 'a'..='z' => 3, -1 => 4, _ => unreachable!(), } }\n", "#[derive(Debug, Clone)]\n#[cfg(all(unix, feature = \"x\"))]\npub(crate) struct S<'a, T: 'a + ?Sized, const N: usize = 3> { pub a: &'a T, b: [u8; N], }\n", "enum E { A, B(u8, String), C { x: i32 }, D = 5 }\nstruct U;\nstruct T(pub u8, f64);\n",
         "trait T: A + B { type X: Clone; const C: u8 = 1; fn f<'a>(&'a self) -> &'a str; fn g() where Self: Sized {} }\n", "async fn f() -> Result<()> { let x = g().await?; tokio::spawn(async move { h(x).await }); Ok(()) }\n", "fn f() { let c = |x: i32, &(a, b): &(u8, u8)| -> i32 { x + 1 }; let d = move || 1; v.iter().map(|x| x * 2).filter(|&x| x > 1).collect::<Vec<_>>(); }\n", "use a::{b::{self, c}, d as e, f::*};\npub use crate::x::Y;\nextern crate z;\nmod m { pub fn f() {} }\nmod n;\n",
@@ -47,6 +50,7 @@ VALID = {
         "impl fmt::Display for A { fn fmt(&self, f: &mut fmt::Formatter<'_>) -> fmt::Result { write!(f, \"{}\", self.0) } }\n", "fn f<T>(x: T) -> T where T: Into<String> + for<'a> Fn(&'a str), { x }\n", "fn f() -> u8 { let x = if a { 1 } else { 2 }; let y = match x { 1 => 2, _ => 3 } + 1; unsafe { g() }; return y; }\n", "fn f() { a.b.0.1(); x <<= 1; y >>= 2; z = !a && b || c; let v: Vec<Vec<u8>> = vec![vec![1]; 2]; }\n",
     ],
     "c": [
+        "#define A 0x01 /* one\n                  more */\n#define B(x) ((x) / 2) // half\nextern int f(int) __THROW;\nstruct s { int a; } __attribute__((packed));\nenum e {\n#define X 1\n  P = 1,\n  Q,\n};\n",
         "#include <stdio.h>\nint main(int argc, char **argv) { return 0; }\n", "static int (*table[])(int, char *) = { f, g, 0 };\nint (*get(void))(int);\n", "typedef struct node { struct node *next; int x : 3, : 0; union { int a; float b; }; } node_t;\n", "enum e { A = 1 << 2, B, C = sizeof(int) };\n", "void f(void) { int a[2][3] = {{1, 2, 3}, [1] = {4}}; struct p q = { .x = 1, .y = { 2 } }; }\n", "int f(const char *restrict s, ...) ;\nextern int x, *y, z[10];\n",
         "void f() { for (int i = 0, j = 1; i < j; ++i, --j) ; while (x) { if (a) continue; else break; } do { } while (0); }\n", "void f() { switch (x) { case 1: case 'a': g(); break; default: h(); } goto end; end: return; }\n", "int x = (int) (y ? *p++ : -1);\nchar s[] = \"a\" \"b\";\n", "static inline unsigned long long f(unsigned int x) { return x >> 3 | ~x & 0xFFUL; }\n", "#define M(a, b) \\\n  do { a; b; } while (0)\n#if defined(X) && Y > 1\nint z;\n#endif\n", "struct s { int (*cb)(void *, size_t); char name[32]; const struct s *const self; };\n",
         "int a = sizeof(struct s), b = sizeof *p, c = sizeof(int[3]);\n", "void f(int n, int a[n], int (*b)[3], void (*cb)(int)) { (*cb)(1); cb(a[0]); p->q->r.s[1] = (struct t){ 1, 2 }; }\n", "_Static_assert(sizeof(int) == 4, \"x\");\n_Bool b;\n", "typedef int (*fn)(int);\ntypedef unsigned char byte, *pbyte;\nfn handlers[4];\n", "double d = 1.5e-3, e = .5f, g = 0x1p3;\nwchar_t *w = L\"x\";\nchar c = '\\x41', q = '\\'';\n", "int f(int a, char *b) { return a; }\n", "volatile sig_atomic_t flag;\nregister int r;\nint *const p = &x, **pp;\n", "void f(void) { x = a, b; y += (z, 1); if (!(x & 1) && *p != '\\0') { ; } return (void) 0; }\n",
