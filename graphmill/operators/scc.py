@@ -51,7 +51,8 @@ def components_of(links: list[tuple[str, str]]) -> list[list[str]]:
 
 
 def _local(group: pd.DataFrame) -> pd.DataFrame:
-    rows = [(node, min(c)) for c in components_of(list(zip(group["caller"], group["callee"], strict=True))) for node in c]
+    found = components_of(list(zip(group["caller"].tolist(), group["callee"].tolist(), strict=True)))
+    rows = [(node, least) for c in found for least in [min(c)] for node in c]
     return pd.DataFrame(rows, columns=["node", "root"])
 
 
