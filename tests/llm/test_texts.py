@@ -194,6 +194,52 @@ def test_documented_functions(lang, code, want):
     assert [(n, line) for n, line, _ in functions.documented(code, lang)] == want
 
 
+HEADS = [
+    ("c", "static int\nfoo(int a)\n{\n return a;\n}\n", 3),
+    ("c", "int *\nfoo(int a) {\n return 0;\n}\n", 3),
+    ("c", "int (*foo(int a))(int) {\n return 0;\n}\n", 2),
+    ("c", "__attribute__((noinline)) int foo(int a) { return a; }\n", 2),
+    ("cpp", "std::vector<int>\nFoo::foo(int a) const\n{\n return {};\n}\n", 3),
+    ("cpp", "foo::foo(int a) : a_(a), b_{1} { }\n", 2),
+    ("cpp", "template <typename T,\n          typename U>\nT foo(T a) { return a; }\n", 4),
+    ("cpp", "[[nodiscard]] int foo() noexcept(true) { return 1; }\n", 2),
+    ("ts", "const foo: (a: number) => number = (a) => a;\n", 2),
+    ("ts", "function foo(this: Window): { x: typeof y } | 1 { return x }\n", 2),
+    ("ts", "function foo(a: any): asserts a is string { }\n", 2),
+    ("ts", "class A {\n  // " + PROSE + "\n  public foo = <T>(a: T): T => a;\n}\n", 4),
+    ("ts", "class A {\n  // " + PROSE + "\n  @Input()\n  foo(a: number): { x: number } { return { x: 1 }; }\n}\n", 5),
+    ("java", "class A {\n  // " + PROSE + "\n  @A(x = {1, 2})\n  void foo() { }\n}\n", 5),
+    ("go", "func foo(a func(int) string) func() error {\n return nil\n}\n", 2),
+    ("go", "func foo() <-chan int {\n return nil\n}\n", 2),
+    ("go", "func foo() interface{ A() } {\n return nil\n}\n", 2),
+    ("rs", "#[cfg(all(\n  unix\n))]\nfn foo() { }\n", 5),
+    ("rs", "fn foo<F>(f: F) where F: for<'a> Fn(&'a u8) -> &'a u8 { }\n", 2),
+    ("rb", "def foo; 1; end\n", 2),
+    ("sh", "foo() (\n  echo\n)\n", 2),
+]
+
+
+@pytest.mark.parametrize(("lang", "code", "line"), HEADS)
+def test_the_grammar_decides_where_documented_heads_are(lang, code, line):
+    code = f"{'#' if lang in ('rb', 'sh') else '//'} {PROSE}\n{code}"
+    assert [(n, at) for n, at, _ in functions.documented(code, lang)] == [("foo", line)]
+
+
+@pytest.mark.parametrize(
+    ("lang", "code"),
+    [("c", "int foo(int a);\n"), ("c", "struct s {\n int a;\n};\nint g(int b) { return b; }\n"), ("cpp", "class A {\n  int f() { return 1; }\n};\n".replace("A {", "A :\n B {")),
+     ("js", "foo(a)\nif (b) {\n}\n"), ("ts", "interface A {\n  foo(a: number): void\n}\n"), ("go", "foo(a)\nfor x {\n}\n"), ("rs", "let a = foo(1);\nif a { }\n")],
+)
+def test_what_follows_a_comment_is_no_head_unless_the_grammar_says_so(lang, code):
+    assert functions.documented(f"// {PROSE}\n{code}", lang) == []
+
+
+def test_docstrings_of_several_literals():
+    code = 'def f():\n    ("Walks the tree and "\n     "returns every node.")\n\ndef g():\n    "Walks the tree and " "returns every node."\n'
+    code += f'def h(x):\n    "{PROSE} %s" % x\n\ndef k():\n    ("{PROSE}", 1)\n'
+    assert [(n, doc) for n, _, doc in functions.documented(code, "py")] == [(n, "Walks the tree and returns every node.") for n in "fg"]
+
+
 def test_function_operator_and_templates(spark):
     code = "".join(f'def f{i}():\n    """The same words stand here again."""\n' for i in range(6)) + f'def own():\n    """{PROSE}"""\n'
     rows = [(1, "py", code), (1, "py", code), (2, "py", f'def f(:\n    """{PROSE}"""\n'), (3, "py", None), (4, "py", ""), (5, None, code)]
